@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from siltstone.llm.scratch import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_documents(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.lattice_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.quality import apply_rules
 
@@ -39,6 +53,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op6_lattice_score": op6_lattice_score,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
