@@ -24,6 +24,12 @@ def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.quality import apply_rules
 
@@ -55,6 +61,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_lattice_score": op6_lattice_score,
+    "op3_ngram_join": op3_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
