@@ -49,6 +49,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.chat import format_conversations, read_back
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
 
