@@ -109,25 +109,37 @@ def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], width: in
     return w[:-1], float(w[-1]), risks
 
 
-def fit_fold(pdf: pd.DataFrame, prior: float) -> pd.DataFrame:
-    """One classifier from a shard of the sample (text, positive): rows of (feature, weight), the bias with a null feature."""
-    pdf = pdf.drop_duplicates(["positive", "text"])
-    sets = [text_features(t) for t in pdf["text"]]
-    flags = pdf["positive"].tolist()
-    of_positive = Counter(f for s, y in zip(sets, flags, strict=True) if y for f in s)
-    of_unlabelled = Counter(f for s, y in zip(sets, flags, strict=True) if not y for f in s if f in of_positive)
-    share = sum(flags) / max(1, len(flags) - sum(flags))
-    least = max(3, sum(flags) * LEAST_SHARE)
-    names = [f for f, n in sorted(of_positive.items(), key=lambda x: (-x[1], x[0])) if n >= least and n >= LEAST_LIFT * (of_unlabelled[f] * share + 1)][:MAX_FEATURES]
-    index = {f: i for i, f in enumerate(names)}
-    rows = [[index[f] for f in s if f in index] for s in sets]
-    positive = [r for r, y in zip(rows, flags, strict=True) if y]
-    unlabelled = [r for r, y in zip(rows, flags, strict=True) if not y]
-    if not positive or not unlabelled:
+def candidate_features(positive: DataFrame, least: float) -> list[bytes]:
+    """Features of at least so many positive texts, the most frequent MAX_FEATURES of them."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                n = Counter(f for t in batch["text"][a : a + 500] for f in text_features(t if isinstance(t, str) else ""))
+                yield pd.DataFrame({"feature": list(n), "n": list(n.values())})
+
+    found = positive.select("text").mapInPandas(count, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return [bytes(r.feature) for r in found.where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()]
+
+
+def fit_fold(pdf: pd.DataFrame, width: int, prior: float) -> pd.DataFrame:
+    """One classifier from a shard of the sample (text_key, positive, features): rows of (feature, weight), the bias at -1."""
+    pdf = pdf.drop_duplicates(["positive", "text_key"])
+    flags = pdf["positive"].to_numpy(bool)
+    rows = [np.asarray(r, np.int64) for r in pdf["features"]]
+    count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]), minlength=width)
+    in_positive = count([r for r, y in zip(rows, flags, strict=True) if y])
+    in_unlabelled = count([r for r, y in zip(rows, flags, strict=True) if not y])
+    n_positive, n_unlabelled = int(flags.sum()), int((~flags).sum())
+    if not n_positive or not n_unlabelled:
         return pd.DataFrame({"feature": [], "weight": []})
-    w, bias, _ = train_nnpu(positive, unlabelled, len(names), prior)
-    kept = [(f, float(x)) for f, x in zip(names, w, strict=True) if x]
-    return pd.DataFrame([*kept, (None, bias)], columns=["feature", "weight"])
+    good = (in_positive >= max(3, n_positive * LEAST_SHARE)) & (in_positive >= LEAST_LIFT * (in_unlabelled * n_positive / n_unlabelled + 1))
+    names = np.flatnonzero(good)
+    index = np.cumsum(good) - 1
+    rows = [index[r[good[r]]].tolist() for r in rows]
+    w, bias, _ = train_nnpu([r for r, y in zip(rows, flags, strict=True) if y], [r for r, y in zip(rows, flags, strict=True) if not y], len(names), prior)
+    kept = np.flatnonzero(w)
+    return pd.DataFrame({"feature": [*names[kept].tolist(), -1], "weight": [*w[kept].tolist(), bias]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> tuple[dict[bytes, float], float]:
@@ -140,17 +152,28 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> tuple[dict[bytes,
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     positive = known.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(MAX_POSITIVE)
     unlabelled = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(MAX_UNLABELLED)
+    text = docs.select("doc_id", "text")
+    n_positive = min(MAX_POSITIVE, counts[1])
+    names = candidate_features(text.join(F.broadcast(positive), "doc_id"), max(3, n_positive * LEAST_SHARE / 2))
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    @F.pandas_udf("array<int>")
+    def indexed(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        return pd.Series([np.array([index[f] for f in text_features(t if isinstance(t, str) else "") if f in index], np.int32) for t in texts])
+
+    folds = max(1, n_positive // PER_FOLD)
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.distinct().withColumn("positive", F.lit(False)))
-    folds = max(1, min(MAX_POSITIVE, counts[1]) // PER_FOLD)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)))
-    found = sample.groupBy("fold").applyInPandas(lambda pdf: fit_fold(pdf, prior), "feature binary, weight double").collect()
-    biases = [r.weight for r in found if r.feature is None]
+    sample = text.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("text_key"), "positive", indexed("text").alias("features"))
+    width = len(names)
+    found = sample.groupBy(F.pmod("text_key", F.lit(folds)).alias("fold")).applyInPandas(lambda pdf: fit_fold(pdf, width, prior), "feature long, weight double").collect()
+    biases = [r.weight for r in found if r.feature < 0]
     if not biases:
         return {}, float(np.log(prior / (1 - prior)))
     weights: dict[bytes, float] = {}
     for r in found:
-        if r.feature is not None:
-            weights[bytes(r.feature)] = weights.get(bytes(r.feature), 0.0) + r.weight / len(biases)
+        if r.feature >= 0:
+            weights[names[r.feature]] = weights.get(names[r.feature], 0.0) + r.weight / len(biases)
     return {f: w for f, w in weights.items() if abs(w) > 1e-3}, float(np.mean(biases))
 
 
