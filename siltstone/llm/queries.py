@@ -24,12 +24,24 @@ def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.quality import apply_rules
 
@@ -66,9 +78,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
-    "op6_lattice_score": op6_lattice_score,
+    "op2_source_mix": op2_source_mix,
     "op3_ngram_join": op3_ngram_join,
+    "op4_html_extract": op4_html_extract,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lattice_score": op6_lattice_score,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
