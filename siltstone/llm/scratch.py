@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +43,15 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that are broadcast at most (8 bytes each); more go through a join.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in ``ids`` (a table with a doc_id column); null equals null."""
+    scratch = Scratch(docs.sparkSession)
+    ids = scratch.keep(ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct(), "gone")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
