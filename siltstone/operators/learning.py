@@ -78,7 +78,7 @@ def lloyd(points: DataFrame, k: int, rounds: int = 50) -> tuple[DataFrame, list[
 def outliers(assigned: DataFrame) -> DataFrame:
     """Distance over the largest distance of the cluster; 1 where that is 0."""
     most = F.max("distance").over(W.partitionBy("cluster"))
-    return assigned.withColumn("outlier", F.when(most > 0, F.round(F.col("distance") / most, 6)).otherwise(1.0))
+    return assigned.withColumn("outlier", F.when(most > 0, F.col("distance") / most).otherwise(1.0))
 
 
 def z_scores(rows: DataFrame, value: str, limit: float = 2.0) -> DataFrame:

@@ -68,7 +68,7 @@ def a12(t):
 @query("m6_m10_lloyd")
 def m6(t):
     assigned, _ = ln.lloyd(vectors(t), 6, 10)
-    return ln.z_scores(ln.outliers(assigned), "distance").select("id", "cluster", F.round("distance", 6).alias("distance"), "outlier", "anomaly")
+    return ln.z_scores(ln.outliers(assigned), "distance").select("id", "cluster", F.round("distance", 6).alias("distance"), F.round("outlier", 6).alias("outlier"), "anomaly")
 
 
 @query("m5_m7_kmeans_report")

@@ -24,7 +24,7 @@ def rows(df):
     import pandas as pd
 
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v is pd.NaT or v != v else bool(v) if str(type(v)).find("bool") >= 0 else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
+    clean = lambda v: None if v is None or v is pd.NA or v is pd.NaT or v != v else bool(v) if str(type(v)).find("bool") >= 0 else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
     return sorted((tuple(clean(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
 
