@@ -129,3 +129,19 @@ def covered_complexity(units: DataFrame, coverage: DataFrame) -> DataFrame:
     hit = coverage.where("hit").select(F.col("path").alias("_p"), "ln")
     on = (units["path"] == hit["_p"]) & hit["ln"].between(units["start"], units["end"])
     return units.join(hit, on, "left_semi").withColumn("covered", F.lit(True)).unionByName(units.join(hit, on, "left_anti").withColumn("covered", F.lit(False)))
+
+
+def curated(generated: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """Selected rows with the patch's fields over the generated ones, and ``missing`` where no row was generated.
+
+    Only ids with a patch are selected; an orphan patch (``orphan`` true) stands for itself.
+    """
+    g = generated.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_g_{c}") for c in generated.columns if c != key))
+    j = patches.join(g, patches[key] == g["_k"], "left")
+    fields = [c for c in generated.columns if c != key]
+    return j.select(key, *(F.coalesce(F.col(c), F.col(f"_g_{c}")).alias(c) for c in fields), (F.col("_k").isNull() & ~F.col("orphan")).alias("missing"))
+
+
+def coverage_scope(new_code: Column, overall: Column) -> Column:
+    """What a gate's coverage is measured on: changed lines if there is a diff, else everything, else nothing."""
+    return F.when(new_code.isNotNull(), "new-code").when(overall.isNotNull(), "overall").otherwise("none")

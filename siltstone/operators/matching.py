@@ -135,3 +135,16 @@ def recommendation_groups(found: DataFrame, most: int = 25) -> DataFrame:
     first = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     places = first.groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat_ws(":", "path", "ln").alias("at")))), lambda x: x["at"]), ",").alias("places"))
     return found.groupBy("rule_id").agg(F.first("severity").alias("severity"), F.count("*").alias("n")).join(places, "rule_id")
+
+
+def detector_lint(regex: Column) -> Column:
+    """Risk weight of a pattern read on its own: short alternatives without a boundary, no anchor, greedy gaps, little text."""
+    plain = F.length(F.regexp_replace(regex, r"\\[a-zA-Z]|[\[\](){}|^$.*+?\\]", ""))
+    bounded = regex.contains("\\b") | regex.rlike(r"\(\^\||\|\$\)")
+    short = regex.rlike(r"(^|[(|])[A-Za-z]{1,4}([)|]|$)") & ~bounded
+    return (
+        F.when(short, 3).otherwise(0)
+        + F.when(~regex.rlike(r"^\^|\$$") & ~bounded, 1).otherwise(0)
+        + F.when(regex.rlike(r"\.\*[^?]|\.\*$"), 2).otherwise(0)
+        + F.when(plain <= 6, 2).otherwise(0)
+    )

@@ -196,3 +196,8 @@ def test_unsafe_regexes(spark):
 def test_agent_paths(spark):
     for p, y in (("x/AGENTS.md", True), ("README.md", False), (".claude/docs/a.md", False), ("a/.cursor/rules/b", True), ("x.mdc", True)):
         assert one(spark, tx.is_agent_path(F.lit(p))) is y
+
+
+def test_detector_lint(spark):
+    weight = lambda p: one(spark, matching.detector_lint(F.lit(p)))
+    assert weight("(eval|exec)") > weight(r"\b(eval|exec)\b") and weight("a.*") > weight("^password[ ]?=$")
