@@ -41,9 +41,18 @@ def analyses(t: Tables) -> DataFrame:
 
 
 def calls(t: Tables) -> DataFrame:
-    """A cyclic call graph from orders; customers are the nodes."""
+    """The part of the call graph that the SQL of the queries names."""
+    return _calls(t, t.orders.where("o_orderkey % 8 = 0"))
+
+
+def all_calls(t: Tables) -> DataFrame:
+    """A cyclic call graph from all orders; customers are the nodes."""
+    return _calls(t, t.orders)
+
+
+def _calls(t: Tables, orders: DataFrame) -> DataFrame:
     n = t.customer.select(F.count("*").alias("n"))
-    e = t.orders.where("o_orderkey % 8 = 0").crossJoin(F.broadcast(n)).select(F.col("o_custkey").cast("long").alias("src"), ((7 * F.col("o_custkey") + 13 * F.col("o_orderkey")) % F.col("n")).cast("long").alias("dst"))
+    e = orders.crossJoin(F.broadcast(n)).select(F.col("o_custkey").cast("long").alias("src"), ((7 * F.col("o_custkey") + 13 * F.col("o_orderkey")) % F.col("n")).cast("long").alias("dst"))
     return e.where("src != dst")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph as g
-from siltstone.plans.fixtures import CALL, FINDING, calls, found
+from siltstone.plans.fixtures import CALL, FINDING, all_calls, calls, found
 from siltstone.plans.registry import query
 
 EDGE = "edge AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst FROM pages)"
@@ -83,7 +83,7 @@ def g10(t):
 @query("g11_flows")
 def g11(t):
     node = lambda c: t.customer.where(c).select(F.col("c_custkey").cast("long").alias("node"))
-    return g.flows(node("c_custkey % 50 = 0"), node("c_custkey % 7 = 3"), node("c_custkey % 11 = 5"), calls(t), 4).select("source", "sink", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return g.flows(node("c_custkey % 50 = 0"), node("c_custkey % 7 = 3"), node("c_custkey % 11 = 5"), all_calls(t), 4).select("source", "sink", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("g12_trace_coverage", "WITH s AS (SELECT user_id, event_type AS state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), w AS (SELECT DISTINCT state AS src, nxt AS dst FROM s WHERE nxt IS NOT NULL AND user_id % 40 = 0), k AS (SELECT DISTINCT state AS src, nxt AS dst FROM s WHERE nxt IS NOT NULL) SELECT count(*)::BIGINT AS total, sum(CASE WHEN w.src IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS hit, round(sum(CASE WHEN w.src IS NOT NULL THEN 1 ELSE 0 END) / count(*), 4) AS share FROM k LEFT JOIN w USING (src, dst)")
