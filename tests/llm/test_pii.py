@@ -98,3 +98,30 @@ def test_native(spark):
 
 def test_empty(spark):
     assert pii.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+LONG = {
+    "password": "password=" + "aB3$x9_Q" * 40,
+    "token": "token=" + "eyJhbGci0iJIUzI1.NiJ9_-" * 30,
+    "ghp": "ghp_" + "aB3dE5gH" * 40,
+    "sk": "sk-" + "aB3d-E5gH_" * 40 + "x",
+    "xoxb": "xoxb-" + "12345-aBcDe" * 40,
+    "hex": "0123456789abcdef" * 8,
+}
+
+
+def test_long_secrets_are_whole(spark):
+    texts = [f"é before {secret} after {i}" for i in range(12) for secret in LONG.values()]
+    df = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    model = pii.fit(df)
+    for r in pii.find_spans(df, model).collect():
+        secret = r.text.split(" ")[2]
+        assert [r.text[x.s : x.e] for x in r.spans] == [secret], r.text
+    assert all(len(r.text.split(" ")) == 5 and r.text.split(" ")[2] in ("[PASSWORD]", "[TOKEN]", "[KEY]", "[HEX]") for r in pii.redact(df, model).collect())
+
+
+def test_very_long_secret_is_linear(spark):
+    text = "token=" + "aB3d-E5gH_" * 100_000 + " sk-" + "a-" * 500_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = df.select(pii.proposed_spans(df.text).alias("x")).first()
+    assert [(x.s, x.e) for x in row.x][0] == (0, 1_000_006) and row.x[-1].e == len(text)
