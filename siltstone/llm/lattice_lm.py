@@ -38,7 +38,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD = 300_000
 #: Words held before a task hands its counts on.
 HELD = 200_000
-#: Longest word that the lattice takes at once; a longer one is cut into pieces of this many bytes.
+#: Words up to this many bytes are taken many at once; a longer one is a chain of its own, whole all the same.
 LONGEST = 64
 SPACE = "▁".encode()
 LOG10 = math.log(10.0)
@@ -138,9 +138,36 @@ class Lattice:
             beta[rows, end - k] = np.logaddexp(beta[rows, end - k], beta[rows, end] + self.logs[piece])
         return beta
 
+    def chain(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of all edges of one word, by end."""
+        codes = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(word) + 1, np.uint64)
+        starts, ends, pieces = [], [], []
+        with np.errstate(over="ignore"):
+            for k in range(1, min(len(word), self.longest) + 1):
+                h = h[:-1] * np.uint64(BASE) + codes[k - 1 :]  # of the k bytes from each start
+                if k in self.lens:
+                    found = self.find(mix(h + np.uint64(k)))
+                    at = np.flatnonzero(found >= 0)
+                    starts.append(at)
+                    ends.append(at + k)
+                    pieces.append(found[at])
+        start, end, piece = (np.concatenate(x) for x in (starts, ends, pieces))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
+
+    def along(self, n: int, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> list[float]:
+        """Forward sums of a chain of n bytes; edges by end."""
+        return _sums(n, start.tolist(), end.tolist(), self.logs[piece].tolist())
+
+    def against(self, n: int, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> list[float]:
+        """Backward sums of a chain: the forward ones of the chain read from its end."""
+        order = np.argsort(-start, kind="stable")
+        return _sums(n, (n - end[order]).tolist(), (n - start[order]).tolist(), self.logs[piece[order]].tolist())[::-1]
+
     def batches(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Padded tables of words of like length; a long word gives several rows."""
-        parts = [(i, part) for i, w in enumerate(words) for part in cut(w)]
+        """Padded tables of the words of up to LONGEST bytes, those of like length together."""
+        parts = [(i, m) for i, m in enumerate(map(marked, words)) if len(m) <= LONGEST]
         parts.sort(key=lambda x: len(x[1]))
         for a in range(0, len(parts), 8192):
             some = parts[a : a + 8192]
@@ -154,7 +181,9 @@ class Lattice:
         out = np.zeros(len(words))
         for owners, table, lens in self.batches(words):
             alpha = self.forward(len(lens), table.shape[1], self.edges(table, lens))
-            np.add.at(out, owners, alpha[np.arange(len(lens)), lens])
+            out[owners] = alpha[np.arange(len(lens)), lens]
+        for i, m in long_words(words):
+            out[i] = self.along(len(m), *self.chain(m))[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -166,13 +195,35 @@ class Lattice:
             total, n = alpha[np.arange(len(lens)), lens], counts[owners]
             for (end, k), (rows, piece) in edges.items():
                 out += np.bincount(piece, n[rows] * np.exp(alpha[rows, end - k] + self.logs[piece] + beta[rows, end] - total[rows]), len(out))
+        for i, m in long_words(words):
+            start, end, piece = self.chain(m)
+            alpha, beta = (np.array(f(len(m), start, end, piece)) for f in (self.along, self.against))
+            out += np.bincount(piece, counts[i] * np.exp(alpha[start] + self.logs[piece] + beta[end] - alpha[-1]), len(out))
         return out
 
 
-def cut(word: bytes) -> list[bytes]:
-    """The word with its mark; longer words in parts."""
-    marked = b" " + word
-    return [marked[a : a + LONGEST] for a in range(0, len(marked), LONGEST)]
+def _sums(n: int, start: list[int], end: list[int], logs: list[float]) -> list[float]:
+    """Log of the sum over all paths from 0 to each place; edges by end."""
+    alpha = [0.0] + [-math.inf] * n
+    i = 0
+    while i < len(end):
+        at, terms = end[i], []
+        while i < len(end) and end[i] == at:
+            terms.append(alpha[start[i]] + logs[i])
+            i += 1
+        top = max(terms)
+        if top > -math.inf:
+            alpha[at] = top + math.log(sum([math.exp(t - top) for t in terms]))
+    return alpha
+
+
+def marked(word: bytes) -> bytes:
+    return b" " + word
+
+
+def long_words(words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Place and marked word of those over LONGEST bytes."""
+    return ((i, m) for i, m in enumerate(map(marked, words)) if len(m) > LONGEST)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -325,13 +376,11 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = H
 
 def brute_log_probability(word: bytes, weights: dict[bytes, float]) -> float:
     """The same by plain recursion, for tests."""
-    out = 0.0
-    for part in cut(word):
-        alpha = [0.0] + [-math.inf] * len(part)
-        for end in range(1, len(part) + 1):
-            terms = [alpha[a] + weights[part[a:end]] for a in range(end) if part[a:end] in weights and alpha[a] > -math.inf]
-            if terms:
-                top = max(terms)
-                alpha[end] = top + math.log(sum(math.exp(t - top) for t in terms))
-        out += alpha[-1]
-    return out
+    whole = b" " + word
+    alpha = [0.0] + [-math.inf] * len(whole)
+    for end in range(1, len(whole) + 1):
+        terms = [alpha[a] + weights[whole[a:end]] for a in range(end) if whole[a:end] in weights and alpha[a] > -math.inf]
+        if terms:
+            top = max(terms)
+            alpha[end] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return alpha[-1]

@@ -111,3 +111,42 @@ def test_lattice_sums_all_segmentations():
 
 def test_lattice_empty(spark):
     assert lattice_lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+LONG = ["漢字仮名交じり文の長い行です" * 12, "https://example.org/" + "segmentation-of-the-words/" * 8, "ที่นี่ไม่มีช่องว่าง" * 9, "x" * 63, "x" * 64, "a" * 1000]
+
+
+def whole_log_probability(word, weights):
+    """By scaled sums over the whole word, apart from the module's own code."""
+    sums, scale = [1.0], 0.0
+    for end in range(1, len(word) + 1):
+        sums.append(sum(sums[a] * math.exp(weights[word[a:end]]) for a in range(max(0, end - 80), end) if word[a:end] in weights))
+        scale += math.log(sums[-1])
+        sums = [x / sums[-1] for x in sums]
+    return scale
+
+
+def test_long_words_are_not_cut():
+    pieces, logs = lattice_lm.load_pieces(lattice_lm.VOCABULARY)
+    lattice = lattice_lm.Lattice(pieces, logs)
+    weights = dict(zip(pieces, logs, strict=True))
+    words = [w.encode() for w in LONG]
+    got = lattice.log_probability(words)
+    assert np.allclose(got, [whole_log_probability(b" " + w, weights) for w in words], rtol=1e-10)
+    for w in words:
+        counts = lattice.expected([w], np.array([3.0]))
+        assert abs(sum(n * len(p) for n, p in zip(counts, pieces, strict=True)) - 3 * (len(w) + 1)) < 1e-5
+
+
+def test_chain_equals_table():
+    pieces, logs = lattice_lm.load_pieces(lattice_lm.VOCABULARY)
+    lattice = lattice_lm.Lattice(pieces, logs)
+    words = [w.encode() for w in ("segmentation", "ünïcödé", "漢字", "a", "")]
+    marked = [b" " + w for w in words]
+    assert np.allclose([lattice.along(len(m), *lattice.chain(m))[-1] for m in marked], lattice.log_probability(words))
+    table = lattice.expected(words, np.ones(len(words)))
+    keep, lattice_lm.LONGEST = lattice_lm.LONGEST, 0
+    try:
+        assert np.allclose(lattice.expected(words, np.ones(len(words))), table)
+    finally:
+        lattice_lm.LONGEST = keep
