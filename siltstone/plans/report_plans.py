@@ -12,10 +12,11 @@ from siltstone.sources import reports as r
 
 @query("s18_sarif_logs", f"WITH {FINDING} SELECT source, count(*)::BIGINT AS results, count(DISTINCT rule_id)::BIGINT AS rules FROM finding GROUP BY source")
 def s18(t):
-    """One log per source, read back: results and rules."""
+    """Logs of each source, read back: results and rules."""
     logs = r.sarif_rows(found(t), ["source"], "siltstone")
-    back = logs.select("source", F.from_json("value", r.SARIF).alias("s"))
-    return back.select("source", F.size(F.col("s.runs")[0]["results"]).cast("long").alias("results"), F.size(F.col("s.runs")[0]["tool"]["driver"]["rules"]).cast("long").alias("rules"))
+    run = F.from_json("value", r.SARIF)["runs"][0]
+    back = logs.select("source", run.alias("run")).select("source", F.size("run.results").alias("n"), F.posexplode("run.tool.driver.rules").alias("i", "rule"))
+    return back.groupBy("source").agg(F.sum(F.when(F.col("i") == 0, F.col("n")).otherwise(0)).alias("results"), F.countDistinct("rule.id").alias("rules"))
 
 
 @query("s19_work_list", f"WITH {FINDING} SELECT '- [ ] **' || severity || '** `' || rule_id || '` ' || path || ':' || ln AS value FROM finding")
@@ -71,7 +72,7 @@ def s8(t):
 
 @query("s3_s4_sarif_import", f"WITH {FINDING} SELECT tool, count(*)::BIGINT AS n FROM (SELECT DISTINCT 'siltstone' AS tool, rule_id, path, ln FROM finding) GROUP BY tool")
 def s3(t):
-    path = _written(t, r.sarif_rows(found(t), ["source"], "siltstone").repartition(4), "sarif")
+    path = _written(t, r.sarif_rows(found(t), ["source"], "siltstone"), "sarif")
     return r.import_reports(r.read_sarif_lines(t.spark, path))[1]
 
 

@@ -133,13 +133,23 @@ def read_advisories(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("ghsa_id").agg(F.max_by(F.struct("cve_id", "severity", "ecosystem", "cwes", "published_at"), "published_at").alias("r")).select("ghsa_id", "r.*")
 
 
-def sarif_rows(found: DataFrame, by: list[str], tool: str) -> DataFrame:
-    """One SARIF log per group: its results in order, and one rule per distinct rule id. A group is one report."""
+#: Parts of a group by the path's hash, and most results of a log.
+LOG_PARTS, MOST_RESULTS = 256, 5_000
+
+
+def sarif_rows(found: DataFrame, by: list[str], tool: str, most: int = MOST_RESULTS) -> DataFrame:
+    """SARIF logs of each group, with at most ``most`` results each: results in order, and one rule per distinct rule id.
+
+    A group is dealt out by the path's hash, and each part is cut into logs by the place in it, so neither a task nor a
+    log grows with the group. No result is left out.
+    """
     result = F.struct(
         F.col("rule_id").alias("ruleId"), severity_level(F.col("severity")).alias("level"), F.struct(F.col("snippet").alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("ln").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))).alias("locations"),
     )
-    g = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("path", "ln", "col", "rule_id", result.alias("r")))).alias("rs"), F.array_sort(F.collect_set("rule_id")).alias("ids"))
+    w = W.partitionBy(*by, "_part").orderBy("path", "ln", "col", "rule_id")
+    dealt = found.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(LOG_PARTS))).withColumn("_log", F.floor((F.row_number().over(w) - 1) / most))
+    g = dealt.groupBy(*by, "_part", "_log").agg(F.array_sort(F.collect_list(F.struct("path", "ln", "col", "rule_id", result.alias("r")))).alias("rs"), F.array_sort(F.collect_set("rule_id")).alias("ids"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.transform("ids", lambda i: F.struct(i.alias("id"))).alias("rules")).alias("driver")).alias("tool"), F.transform("rs", lambda x: x["r"]).alias("results"))
     return g.select(*by, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
 
