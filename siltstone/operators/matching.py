@@ -1,7 +1,7 @@
 """Rules over lines: the regex theta join, its deduplications, cross-tool echoes, and reports on findings.
 
-The rule table is a parameter of the user's, small by nature; it is broadcast only below ``MOST_RULES`` rows. With many
-rules, one fused alternation first drops the lines that no rule matches, so the nested loop sees only hits.
+The rule table is a parameter of the user's, small by nature; it is broadcast up to ``MOST_RULES`` rows, and a larger one
+is joined as Spark sees fit, with every rule. With many rules, one fused alternation first drops the lines that no rule matches, so the nested loop sees only hits.
 """
 
 from __future__ import annotations
@@ -55,7 +55,8 @@ def findings(files: DataFrame, rules: DataFrame, patterns: list[str] | None = No
     if patterns:
         rows = rows.where(F.col("txt").rlike(fused(patterns)))
     rules = rules.where("regex != ''")
-    matched = rows.join(F.broadcast(rules.limit(MOST_RULES)), F.expr("(array_contains(languages, 'any') OR array_contains(languages, lang)) AND txt RLIKE regex"))
+    few = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
+    matched = rows.join(F.broadcast(rules) if few else rules, F.expr("(array_contains(languages, 'any') OR array_contains(languages, lang)) AND txt RLIKE regex"))
     matched = matched.where("unless IS NULL OR NOT txt RLIKE unless")
     found = F.expr("regexp_extract(txt, regex, 0)")
     out = matched.withColumn("col", F.expr("regexp_instr(txt, regex)")).withColumn("end_col", F.col("col") + F.length(found)).withColumn("snippet", F.trim("txt"))

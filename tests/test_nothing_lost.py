@@ -3,6 +3,9 @@
 import json
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from siltstone.operators import matching
 from siltstone.sources import reports
 
 
@@ -21,3 +24,14 @@ def test_logs_of_a_hot_source_are_bounded(spark):
     for of in runs.values():
         for run in of:
             assert {x["ruleId"] for x in run["results"]} == {x["id"] for x in run["tool"]["driver"]["rules"]}
+
+
+def test_every_rule_of_a_large_table(spark):
+    n = matching.MOST_RULES + 50
+    rules = spark.range(n).select(
+        F.format_string("R%05d", "id").alias("rule_id"), F.format_string("x%05d", "id").alias("regex"), F.lit(None).cast("string").alias("unless"), F.lit("MAJOR").alias("severity"), F.lit("BUG").alias("type"),
+        F.lit(1).alias("effort"), F.lit("p").alias("pack"), F.array(F.lit("any")).alias("languages"), F.array(F.lit("CWE-1")).alias("cwe"), F.col("id").cast("int").alias("seq"),
+    )
+    hit = [0, 7, matching.MOST_RULES - 1, *range(matching.MOST_RULES, n)]
+    files = spark.createDataFrame([("f", "en", "\n".join(f"x{i:05d}" for i in hit))], "path string, lang string, text string")
+    assert sorted(r.rule_id for r in matching.findings(files, rules).collect()) == [f"R{i:05d}" for i in hit]
