@@ -69,7 +69,7 @@ def _report_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_lcov(spark: SparkSession, path: str) -> DataFrame:
     """(path, ln, hit) of LCOV files; a line hit once anywhere is hit."""
     w = W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    rows = _report_lines(spark, path).withColumn("path", F.last(F.when(F.col("txt").startswith("SF:"), F.substring("txt", 4, 100000)), ignorenulls=True).over(w))
+    rows = _report_lines(spark, path).withColumn("path", F.last(F.when(F.col("txt").startswith("SF:"), F.substring("txt", F.lit(4), F.length("txt"))), ignorenulls=True).over(w))
     da = rows.where(F.col("txt").rlike("^DA:[0-9]+,[0-9]+"))
     return da.select(normal_path(F.col("path")).alias("path"), F.regexp_extract("txt", "^DA:([0-9]+),", 1).cast("int").alias("ln"), (F.regexp_extract("txt", "^DA:[0-9]+,([0-9]+)", 1).cast("long") > 0).alias("hit")).groupBy("path", "ln").agg(F.bool_or("hit").alias("hit"))
 
@@ -122,7 +122,7 @@ def read_diff(spark: SparkSession, path: str, ranges: bool = False) -> DataFrame
 def patch_cases(diffs: DataFrame, least: int = 20) -> DataFrame:
     """Before and after text of diffs (id, diff): removed and added lines joined, short ones dropped."""
     lines = F.split("diff", r"\r?\n")
-    side = lambda sign: F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.substring(x, 2, 100000)), "\n")
+    side = lambda sign: F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.substring(x, F.lit(2), F.length(x))), "\n")
     both = F.explode(F.array(F.struct(F.lit("before").alias("side"), side("-").alias("text")), F.struct(F.lit("after").alias("side"), side("+").alias("text"))))
     return diffs.select("id", both.alias("x")).select("id", "x.*").where(F.length("text") >= least)
 

@@ -35,3 +35,15 @@ def test_every_rule_of_a_large_table(spark):
     hit = [0, 7, matching.MOST_RULES - 1, *range(matching.MOST_RULES, n)]
     files = spark.createDataFrame([("f", "en", "\n".join(f"x{i:05d}" for i in hit))], "path string, lang string, text string")
     assert sorted(r.rule_id for r in matching.findings(files, rules).collect()) == [f"R{i:05d}" for i in hit]
+
+
+def test_long_lines_of_diffs_are_whole(spark):
+    old, new = "word " * 30_000 + "end", "wörd " * 25_000 + "end"
+    df = spark.createDataFrame([(1, f"--- a\n+++ b\n-{old}\n+{new}\n+two")], "id int, diff string")
+    assert {r.side: r.text for r in reports.patch_cases(df).collect()} == {"before": old, "after": new + "\ntwo"}
+
+
+def test_long_path_of_coverage_is_whole(spark, tmp_path):
+    path = "d/" * 60_000 + "a.py"
+    (tmp_path / "x.info").write_text(f"SF:{path}\nDA:1,1\nend_of_record\n")
+    assert [(r.path, r.ln, r.hit) for r in reports.read_lcov(spark, str(tmp_path / "x.info")).collect()] == [(path, 1, True)]
