@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes it to the shared folder and reads it again
 for the next stage, so a lost executor costs a part of one stage. All stages but the last return the columns of
-documents. Rows are told apart by doc_id: what a stage finds about an id goes for all rows with it.
+documents. Rows are told apart by a key of their own, not by doc_id, which may be null or shared.
 """
 
 from __future__ import annotations
@@ -26,22 +26,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_documents(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
+def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row, written once so that every later read sees the same keys."""
+    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What the operators read, with the row's key in place of the id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` of the rows whose key is not in ``gone`` (a table with a doc_id column that holds keys)."""
+    kept = without_ids(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id"), gone)
+    return kept.drop("doc_id").withColumnRenamed("_id", "doc_id").select(*docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id (of repeated rows, one)."""
+    """One document of each group of near duplicates: the one with the least doc_id, nulls last (of repeated rows, one)."""
     scratch = Scratch(spark)
-    found = scratch.keep(near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).select("doc_id", "component_id"), "found")
-    kept = without_ids(docs, found.where("doc_id != component_id"))
-    repeated = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without_ids(kept, repeated).unionByName(again)
+    rows = keyed(scratch, docs)
+    found = near_duplicates(by_row(rows), SHINGLE_WORDS, SIMILAR_PERCENT)
+    found = scratch.keep(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"), (F.col("n_shingles") == 0).alias("wordless")), "found")
+    copies = found.where("_row != group").select("_row", "group")
+    ids = rows.select("_row", "doc_id")
+    members = copies.unionByName(copies.select(F.col("group").alias("_row"), "group").distinct()).join(ids, "_row").withColumn("same", F.lit(None).cast("long"))
+    # Rows without words are no near duplicates; of those with one id, one stays.
+    wordless = found.where("wordless").select("_row").join(ids, "_row").where("doc_id is not null").select("_row", F.lit(None).cast("long").alias("group"), "doc_id", F.col("doc_id").alias("same"))
+    members = scratch.keep(members.unionByName(wordless), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))["_row"]
+    stay = members.groupBy("group", "same").agg(first.alias("_row")).select("_row")
+    return without_rows(rows, members.join(stay, "_row", "left_anti").select(F.col("_row").alias("doc_id")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands verbatim in the benchmark."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.where(contaminated()).select("doc_id"))
+    rows = keyed(Scratch(spark), docs)
+    found = find_contamination(by_row(rows), table(spark, sf_dir, "benchmark"))
+    return without_rows(rows, found.where(contaminated()).select("doc_id"), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,22 @@ def test_empty_documents(spark, tmp_path):
     tables(spark, str(tmp_path), 3)
     spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def text_of(rng, n=60):
+    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    rng = random.Random(1)
+    a, b, c, d, e, f = (text_of(rng) for _ in range(6))
+    row = lambda i, text: (i, text, "en", "s", 0)
+    rows = [row(None, a), row(None, a), row(None, a + " tail"), row(1, b), row(2, b + " tail"), row(2, c), row(None, d), row(7, d), row(8, None), row(8, None), row(None, "")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    seen = sorted((str(r.doc_id), (r.text or "").removesuffix(" tail")) for r in got)
+    assert seen == sorted([("None", a), ("1", b), ("2", c), ("7", d), ("8", ""), ("None", "")])
+    spark.createDataFrame([(1, e)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [row(None, e), row(None, f), row(3, e + " tail"), row(3, a), row(4, b), row(None, None)]
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert got.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("None", f), ("3", a), ("4", b), ("None", "")])
