@@ -3,20 +3,21 @@
 Every task cuts its texts into shards of a few MB. A shard's words become ids of the benchmark's vocabulary
 (0 for a word that no item has) and the positions that can begin a match are sorted into a suffix array.
 Every suffix of every benchmark item is then found by binary search, which gives all places of its first
-``window`` words at once; matches that follow each other on one diagonal are joined into the longest verbatim
-match. Nothing is shuffled: the texts stay where they are read.
+``window`` words at once. Test suffixes that begin with the same window are one query with a list of the items that
+hold it, so a window that is common on both sides is found once and not once for each pair of places; its places count
+as hit, and each text takes the window's items once. Matches that follow each other on one diagonal are joined into the
+longest verbatim match of the text and the item. Nothing is shuffled: the texts stay where they are read.
 
-The benchmark is a stated query set. It goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, so what is
-broadcast has a fixed bound however long the benchmark is.
+The benchmark is a stated query set. It goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, and one pass over
+the texts searches all of them.
 
-Defined cases: null and empty texts have no words and are never contaminated; null or wordless items match
-nothing; null item ids are left out of the ids but their words count as hit; repeated rows each get a result;
-an empty table gives no rows. Columns of the inputs other than those named are not read.
+Defined cases: null and empty texts have no words and are never contaminated; a very long text is a shard of its own;
+null or wordless items match nothing; null item ids are left out of the ids but their words count as hit; repeated rows
+each get a result; an empty table gives no rows. Columns of the inputs other than those named are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,35 +35,39 @@ SPAN = pa.struct([("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_sta
 
 
 class Queries:
-    """The test suffixes of some items: their words as ids, in the form that a suffix array is searched with."""
+    """The distinct first windows of the test suffixes of some items, as a suffix array is searched, and whose they are."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         words = Words([(t or "").encode("utf-8", "surrogatepass") for _, t in items], NOT_ALNUM)
         self.window = window
+        self.item_ids = [k for k, _ in items]
         self.vocabulary, ids = np.unique(words.hashes(), return_inverse=True)
         ids = ids.astype(np.uint32) + np.uint32(1)
-        rows, self.item, self.start, self.length, anchors = [], [], [], [], []
         sizes = words.n[words.n > 0]
         self.anchor = int(min(3, sizes.min())) if len(sizes) else 0
-        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            n = min(window, b - a)
-            for p in range(a, b - n + 1) if n else ():
-                row = np.zeros(window, np.uint32)
-                row[:n] = ids[p : p + n]
-                rows.append(row)
-                self.item.append(i)
-                self.start.append(p - a)
-                self.length.append(n)
-                anchors.append(combine(ids[p : p + self.anchor].astype(np.uint64), self.anchor)[0])
-        self.item_ids = [k for k, _ in items]
-        self.length = np.array(self.length, np.int64)
-        self.anchors = np.unique(np.array(anchors, np.uint64))
-        table = np.array(rows, np.uint32).reshape(-1, window)
-        self.low = as_keys(table)
-        filled = table.copy()
-        for r, n in enumerate(self.length):
-            filled[r, n:] = 0xFFFFFFFF
+        width = np.minimum(words.n, window)
+        count = np.where(width > 0, words.n - width + 1, 0)
+        item = np.repeat(np.arange(len(items)), count)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        at, length = words.first[:-1][item] + start, width[item]
+        table = np.zeros((len(item), window), np.uint32)
+        for j in range(window):
+            table[:, j] = np.where(j < length, ids[np.minimum(at + j, len(ids) - 1)] if len(ids) else 0, 0)
+        self.low, own = np.unique(as_keys(table), return_inverse=True)
+        first = np.zeros(len(self.low), np.int64)
+        first[own[::-1]] = np.arange(len(own))[::-1]
+        self.length = length[first]
+        filled = table[first]
+        filled[np.arange(window)[None, :] >= self.length[:, None]] = 0xFFFFFFFF
         self.high = as_keys(filled)
+        # The first place of each window in each item: rows of (window, item), in that order.
+        pairs = np.unique(np.stack([own.reshape(-1), item, start]), axis=1)
+        once = np.ones(pairs.shape[1], bool)
+        once[1:] = (np.diff(pairs[0]) != 0) | (np.diff(pairs[1]) != 0)
+        self.item, self.start = pairs[1][once], pairs[2][once]
+        self.of = np.searchsorted(pairs[0][once], np.arange(len(self.low) + 1))
+        self.words, self.first = ids, words.first
+        self.anchors = np.unique(combine_at(ids, at, self.anchor)) if len(item) else np.zeros(0, np.uint64)
 
     def ids_of(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -112,38 +117,83 @@ def combine_at(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return flat[::k] if len(starts) else np.zeros(0, np.uint64)
 
 
-def shard_hits(raws: list[bytes], q: Queries) -> Iterator[tuple[int, int, list, list]]:
-    """Per text of the shard: words, hit words, indices of items found, longest matches (item, doc_start, item_start, words)."""
+def spread(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for counts[i] numbers, one i after the other."""
+    return np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def shard_hits(raws: list[bytes], blocks: list[Queries]) -> Iterator[tuple[int, int, list, list]]:
+    """Per text of the shard: words, hit words, item ids found, longest matches (item id, doc_start, item_start, words)."""
     words = Words(raws, NOT_ALNUM)
-    found: dict[int, list[tuple[int, int, int, int]]] = {}
-    if len(q.low) and len(words.start):
-        ids = q.ids_of(words.hashes())
-        text_of = np.repeat(np.arange(len(raws)), words.n)
+    edge = np.zeros(len(words.start) + 1, np.int64)
+    found: list[list[tuple]] = [[] for _ in raws]
+    text_of = np.repeat(np.arange(len(raws)), words.n)
+    hashes = words.hashes() if len(words.start) else None
+    for q in blocks:
+        if not len(q.low) or hashes is None:
+            continue
+        ids = q.ids_of(hashes)
         suffixes = SuffixArray(ids, text_of, q)
         low, high = suffixes.ranges(q)
-        some = np.flatnonzero(high > low)
-        counts = (high - low)[some]
-        which = np.repeat(some, counts)
-        places = suffixes.at[np.repeat(low[some], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-        items, starts = np.array(q.item, np.int64)[which], np.array(q.start, np.int64)[which]
-        lengths = q.length[which]
-        order = np.lexsort((starts, starts - places, items, text_of[places])) if len(which) else np.zeros(0, np.int64)
-        run = None
-        for w in order.tolist():
-            t, i, p, s, n = int(text_of[places[w]]), int(items[w]), int(places[w] - words.first[text_of[places[w]]]), int(starts[w]), int(lengths[w])
-            if run and run[0] == t and run[1] == i and p - s == run[2] - run[3] and s <= run[3] + run[4]:
-                run[4] = s + n - run[3]
-            else:
-                run = [t, i, p, s, n]
-                found.setdefault(t, []).append(run)
+        counts = high - low
+        if not counts.any():
+            continue
+        window = np.repeat(np.arange(len(low)), counts)
+        place = suffixes.at[spread(counts, low)]
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + q.length[window], -1)
+        # Each window of a text once, at its first place, and then all items that hold it.
+        order = np.lexsort((place, window, text_of[place]))
+        text, window, place = text_of[place[order]], window[order], place[order]
+        once = np.ones(len(text), bool)
+        once[1:] = (np.diff(text) != 0) | (np.diff(window) != 0)
+        text, window, place = text[once], window[once], place[once] - words.first[text[once]]
+        counts = q.of[window + 1] - q.of[window]
+        own = np.repeat(np.arange(len(window)), counts)
+        held = spread(counts, q.of[window])
+        runs = joined(text[own], q.item[held], place[own], q.start[held], q.length[window[own]])
+        for t, i, p, s, n in longest(*extended(ids, words.first, q, *runs)):
+            found[t].append((q.item_ids[i], p, s, n))
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     for t in range(len(raws)):
-        n = int(words.n[t])
-        spans = found.get(t, [])
-        edge = np.zeros(n + 1, np.int64)
-        for _, _, p, _, length in spans:
-            edge[p] += 1
-            edge[p + length] -= 1
-        yield n, int((np.cumsum(edge[:n]) > 0).sum()), sorted({r[1] for r in spans}), [(r[1], r[2], r[3], r[4]) for r in spans]
+        hit = int(covered[words.first[t + 1]] - covered[words.first[t]])
+        yield int(words.n[t]), hit, sorted({r[0] for r in found[t] if r[0] is not None}), found[t]
+
+
+def joined(text: np.ndarray, item: np.ndarray, place: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows that follow each other in the text and in the item: text, item, doc_start, item_start, words."""
+    order = np.lexsort((start, start - place, item, text))
+    text, item, place, start, length = (x[order] for x in (text, item, place, start, length))
+    new = np.ones(len(text), bool)
+    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(start - place) != 0) | (start[1:] > start[:-1] + length[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(text)) - 1
+    return text[head], item[head], place[head], start[head], start[tail] + length[tail] - start[head]
+
+
+def extended(ids: np.ndarray, first: np.ndarray, q: Queries, text: np.ndarray, item: np.ndarray, place: np.ndarray, start: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs with what else stands verbatim at their ends: windows that the text already had at another place."""
+    n_text, n_item = np.diff(first)[text], np.diff(q.first)[item]
+    for left in (True, False):
+        live = np.arange(len(text))
+        while len(live):
+            p, s = (place[live] - 1, start[live] - 1) if left else (place[live] + words[live], start[live] + words[live])
+            inside = (p >= 0) & (s >= 0) & (p < n_text[live]) & (s < n_item[live])
+            live, p, s = live[inside], p[inside], s[inside]
+            live = live[ids[first[text[live]] + p] == q.words[q.first[item[live]] + s]]
+            words[live] += 1
+            if left:
+                place[live] -= 1
+                start[live] -= 1
+    return text, item, place, start, words
+
+
+def longest(text: np.ndarray, item: np.ndarray, place: np.ndarray, start: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, doc_start, item_start, words) of the longest match of each text and item; the first of equal ones."""
+    order = np.lexsort((place, -words, item, text))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(text[order]) != 0) | (np.diff(item[order]) != 0)
+    yield from zip(*(x[order[first]].tolist() for x in (text, item, place, start, words)), strict=True)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -159,54 +209,23 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: words, words inside any occurrence of a benchmark window, items found, longest verbatim matches."""
-    spark = docs.sparkSession
-    parts = []
-    for block in item_blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(Queries(block, window))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for first, raws in chunks(texts):
-                    rows = list(shard_hits(raws, q))
-                    spans = [[{"item_id": q.item_ids[i], "doc_start": p, "item_start": s, "n_words": n} for i, p, s, n in r[3]] for r in rows]
-                    items = [[q.item_ids[i] for i in r[2] if q.item_ids[i] is not None] for r in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(first, len(raws)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(SPAN))],
-                        names=["doc_id", "n_words", "n_hit", "items", "matches"],
-                    )
-
-        parts.append((docs, search))
-    if len(parts) == 1:
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(parts[0][1], RESULT)
-    return _merge_blocks(docs, [f for _, f in parts])
-
-
-def _merge_blocks(docs: DataFrame, searches: list) -> DataFrame:
-    """Unites what each block of the benchmark found in a document; rows are told apart by their place in the input."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
-    out = None
-    for search in searches:
-
-        def with_row(batches, search=search):
-            for batch in batches:
-                at = 0
-                for part in search(iter([batch])):
-                    yield pa.RecordBatch.from_arrays([*part.columns, batch.column(2).slice(at, part.num_rows)], names=[*part.schema.names, "row"])
-                    at += part.num_rows
-
-        found = rows.mapInArrow(with_row, RESULT + ", row long")
-        out = found if out is None else out.unionByName(found)
-    spans = F.flatten(F.collect_list("matches"))
-    covered = F.aggregate(
-        F.array_sort(F.transform(F.col("matches"), lambda m: F.struct(m["doc_start"].alias("a"), (m["doc_start"] + m["n_words"]).alias("b")))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda acc, m: F.struct((acc["n"] + F.greatest(F.lit(0), m["b"] - F.greatest(acc["to"], m["a"]))).cast("long").alias("n"), F.greatest(acc["to"], m["b"]).cast("long").alias("to")),
-    )["n"]
-    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), spans.alias("matches"))
-    return merged.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort("items").alias("items"), "matches")
+    """Per document: words, words inside any occurrence of a benchmark window, items found, and the longest verbatim
+    match with each of them."""
+    shared = [docs.sparkSession.sparkContext.broadcast(Queries(block, window)) for block in item_blocks(benchmark, block_words)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [b.value for b in shared]
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for first, raws in chunks(texts):
+                rows = list(shard_hits(raws, blocks))
+                spans = [[{"item_id": i, "doc_start": p, "item_start": s, "n_words": n} for i, p, s, n in r[3]] for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, len(raws)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array(spans, pa.list_(SPAN))],
+                    names=["doc_id", "n_words", "n_hit", "items", "matches"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, RESULT)
 
 
 def contaminated() -> F.Column:
@@ -218,7 +237,3 @@ def digest(found: DataFrame) -> DataFrame:
     """Columns of the contract from those of ``find_contamination``."""
     items = F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), contaminated().alias("contaminated"))
-
-
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
