@@ -9,8 +9,13 @@ Template, per turn: ``<|im_start|>`` role newline content ``<|im_end|>`` newline
 any number of backslashes, ``|`` gets one more backslash, so no text can make a control string, and taking one
 backslash out again gives the text back. Roles are escaped the same way, with backslash and newline as well.
 
+A batch is cut where its turns pass ``CHUNK`` bytes, so a task holds one chunk and its indices, or one conversation
+where that is longer; inside a conversation segments are copied by chunk too, and a segment longer than a chunk goes in
+one piece. A conversation is one value of the output, so its bytes have to fit a task, and Arrow's strings (2 GB).
+
 Defined cases: a null text or role is empty; turns are ordered by turn (null first), then role and text; repeated
-rows are repeated turns; a null conv_id is one conversation; an empty table gives no rows.
+rows are repeated turns; a null conv_id is one conversation; a very long text is copied whole; an empty table gives no
+rows; columns other than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes that are laid out at once, about; their scatter indices take eight times as many.
+CHUNK = 4_000_000
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -51,6 +59,16 @@ def conversations_by_id(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").cast("long"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
+def bounded(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to no more than the limit; a larger item is a range of its own."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
 def assemble(turn_counts: np.ndarray, roles: list[str], texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The formatted conversations as one Arrow column, and per turn the byte span of its content in its conversation."""
     heads = [f"{START}{escape_role(r)}\n".encode("utf-8", "surrogatepass") for r in roles]
@@ -63,10 +81,14 @@ def assemble(turn_counts: np.ndarray, roles: list[str], texts: list[str]) -> tup
     lens[:, 2] = len(tail)
     at = np.concatenate([[0], np.cumsum(lens.reshape(-1))])
     out = np.empty(at[-1], np.uint8)
-    for column, pieces in ((0, b"".join(heads)), (1, b"".join(bodies)), (2, tail * n)):
+    for column, pieces in ((0, heads), (1, bodies), (2, [tail] * n)):
         size, start = lens[:, column], at[:-1].reshape(-1, 3)[:, column]
-        before = np.cumsum(size) - size
-        out[np.repeat(start - before, size) + np.arange(size.sum())] = np.frombuffer(pieces, np.uint8)
+        for a, b in bounded(size, CHUNK):
+            if b == a + 1:
+                out[start[a] : start[a] + size[a]] = np.frombuffer(pieces[a], np.uint8)
+            else:
+                before = np.cumsum(size[a:b]) - size[a:b]
+                out[np.repeat(start[a:b] - before, size[a:b]) + np.arange(size[a:b].sum())] = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
     ends = np.concatenate([[0], np.cumsum(turn_counts)])
     offsets = at[3 * ends]
     column = pa.Array.from_buffers(pa.large_string(), len(turn_counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
@@ -74,6 +96,14 @@ def assemble(turn_counts: np.ndarray, roles: list[str], texts: list[str]) -> tup
     return column, at[1:-1:3] - own, at[2::3] - own
 
 
+def conversation_bytes(lists: pa.ListArray) -> np.ndarray:
+    """Bytes of the texts of each conversation, and some for each turn."""
+    turns = np.asarray(lists.value_lengths(), np.int64)
+    texts = np.asarray(pc.binary_length(lists.flatten().field("text")), np.int64) + 64
+    ends = np.concatenate([[0], np.cumsum(texts)])[np.concatenate([[0], np.cumsum(turns)])]
+    return np.diff(ends)
+
+
 FORMATTED = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -83,8 +113,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
+            for first, last in bounded(conversation_bytes(whole.column(1)), CHUNK):
+                batch = whole.slice(first, last - first)
                 lists = batch.column(1)
                 items = lists.flatten()
                 roles, texts = items.field("role").to_pylist(), items.field("text").to_pylist()
@@ -115,7 +145,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for conv, text, spans in ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()) for i in range(batch.num_rows)):
                 turns = hashlib.sha256()
                 n = 0
                 for role, content in parse(text):
