@@ -1,19 +1,24 @@
 """Main text of web pages with a tree-structured graphical model over the DOM.
 
 Every block element and every block of text is a node with two states, content and boilerplate. A node's own potential
-comes from discrete features (tag, words of class and id, text length, share of linked text, sentence end); a
-potential on each parent-child edge depends on the kind of the parent. Sum-product messages go up and then down the
-tree, which gives the exact marginal of every node; the blocks of text whose content marginal is over a half are the
-result, in page order.
-
-The potentials are smoothed counts from labelled pages: pages of a bounded sample (``MAX_PAGES`` with the least hash
-of their id) that mark their article, where the mark itself is hidden on half of the pages. Fixed pseudo-counts say
-what tags and class names mean before any page is seen. What is collected and broadcast is one count per feature
-value. Pages are read where they lie and never shuffled.
+comes from discrete features (tag with the share of linked text below it, words of class and id, text length, share of
+links, sentence end); a potential on each parent-child edge depends on the kind of the parent. Sum-product messages go
+up and then down the tree, which gives the exact marginal of every node; the blocks of text whose content marginal is
+over a half are the result, in page order.
+
+The potentials are counts from labelled pages: pages of a bounded sample (``MAX_PAGES`` with the least hash of their
+id) that mark their article. On half of them the mark and all class words are hidden from the features, so that what
+is learned is not the labels' own rule. Fixed pseudo-counts say what tags and class names mean before any page is seen;
+counts outweigh them as they grow, up to a bound for each feature. A feature that was never seen keeps its pseudo-counts:
+a list without links is not judged by the menus. What is collected and broadcast is one count per feature value.
+Pages are read where they lie and never shuffled. ``held_out_f1`` measures the model on labelled pages that it was not
+trained on, with mark and class words hidden.
 
 Defined cases: null and empty pages, and pages without content, give an empty text; a page cut off in a tag, entity
 or comment loses that piece only; unclosed elements end where the next sibling or an ancestor's end says; nesting of
-any depth is handled without recursion; repeated rows each get a result; other columns are not read.
+any depth, very long pages and quotes that never close are handled in linear time; text of elements that only some
+browsers draw (mathematics, drawings, objects) is text like any other; repeated rows each get a result; columns other
+than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 2_000
-#: Log odds that one feature can learn at most: lists that only menus use must stay possible in an article.
-MOST_LEARNED = 1.5
+#: Log odds of one feature at most, by kind, and the share of sampled pages (by hash of their id) that only measure.
+MOST_ODDS, HELD_OUT = {"tag": 4.0, "class": 4.0, "text": 2.0}, 5
 
 #: Elements of HTML by their role in a page.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math select option button canvas object video audio".split())
+RAW = frozenset("script style template noscript iframe textarea title select option button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,20 +51,17 @@ FENCES = frozenset("table ul ol dl td th article section main aside nav div body
 
 #: Pseudo-counts (content, boilerplate) of feature values.
 TAG_HINTS = {
-    "nav": (0.05, 30), "footer": (0.05, 30), "aside": (0.05, 30), "form": (0.05, 30), "menu": (0.05, 30), "dialog": (0.05, 30), "header": (0.3, 10), "head": (0.05, 30), "fieldset": (0.05, 20),
-    "article": (30, 0.2), "main": (12, 0.6), "p": (4, 2), "h1": (4, 2), "h2": (3, 2), "h3": (3, 2), "blockquote": (4, 1), "pre": (4, 1), "body": (1, 20), "html": (1, 20), "ul": (2, 2), "li": (2, 2),
+    "nav": (0.2, 12), "footer": (0.2, 12), "aside": (0.2, 12), "form": (0.2, 12), "menu": (0.2, 12), "dialog": (0.2, 12), "header": (0.4, 8), "head": (0.2, 12), "fieldset": (0.2, 12),
+    "article": (15, 0.3), "main": (10, 0.7), "p": (4, 2), "h1": (4, 2), "h2": (3, 2), "h3": (3, 2), "blockquote": (4, 1), "pre": (4, 1), "body": (1, 20), "html": (1, 20), "ul": (2, 2), "li": (2, 2),
 }
 BAD_WORDS = (
     "ad ads advert advertisement adsbygoogle banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent disqus foot footer form gdpr hero-nav login masthead menu modal nav navbar "
     "navigation newsletter notice notification notifications popup promo promoted promotion reader-comments related replies reply respond share sharing sidebar signup site-header skip social sponsor sponsored subscribe toolbar widget"
 ).split()
 GOOD_WORDS = "article body content entry main post story text articlebody prose".split()
-CLASS_HINTS = {"bad": (0.05, 40), "good": (8, 2), "none": (3, 3)}
+CLASS_HINTS = {"bad": (0.2, 20), "good": (8, 2), "none": (3, 3)}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)|<(?P<odd>/?[A-Za-z][^>]*)(?:>|\Z)",
-    re.S,
-)
+TOKEN = re.compile(r"<!--|<[!?]|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu"}
 
@@ -76,6 +78,8 @@ class Page:
         self._stack: list[tuple[str, int]] = [("#root", 0)]
         self._pieces: list[str] = []
         self._linked, self._anchors = 0, 0
+        self._open_tags: Counter = Counter()
+        self._never: set[str] = set()  # end marks that do not come any more
         self._read(source)
         self._flush()
 
@@ -105,6 +109,7 @@ class Page:
     def _pop_to(self, depth: int) -> None:
         for tag, _ in self._stack[depth:]:
             self._anchors -= tag == "a"
+            self._open_tags[tag] -= 1
         if any(tag in BLOCKS for tag, _ in self._stack[depth:]):
             self._flush()
         del self._stack[depth:]
@@ -115,7 +120,8 @@ class Page:
             return
         block = tag in BLOCKS
         if block:
-            for depth in range(len(self._stack) - 1, 0, -1):
+            ends = ("p", *CLOSES.get(tag, ()))
+            for depth in range(len(self._stack) - 1, 0, -1) if any(self._open_tags[x] for x in ends) else ():
                 name = self._stack[depth][0]
                 if name == "p" or name in CLOSES.get(tag, ()):
                     self._pop_to(depth)
@@ -128,10 +134,11 @@ class Page:
             return
         node = self._add(tag, class_group(rest)) if block else self._owner()
         self._stack.append((tag, node))
+        self._open_tags[tag] += 1
         self._anchors += tag == "a"
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
+        for depth in range(len(self._stack) - 1, 0, -1) if self._open_tags[tag] else ():
             if self._stack[depth][0] == tag:
                 self._pop_to(depth)
                 return
@@ -140,6 +147,36 @@ class Page:
         if tag in BLOCKS:
             self._flush()
 
+    def _after(self, source: str, mark: str, at: int) -> int:
+        """Place after the next mark, or -1; a mark that does not come any more is looked for once."""
+        found = -1 if mark in self._never else source.find(mark, at)
+        if found < 0:
+            self._never.add(mark)
+            return -1
+        return found + len(mark)
+
+    def _tag_end(self, source: str, at: int) -> tuple[str, int]:
+        """The attributes of a tag, and the place after it; a quote that never closes is a character like others."""
+        start = at
+        while True:
+            stop = _TAG_STOP.search(source, at)
+            if stop is None:
+                return source[start:], len(source)
+            at = stop.end()
+            if stop[0] == ">":
+                return source[start : at - 1], at
+            at = max(at, self._after(source, stop[0], at))
+
+    def _raw_end(self, source: str, tag: str, at: int) -> int:
+        """Place after the end tag of an element whose content is no text of the page, or -1."""
+        if "/" + tag in self._never:
+            return -1
+        stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+        if stop is None:
+            self._never.add("/" + tag)
+            return -1
+        return stop.end()
+
     def _read(self, source: str) -> None:
         at = 0
         while at < len(source):
@@ -148,23 +185,25 @@ class Page:
                 self._say(source[at:])
                 return
             self._say(source[at : m.start()])
-            at = m.end()
-            tag, rest = (m["tag"], m["rest"]) if m["tag"] else ((m["odd"] or "").lstrip("/").split(None, 1)[0] if m["odd"] else None, m["odd"] or "")
-            if not tag:
+            if not m["tag"]:
+                at = self._after(source, "-->" if m[0] == "<!--" else ">", m.end())
+                if at < 0:
+                    return
                 continue
-            tag, end = tag.lower(), bool(m["end"]) or (m["odd"] or "").startswith("/")
-            if end:
+            tag = m["tag"].lower()
+            rest, at = self._tag_end(source, m.end())
+            if m["end"]:
                 self._close(tag)
             elif tag in RAW and not rest.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                if stop:
-                    at = stop.end()
-                elif tag in ("script", "style", "textarea", "title"):
-                    at = len(source)
+                stop = self._raw_end(source, tag, at)
+                at = stop if stop >= 0 else len(source) if tag in ("script", "style", "textarea", "title") else at
             else:
                 self._open(tag, rest)
 
 
+_TAG_STOP = re.compile("[>\"']")
+
+
 def class_group(rest: str) -> str:
     """What class, id and role say: bad, good or none."""
     if "=" not in rest and "hidden" not in rest:
@@ -186,19 +225,28 @@ def class_group(rest: str) -> str:
 _BAD, _GOOD = frozenset(BAD_WORDS), frozenset(GOOD_WORDS)
 
 
+def link_share(linked: int, n: int) -> int:
+    return 0 if linked * 5 < n or not n else 1 if linked * 5 < 3 * n else 2
+
+
 def features(page: Page, hide_mark: bool = False) -> list[tuple]:
-    """Per node: its feature values, and the kind that its edges depend on."""
+    """Per node its feature values; hidden marks: no article or main, and no words of class, id or role."""
     out = []
+    total, linked = [0] * len(page.tag), [0] * len(page.tag)
+    for i in range(len(page.tag) - 1, 0, -1):
+        if i in page.text:
+            total[i], linked[i] = len(page.text[i]), page.linked[i]
+        total[page.parent[i]] += total[i]
+        linked[page.parent[i]] += linked[i]
     for i, (tag, group) in enumerate(zip(page.tag, page.group, strict=True)):
+        links = link_share(linked[i], total[i])
         if tag == "#text":
-            text = page.text[i]
-            n = len(text)
+            n = total[i]
             size = 0 if n < 20 else 1 if n < 60 else 2 if n < 200 else 3
-            links = 0 if page.linked[i] * 5 < n else 1 if page.linked[i] * 5 < 3 * n else 2
-            out.append((("text", size, links, text[-1] in ".!?:;\"'”»)…"),))
+            out.append((("text", size, links, page.text[i][-1] in ".!?:;\"'”»)…"),))
         else:
             shown = "div" if hide_mark and tag in ("article", "main") else tag
-            out.append((("tag", shown), ("class", group)))
+            out.append((("tag", shown, links), ("class", "none" if hide_mark else group)))
     return out
 
 
@@ -240,8 +288,9 @@ class Model:
     def __init__(self, counts: dict[tuple[str, str, bool], float]):
         self.counts = counts
         self.own: dict[tuple, tuple[float, float]] = {}
-        n = [sum(c for (kind, _, y), c in counts.items() if kind == "own" and y == state) + 1.0 for state in (False, True)]
-        self.scale = math.log(n[0] / n[1])
+        kinds = {k[1].partition(",")[0] for k in counts if k[0] == "own"}
+        # As many of each state for every kind of feature: a potential is a likelihood, not a share of the sample.
+        self.seen = {kind: [sum(c for (own, value, y), c in counts.items() if own == "own" and value.startswith(kind) and y == state) for state in (False, True)] for kind in kinds}
         self.edges = {}
         for kind in ("top", "box", "part"):
             for parent in (False, True):
@@ -253,20 +302,21 @@ class Model:
         """(boilerplate, content) of a feature value."""
         found = self.own.get(value)
         if found is None:
-            good, bad = TAG_HINTS.get(value[1], (1, 1)) if value[0] == "tag" else CLASS_HINTS[value[1]] if value[0] == "class" else (1.0 + value[1], 4.0 + 3 * value[2] - value[1])
+            good, bad = TAG_HINTS.get(value[1], (1, 1)) if value[0] == "tag" else CLASS_HINTS[value[1]] if value[0] == "class" else (1.0 + value[1], 2.0 + 2 * value[2])
             key = repr(value)
-            seen_good, seen_bad = self.counts.get(("own", key, True), 0), self.counts.get(("own", key, False), 0)
-            weight = 40.0 / (40.0 + seen_good + seen_bad) + 0.02
-            seen = math.log((seen_good + 1.0) / (seen_bad + 1.0)) + self.scale if seen_good + seen_bad else 0.0
-            odds = (1 - min(weight, 1)) * max(-MOST_LEARNED, min(MOST_LEARNED, seen)) + math.log(good / bad) * (1.0 if value[0] != "text" else 0.5)
-            found = self.own[value] = (0.0, odds)
+            no, yes = self.seen.get(key.partition(",")[0], (0, 0))
+            if no and yes:
+                half = (no + yes) / 2
+                good, bad = good + self.counts.get(("own", key, True), 0) * half / yes, bad + self.counts.get(("own", key, False), 0) * half / no
+            most = MOST_ODDS[value[0]]
+            found = self.own[value] = (0.0, max(-most, min(most, math.log(good / bad))))
         return found
 
-    def marginals(self, page: Page) -> list[float]:
+    def marginals(self, page: Page, hide_mark: bool = False) -> list[float]:
         """Content probability of every node, by messages up the tree and then down."""
         n = len(page.tag)
         own = [[0.0, 0.0] for _ in range(n)]
-        for i, f in enumerate(features(page)):
+        for i, f in enumerate(features(page, hide_mark)):
             for value in f:
                 a, b = self.potential(value)
                 own[i][0] += a
@@ -308,10 +358,16 @@ def extract(source: str | None, model: Model) -> str:
     return "\n\n".join(text for i, text in page.text.items() if content[i] > 0.5)
 
 
-def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = 5) -> Model:
-    """Counts over the labelled pages of the sample."""
+def labelled_sample(pages: DataFrame, max_pages: int, seed: int) -> DataFrame:
+    """html, whether marks are hidden, and whether the page is held out, of the sampled pages."""
     ids = pages.select("page_id").orderBy(F.xxhash64(F.lit(seed), F.col("page_id")), "page_id").limit(max_pages).distinct()
-    sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").select("html", (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("page_id")), F.lit(2)) == 0).alias("hide"))
+    draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed + k), F.col("page_id")), F.lit(n)) == 0
+    return pages.select("page_id", "html").join(F.broadcast(ids), "page_id").select("html", draw(1, 2).alias("hide"), draw(2, HELD_OUT).alias("held_out"))
+
+
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = 5) -> Model:
+    """Counts over the labelled pages of the sample that are not held out."""
+    sample = labelled_sample(pages, max_pages, seed).where("not held_out").select("html", "hide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -327,6 +383,29 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES, seed: int = 5) -> Model:
     return Model({(r.kind, r.value, r.content): float(r.n) for r in found.collect()})
 
 
+def held_out_f1(pages: DataFrame, model: Model, max_pages: int = MAX_PAGES, seed: int = 5) -> float | None:
+    """F1 over the characters of text blocks of the held-out labelled pages, with marks and class words hidden."""
+    sample = labelled_sample(pages, max_pages, seed).where("held_out").select("html")
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0, 0, 0]
+        for batch in batches:
+            for source in batch.column(0):
+                page = Page(source.as_py() or "")
+                truth = labels(page)
+                if truth is not None:
+                    content = shared.value.marginals(page, hide_mark=True)
+                    for i, text in page.text.items():
+                        sums[0] += len(text) * (truth[i] and content[i] > 0.5)
+                        sums[1] += len(text) * truth[i]
+                        sums[2] += len(text) * (content[i] > 0.5)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names=["both", "true", "said"])
+
+    both, true, said = sample.mapInArrow(run, "both long, true long, said long").agg(F.sum("both"), F.sum("true"), F.sum("said")).first()
+    return 2 * both / (true + said) if true else None
+
+
 def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages))

@@ -62,6 +62,35 @@ def test_white_space_and_entities():
     assert h.extract(src, model) == "a b céé &unknown; de f\n\ntail text\n\none\n\ntwo"
 
 
+def test_nothing_else_is_dropped():
+    model = h.Model({})
+    src = "<article><p>value <math><mi>x</mi></math> done</p><p>see <object>the plan</object> <video src=a>of it</video></p><script>no</script><style>no</style></article>"
+    assert h.extract(src, model) == "value x done\n\nsee the plan of it"
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<a b='c\">", "<noscript>", "<script ", "<p><b>", "</b>", "<!-- ", "<li><b>", '<a "\'>'])
+def test_odd_pages_take_linear_time(piece):
+    import time
+
+    model = h.Model({})
+    times = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        h.extract("<article><p>begin</p>" + piece * n, model)
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0] + 0.5
+
+
+def test_learns_what_marks_hide(spark):
+    """Trained on half-hidden pages, the model finds the text of pages whose marks and class words are all hidden."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "u", page(rng, i)[0], None, None) for i in range(300)], SCHEMA)
+    model = h.fit(df)
+    fitted, plain = h.held_out_f1(df, model), h.held_out_f1(df, h.Model({}))
+    assert fitted > 0.85 and fitted > plain + 0.02, (fitted, plain)
+    assert h.held_out_f1(df.limit(0), model) is None
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_marginals_are_exact(seed):
     rng = random.Random(seed)
