@@ -3,18 +3,20 @@
 Words are cut into blocks of equal size. All blocks of the mix are dealt to sources by highest quotients
 ``target / (2k + 1)``, and each source's blocks to its shards in the same way by the shards' words, so every shard
 has an integer quota that it can fill alone. Inside a shard the documents lie in a seeded order, end to end; a quota
-of q over n blocks takes every block ``q div n`` times and a seeded choice of ``q mod n`` blocks once more. A document
-takes what its blocks take.
+of q over n blocks takes every block ``q div n`` times and, once more, the ``q mod n`` blocks with the least seeded
+hashes of (source, shard, block). A document takes what its blocks take. A source whose target is less than
+``BLOCKS`` blocks has smaller blocks of its own, as many as that; they bear on no other source.
 
 Work at scale: one pass over the texts gives their sizes; all else works on (id, source, size). Highest quotients
 need no list of all quotients: the seats of a party lie within a known distance of its share, so each party lists
 only that many and the rest are certain. A source is split into shards of about ``SHARD_WORDS`` words (and at most
-about ``MOST_SHARDS`` in all), so a hot source is many tasks. The table of sources has one row per source and is
-broadcast only if it is small.
+about ``MOST_SHARDS`` in all) by a hash of id and text, so a hot source is many tasks. The targets come from a few
+sums over the table of sources; only the deal of the blocks needs the sources, one row each, in one place.
 
-Defined cases: null and empty texts have size 0 and take nothing; a null source is a source of its own, after all
-others; without words all targets are 0; repeated rows are documents of their own; an empty table gives no rows; a
-document never takes more than twice its size, as no block is taken more than twice; other columns are not read.
+Defined cases: null and empty texts have size 0 and take nothing; a very long text lies over as many blocks as it
+needs; a null source is a source of its own, after all others; null ids are told apart by their texts; without words
+all targets are 0; repeated rows are documents of their own; an empty table gives no rows; a document never takes more
+than twice its size, as no block is taken more than twice; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.scratch import Scratch
 
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, LEAST_BLOCKS = 256, 256
 SHARD_WORDS, MOST_SHARDS = 1 << 16, 1 << 20
+#: Blocks of a shard, about, and of a source at least.
+BLOCKS = 256
 #: Rows of the source table that are broadcast at most.
 BROADCAST_ROWS = 100_000
-#: Multipliers of the seeded block order; a shard uses one that does not divide its number of blocks.
-PRIMES = (7919, 104729, 1299709)
+#: Rounds of sharing an excess; each binds a further cap, most of them many.
+MOST_ROUNDS = 200
 
 
 def size_of(text: Column) -> Column:
@@ -39,28 +42,35 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES) -> DataFrame:
+def ranked_sources(sums: DataFrame) -> DataFrame:
+    """Adds ``k``, the place of each source by code point, null last: ranges of the names first, then inside each."""
+    parts = sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    parts = Scratch(sums.sparkSession).keep(parts, "ranges")
+    before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return parts.withColumn("i", inside).join(F.broadcast(before.select("part", "before")), "part").withColumn("k", F.col("before") + F.col("i") - 1).drop("part", "before", "i")
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES) -> DataFrame:
     """source, source_size, target: the shares by weight, capped, with the excess shared again by weight.
 
-    The caps that bind are those of the sources with the least cap for their weight, so sorting by that ratio and
-    running sums give the level at which no source is above its cap, in one step.
+    A round shares what the capped sources leave over all others; the caps below their share bind from then on. No
+    share ever falls, so this ends with the level at which no source is above its cap.
     """
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    sums = sums.withColumn("k", (F.row_number().over(by_name) - 1) % len(weights))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("k") + 1)
-    sums = sums.withColumn("w", weight).withColumn("cap", F.lit(float(most_times)) * F.col("source_size"))
-    everything = W.partitionBy()
-    order = W.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    sums = (
-        sums.withColumn("total", share * F.sum("source_size").over(everything))
-        .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-        .withColumn("bound", F.col("cap") / F.col("w") <= F.col("level"))
-    )
-    level = F.max(F.when(~F.col("bound"), F.col("level"))).over(everything)  # of the first that is not bound; it falls from there on
-    return sums.select("source", "source_size", F.when(F.col("bound"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * level)).alias("target"))
+    sums = ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("k") % len(weights)).cast("int") + 1)
+    sums = scratch.keep(sums.select("source", "source_size", weight.alias("w"), (F.lit(float(most_times)) * F.col("source_size")).alias("cap")), "sums")
+    total = share * (sums.agg(F.sum("source_size")).first()[0] or 0)
+    level, bound = 0.0, -1
+    for _ in range(MOST_ROUNDS):
+        capped = F.col("cap") <= F.col("w") * F.lit(level)
+        n, taken, rest = sums.agg(F.count_if(capped), F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("w")))).first()
+        if n == bound or not rest:
+            break
+        bound, level = n, (total - taken) / rest
+    else:
+        raise RuntimeError("the excess is still shared after MOST_ROUNDS rounds")
+    return sums.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def apportion(parties: DataFrame, seats: Column, votes: str, within: list[str], order: list[Column]) -> DataFrame:
@@ -82,45 +92,44 @@ def apportion(parties: DataFrame, seats: Column, votes: str, within: list[str],
     return ranked.groupBy(*keys).agg((F.min("_low") + F.sum(won.cast("long"))).alias("quota"))
 
 
-def _pick(b: Column, n: Column, seed: int) -> Column:
-    """Place of block b in the seeded order of n blocks: a permutation of 0 .. n - 1."""
-    step = F.lit(PRIMES[2])
-    for p in reversed(PRIMES[:2]):
-        step = F.when(n % p != 0, F.lit(p)).otherwise(step)
-    return F.pmod(b * step + F.lit(seed), n)
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES, seed: int = 2024) -> DataFrame:
     """doc_id, source, size, source_size, target, shard, taken."""
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.keep(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    targets = scratch.keep(source_targets(sizes, weights, share, most_times), "targets")
-    facts = targets.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target"))), F.count("*")).first()
-    total, least, n_sources = facts[0] or 0.0, facts[1] or 1.0, facts[2]
-    block = max(1, min(BLOCK_WORDS, int(least // LEAST_BLOCKS)))
-    shard_words = max(SHARD_WORDS, int(total // MOST_SHARDS))
-    sources = apportion(targets, F.lit(round(total / block)).cast("long"), "target", [], [F.col("source").asc_nulls_last()])
-    sources = sources.withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long")).withColumnRenamed("quota", "source_quota")
-    sources = scratch.keep(sources, "sources")
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    sizes = scratch.keep(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw.alias("draw")), "sizes")
+    targets, facts = scratch.measured(source_targets(sizes, scratch, weights, share, most_times), "shares", total=F.sum("target"))
+    shard_words = max(SHARD_WORDS, int((facts["total"] or 0) // MOST_SHARDS))
+    words = max(1, shard_words // BLOCKS)
+    own = F.greatest(F.lit(1), F.floor(F.col("target") / BLOCKS)).cast("long")
+    block = F.when(F.col("target") >= words * BLOCKS, F.lit(words).cast("long")).otherwise(own)
+    is_large = F.col("target") >= words * BLOCKS
+    targets, facts = scratch.measured(targets.withColumn("block", block), "targets", large=F.sum(F.when(is_large, F.col("target"))))
+    seats = F.lit(round((facts["large"] or 0) / words)).cast("long")
+    large = apportion(targets.where(is_large), seats, "target", [], [F.col("source").asc_nulls_last()])
+    small = targets.where(~is_large).withColumn("quota", F.round(F.col("target") / F.col("block")).cast("long"))
+    sources = large.unionByName(small).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long")).withColumnRenamed("quota", "source_quota")
+    sources, facts = scratch.measured(sources, "sources")
 
     side = sources.withColumnRenamed("source", "name")
-    side = F.broadcast(side) if n_sources <= BROADCAST_ROWS else side
-    spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    placed = sizes.join(side, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("draw", spread).withColumn("shard", F.pmod(F.col("draw"), F.greatest(F.col("shards"), F.lit(1))))
-    shards = placed.where("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
-    quotas = apportion(shards, F.col("source_quota"), "shard_size", ["source"], [F.col("shard")]).select(F.col("source").alias("name"), F.col("shard").alias("part"), "shard_size", "quota")
+    side = F.broadcast(side) if facts["rows"] <= BROADCAST_ROWS else side
+    placed = sizes.join(side, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("shard", F.pmod(F.col("draw"), F.greatest(F.col("shards"), F.lit(1))))
+    shards = placed.where("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"), F.max("block").alias("block"))
+    quotas = apportion(shards, F.col("source_quota"), "shard_size", ["source"], [F.col("shard")])
+    luck = lambda b: F.xxhash64(F.lit(seed), F.col("source"), F.col("shard"), b)
+    blocks = F.ceil(F.col("shard_size") / F.col("block")).cast("long")
+    quotas = quotas.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("quota"), most_times * F.col("blocks")))
+    quotas = quotas.withColumn("times", F.floor(F.col("quota") / F.col("blocks")).cast("long")).withColumn("more", (F.col("quota") % F.col("blocks")).cast("int"))
+    cutoff = F.when(F.col("more") > 0, F.element_at(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), luck)), F.col("more")))
+    quotas = quotas.select(F.col("source").alias("name"), F.col("shard").alias("part"), "times", cutoff.alias("cutoff"))
 
     lined = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("draw")), "doc_id", "size")
     ends = placed.withColumn("end", F.sum("size").over(lined.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
     joined = ends.join(quotas, F.col("source").eqNullSafe(F.col("name")) & (F.col("shard") == F.col("part")), "left")
-    blocks = F.ceil(F.col("shard_size") / block).cast("long")
-    joined = joined.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("quota"), most_times * F.col("blocks")))
-    joined = joined.withColumn("times", F.floor(F.col("quota") / F.col("blocks")).cast("long")).withColumn("more", F.col("quota") % F.col("blocks"))
-    span = F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long"))
+    span = F.sequence(F.floor(F.col("start") / F.col("block")).cast("long"), F.floor((F.col("end") - 1) / F.col("block")).cast("long"))
     extra = F.aggregate(
         span,
         F.lit(0).cast("long"),
-        lambda acc, b: acc + F.when(_pick(b, F.col("blocks"), seed) < F.col("more"), F.least(F.col("end"), (b + 1) * block) - F.greatest(F.col("start"), b * block)).otherwise(F.lit(0)).cast("long"),
+        lambda acc, b: acc + F.when(luck(b) <= F.col("cutoff"), F.least(F.col("end"), (b + 1) * F.col("block")) - F.greatest(F.col("start"), b * F.col("block"))).otherwise(F.lit(0)).cast("long"),
     )
-    taken = F.when(F.col("size") > 0, F.col("times") * F.col("size") + F.when(F.col("more") > 0, extra).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
+    taken = F.when(F.col("size") > 0, F.col("times") * F.col("size") + F.when(F.col("cutoff").isNotNull(), extra).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target", "shard", taken.alias("taken"))
