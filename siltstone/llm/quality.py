@@ -6,7 +6,8 @@ text and nothing is shuffled. The base figures are expressions too. Repeated wor
 8-word window; only a text in which a hash repeats pays for the sort that locates the repeats.
 
 Defined cases: null and empty texts have no words and no symbols, and fail the base rule; every ratio with a zero
-denominator is 0; repeated rows each get a result; an empty table gives no rows. Only doc_id and text are read.
+denominator is 0; a very long text is judged whole; repeated rows each get a result; an empty table gives no rows.
+Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was",
 #: Fixed values: (feature, least, most, words from which the rule applies). The text is kept if every rule holds.
 RULES = (
     ("mean_word_length", 1.5, 25.0, 20),
-    ("symbol_ratio", None, 0.25, 20),
-    ("dup_line_ratio", None, 0.7, 20),
-    ("stop_word_ratio", 0.002, None, 400),
+    ("symbol_ratio", None, 0.1, 20),
+    ("dup_line_ratio", None, 0.35, 20),
+    ("stop_word_ratio", 0.03, None, 50),
     ("long_word_ratio", None, 0.4, 20),
 )
 
@@ -129,6 +130,17 @@ def verdict(rules=RULES) -> Column:
     return out
 
 
+def verdict_sql(rules=RULES) -> str:
+    """The same as SQL, over columns named like the features' parts."""
+    tests = []
+    for feature, least, most, from_words in rules:
+        a, b = FEATURES[feature]
+        value = f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
+        holds = [f"{value} >= {least}"] * (least is not None) + [f"{value} <= {most}"] * (most is not None)
+        tests.append(f"(n_words < {from_words} OR ({' AND '.join(holds)}))")
+    return " AND ".join(tests)
+
+
 def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return measured(docs).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
