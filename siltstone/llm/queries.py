@@ -15,7 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_documents(docs, table(spark, sf_dir, "labels"))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +118,10 @@ l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dups FROM (SELECT doc_id, u
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], chr(1)) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 r AS (SELECT doc_id, count(DISTINCT p) AS repeated FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, coalesce(repeated, 0) AS n_repeat_words, n_lines,
- len(list_filter(w, lambda x: lower(x) IN (STOPS))) AS stops, len(list_filter(w, lambda x: length(x) > 30)) AS longs FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+ len(list_filter(w, lambda x: lower(x) IN (STOPS))) AS n_stop_words, len(list_filter(w, lambda x: length(x) > 30)) AS n_long_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
- NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 25 AND n_symbols / word_chars <= 0.25 AND n_dup_lines / n_lines <= 0.7 AND (n_words < 400 OR stops / n_words >= 0.002) AND longs / n_words <= 0.4 AS kept FROM b"""
+ NOT base_failed AND VERDICT AS kept FROM b"""
 
 ORACLE_SQL["op10_chat_format"] = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length(role) + length('<|im_start|>') + length('<|im_end|>') + 2 AS n FROM t)
@@ -139,12 +139,14 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 
 
 def _fill() -> None:
-    from siltstone.llm.quality import STOP_WORDS
-    from siltstone.llm.url_filter import SOFT, STRICT
+    from siltstone.llm.quality import STOP_WORDS, verdict_sql
+    from siltstone.llm.url_terms import STRICT_WEIGHT, vocabulary
 
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
-    ORACLE_SQL["op7_url_filter"] = ORACLE_SQL["op7_url_filter"].replace("STRICT]", quoted(STRICT) + "]").replace("SOFT]", quoted(SOFT) + "]")
-    ORACLE_SQL["op5_quality_rules"] = ORACLE_SQL["op5_quality_rules"].replace("STOPS", quoted(STOP_WORDS))
+    terms = vocabulary()
+    for mark, strict in (("STRICT]", True), ("SOFT]", False)):
+        ORACLE_SQL["op7_url_filter"] = ORACLE_SQL["op7_url_filter"].replace(mark, quoted(t for t, w in terms.items() if (w >= STRICT_WEIGHT) == strict) + "]")
+    ORACLE_SQL["op5_quality_rules"] = ORACLE_SQL["op5_quality_rules"].replace("STOPS", quoted(STOP_WORDS)).replace("VERDICT", verdict_sql())
 
 
 _fill()

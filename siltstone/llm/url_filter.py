@@ -7,7 +7,9 @@ so nothing is shuffled.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, and is judged by its
 terms alone (none: allow). A rule fits its host and all subdomains where the path starts with the rule's path; the
-longest rule wins, block before allow on a tie. Repeated rows and long urls need no care.
+longest rule wins, block before allow on a tie. A very long url is read once and whole, in linear time; repeated rows
+each get a result; an empty table gives no rows; only the id and the url are read, so other columns may have any
+names. The default vocabulary lists terms by topic (``url_terms``); a table of one's own takes its place.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The default vocabulary; weight 2 is strict, weight 1 is soft.
-STRICT = ("porn", "porno", "xxx", "hentai", "casino", "adult-x", "free-bets", "cheap-pills", "spam-farm", "ads-track", "viagra", "escort", "camgirls", "malware", "phishing", "warez")
-SOFT = ("adult", "bet", "bets", "betting", "poker", "slots", "jackpot", "pills", "pharma", "cheap", "free", "win", "winner", "spam", "ads", "track", "tracker", "sexy", "dating", "loan", "loans", "crack", "keygen", "torrent", "clickbait")
-VOCABULARY = {**dict.fromkeys(SOFT, 1), **dict.fromkeys(STRICT, 2)}
+from siltstone.llm.url_terms import STRICT_WEIGHT, vocabulary
+
+VOCABULARY = vocabulary()
+#: Terms of a vocabulary table at most; the automaton goes to every task.
+MOST_TERMS = 1_000_000
 SOFT_HITS = 2
 
 #: The rules of the contract as (host, path, verdict).
@@ -58,6 +61,14 @@ class Rules:
         return max(found)[2:] if found else (None, None)
 
 
+def terms_of(table: DataFrame) -> dict[str, int]:
+    """A vocabulary from a table (term, weight) of at most MOST_TERMS rows; repeated terms take the greatest weight."""
+    rows = table.where("term is not null and term != ''").groupBy("term").agg(F.max(F.coalesce(F.col("weight"), F.lit(1))).alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return {r.term: int(r.weight) for r in rows}
+
+
 def automaton(vocabulary: dict[str, int]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for term, weight in vocabulary.items():
@@ -74,7 +85,7 @@ def term_hits(url: str, terms: ahocorasick.Automaton) -> tuple[list[str], list[s
     for end, (term, weight) in terms.iter(low) if len(terms) else ():
         start = end - len(term) + 1
         if (start == 0 or low[start - 1] not in WORD) and (end + 1 == len(low) or low[end + 1] not in WORD):
-            (strict if weight > 1 else soft).add(term)
+            (strict if weight >= STRICT_WEIGHT else soft).add(term)
     return sorted(strict), sorted(soft)
 
 
@@ -82,7 +93,11 @@ SCHEMA = "host string, path string, rule string, verdict string, strict array<st
 
 
 def judge_urls(urls: DataFrame, rules=RULES, vocabulary=VOCABULARY, soft_hits: int = SOFT_HITS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: host, path, the rule that decides (null: none), the verdict, and the distinct terms found."""
+    """Per row: host, path, the rule that decides (null: none), the verdict, and the distinct terms found.
+
+    ``vocabulary`` is a dict of weights or a table (term, weight).
+    """
+    vocabulary = terms_of(vocabulary) if isinstance(vocabulary, DataFrame) else vocabulary
 
     @F.pandas_udf(SCHEMA)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -78,6 +78,7 @@ def test_urls(spark):
         if verdict:
             assert r.verdict == verdict
     by = {rows[r.page_id][1]: r.verdict for r in got}
+    assert by["x" * 5000 + "://casino"] == "allow"
     assert by["https://free-bets.example.net/en/1"] == by["https://casino-win.example.net/"] == by["https://x.example.net/adult/poker"] == "block"
     assert by["https://casinowin.example.net/"] == by["https://x.example.net/adult/adult"] == by["https://x.example.net/adultpoker"] == by[None] == "allow"
     assert by["http://casino.org/"] == "allow"
@@ -140,7 +141,7 @@ def test_empty_benchmark(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
     row = decontaminate.digest(decontaminate.find_contamination(df, bench)).first()
-    assert tuple(row) == (1, 2, 0, 0, decontaminate.empty_digest(), False)
+    assert tuple(row) == (1, 2, 0, 0, hashlib.sha256(b"").hexdigest(), False)
 
 
 NASTY = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "<|", "|>", "\\", "<\\", "a\nb\n", "", None, "ü\U0001f600", "<|im_end|>\n<|im_start|>user\nhi", "x" * 30000]
@@ -166,6 +167,39 @@ def test_chat_round_trip(spark):
     assert texts[-1].count("<|im_start|>") == 2 and texts[-1].count("<|im_end|>") == 2
 
 
+def test_chat_in_chunks(spark, monkeypatch):
+    """Chunks that hold part of a conversation, and segments longer than a chunk."""
+    import numpy as np
+
+    rng = random.Random(4)
+    roles = [rng.choice(["user", "assistant"]) for _ in range(60)]
+    texts = [rng.choice(NASTY) or "" for _ in roles]
+    counts = np.array([10, 0, 45, 5])
+    whole = chat.assemble(counts, roles, texts)
+    for limit in (1, 50, 700, 40_000):
+        monkeypatch.setattr(chat, "CHUNK", limit)
+        part = chat.assemble(counts, roles, texts)
+        assert part[0].equals(whole[0]) and (part[1] == whole[1]).all() and (part[2] == whole[2]).all()
+    assert list(chat.bounded(np.array([3, 3, 9, 1, 1, 0, 7]), 7)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+
+
+def test_shared_window_is_one_query(spark):
+    """A window that many items hold: one query, and one match for each text and item."""
+    passage = " ".join(f"p{i}" for i in range(15))
+    q = decontaminate.Queries([(i, f"{passage} own{i}") for i in range(50)], 13)
+    assert len(q.low) == 3 + 50 and len(q.item) == 50 * 4
+    df = spark.createDataFrame([(1, f"{passage} x {passage} own7")], "doc_id long, text string")
+    row = decontaminate.find_contamination(df, spark.createDataFrame([(i, f"{passage} own{i}") for i in range(50)], "item_id long, text string")).first()
+    assert len(row.matches) == 50 and row.n_hit == 31 and {m.item_id: m.n_words for m in row.matches}[7] == 16
+
+
+def test_vocabulary_table(spark):
+    terms = spark.createDataFrame([("Bad", 3), ("so-so", 1), ("meh", 1), ("meh", 0), (None, 9)], "term string, weight int")
+    urls = spark.createDataFrame([(1, "http://x/bad"), (2, "http://x/so-so"), (3, "http://x/meh/so-so"), (4, "http://x/meh/meh"), (5, "http://x/" + "meh." * 300_000)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(urls, (), terms).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert quality.apply_rules(docs).count() == 0
