@@ -14,8 +14,9 @@ with the least hash of their id. Scoring reads every whole text and shuffles not
 sampled ids and at most MAX_FEATURES weights of each classifier.
 
 Defined cases: null and empty texts get the score of a text without features; a null doc_id is held out; without a
-positive example every score is the prior (0 if that is 0); repeated rows each get a result; repeated labels count
-once, toxic if one of them is; other columns are not read.
+positive example every score is the prior (0 if that is 0); a very long text is scored whole, by the words that it has;
+repeated rows each get a result; equal texts of the sample are one example; repeated labels count once, toxic if one
+of them is; the caller's columns, ``score`` and ``predicted`` among them, keep their values in ``doc``.
 """
 
 from __future__ import annotations
@@ -124,7 +125,6 @@ def candidate_features(positive: DataFrame, least: float) -> list[bytes]:
 
 def fit_fold(pdf: pd.DataFrame, width: int, prior: float) -> pd.DataFrame:
     """One classifier from a shard of the sample (text_key, positive, features): rows of (feature, weight), the bias at -1."""
-    pdf = pdf.drop_duplicates(["positive", "text_key"])
     flags = pdf["positive"].to_numpy(bool)
     rows = [np.asarray(r, np.int64) for r in pdf["features"]]
     count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]), minlength=width)
@@ -164,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> tuple[dict[bytes,
 
     folds = max(1, n_positive // PER_FOLD)
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.distinct().withColumn("positive", F.lit(False)))
-    sample = text.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("text_key"), "positive", indexed("text").alias("features"))
+    # Equal texts are one example, dropped before the shuffle where they meet in a task, so no group grows with copies.
+    texts = text.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("text_key"), "positive", "text").dropDuplicates(["positive", "text_key"])
+    sample = texts.select("text_key", "positive", indexed("text").alias("features"))
     width = len(names)
     found = sample.groupBy(F.pmod("text_key", F.lit(folds)).alias("fold")).applyInPandas(lambda pdf: fit_fold(pdf, width, prior), "feature long, weight double").collect()
     biases = [r.weight for r in found if r.feature < 0]
@@ -204,6 +206,7 @@ def scorer(spark, model: tuple[dict[bytes, float], float]):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with score and predicted."""
+    """``doc`` (the row of the input, whatever its columns are called), ``score`` and ``predicted``."""
     score = scorer(docs.sparkSession, fit(docs, labels))
-    return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), score(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
