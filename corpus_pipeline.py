@@ -23,7 +23,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
-    return score_documents(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return score_documents(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc.*")
 
 
 def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
