@@ -11,11 +11,12 @@ counts of the training words under those scores (one pass of forward and backwar
 
 Work at scale: words are counted once over all documents; the lattice runs once per distinct word, not per
 occurrence. The most frequent words (fewer than HEAD) are looked up from a broadcast table; all other words
-meet their counts by a join on the word's hash, so no common word makes a hot key. Piece statistics are bounded by the vocabulary.
+meet their counts by a join on two hashes of the word (128 bits), so no common word makes a hot key. Piece statistics are bounded by the vocabulary.
 
 Defined cases: null and empty texts are one end token; a null doc_id is held out; without training documents the
 base is uniform over nothing (c = 0, N = 0, V = 0, giving log10(0.1 / 0.1) = 0) and the vocabulary's own scores stay; repeated
-rows each get a result; other columns are not read.
+rows each get a result; a very long text, and a very long word, is summed whole; columns other than doc_id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -281,7 +282,7 @@ def reweighted(lattice: Lattice, counts: np.ndarray, ends: int) -> tuple[np.ndar
     return np.log(mass / total), math.log((ends + 1.0) / total)
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, hash long, n long, known long, base double, lattice double"
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, word binary, n long, known long, base double, lattice double"
 
 
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
@@ -355,10 +356,10 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = H
                 )
 
     rows = own.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    parts = rows.mapInArrow(look_up, SCORED.replace("hash long", "word binary"))
-    parts = parts.select("uid", "doc_id", "held_out", "n_tokens", F.when(F.col("word").isNull(), F.xxhash64("uid")).otherwise(F.xxhash64("word")).alias("hash"), F.col("word").isNotNull().alias("rare"), "n", "known", "base", "lattice")
-    rare = weighed.where(F.col("n") <= floor).select("hash", F.lit(True).alias("rare"), "c", F.col("lattice").alias("word_lattice"))
-    joined = parts.join(rare, ["hash", "rare"], "left")
+    parts = rows.mapInArrow(look_up, SCORED)
+    parts = parts.select("uid", "doc_id", "held_out", "n_tokens", F.when(F.col("word").isNull(), F.xxhash64("uid")).otherwise(F.xxhash64("word")).alias("hash"), F.xxhash64(F.lit(1), "word").alias("hash2"), F.col("word").isNotNull().alias("rare"), "n", "known", "base", "lattice")
+    rare = weighed.where(F.col("n") <= floor).select("hash", F.xxhash64(F.lit(1), "word").alias("hash2"), F.lit(True).alias("rare"), "c", F.col("lattice").alias("word_lattice"))
+    joined = parts.join(rare, ["hash", "hash2", "rare"], "left")
     rare_base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     return (
         joined.groupBy("uid")

@@ -76,6 +76,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can express."""
+    return op2_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def lm_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_lattice_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    from siltstone.llm.pii import base_digest, base_spans
+
+    found = table(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    return found.select("doc_id", *base_digest(found))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mix": op2_source_mix,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "mix_targets": mix_targets,
+    "lm_base_score": lm_base_score,
+    "pii_base_spans": pii_base_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -138,6 +159,37 @@ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = d.doc_id"""
 
 
+ORACLE_SQL["mix_targets"] = rf"""WITH d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents), s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+k AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS weights FROM k WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max(CASE WHEN cap / w > rest / weights THEN rest / weights END) AS level FROM o)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(coalesce(least(cap, w * level), cap), 4) AS target FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source, l"""
+
+#: crc32 of the id as text, leaving 0 when divided by ten; the polynomial is that of the standard.
+HELD = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END), 4294967295) % 10 = 0"
+
+ORACLE_SQL["lm_base_score"] = rf"""WITH d AS (SELECT doc_id, {HELD} AS held_out, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(list_append(w, '')) AS t FROM d), c AS (SELECT t, sum(CASE WHEN held_out THEN 0 ELSE 1 END) AS c FROM tok GROUP BY t), n AS (SELECT sum(c) AS n, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS v FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END)::BIGINT AS n_known, max(n)::BIGINT AS train_tokens, round(sum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score FROM tok JOIN c USING (t), n GROUP BY doc_id, held_out"""
+
+
+def _kind(k: int, name: str, pattern: str, test: str) -> str:
+    """Spans of one kind: where a match lies follows from what lies between the matches."""
+    return rf"""{name}0 AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d), {name}1 AS (SELECT doc_id, m[i] AS m, length(g[i]) AS gap, i FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}0)),
+{name} AS (SELECT doc_id, {k} AS k, '{name}' AS kind, sum(gap + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(m) AS n, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM {name}1), {name}_ok AS (SELECT doc_id, k, kind, e - n AS s, e FROM {name} WHERE {test})"""
+
+
+LUHN = "list_sum(list_transform(string_split(reverse(digits), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INTEGER WHEN x::INTEGER > 4 THEN 2 * x::INTEGER - 9 ELSE 2 * x::INTEGER END)) % 10 = 0"
+OCTETS = "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(nullif(ltrim(x, '0'), '') AS INTEGER), 0) <= 255))"
+KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", OCTETS),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length(digits) BETWEEN 12 AND 19 AND {LUHN}"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
+)
+ORACLE_SQL["pii_base_spans"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(_kind(k, *x) for k, x in enumerate(KINDS))},
+every AS ({" UNION ALL ".join(f"SELECT * FROM {x[0]}_ok" for x in KINDS)})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE k = {k})::BIGINT AS n_{x[0]}" for k, x in enumerate(KINDS))}, sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '')) AS base_sha256 FROM d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id"""
+
+
 def _fill() -> None:
     from siltstone.llm.quality import STOP_WORDS, verdict_sql
     from siltstone.llm.url_terms import STRICT_WEIGHT, vocabulary

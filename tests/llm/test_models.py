@@ -36,7 +36,7 @@ def test_toxicity_on_held_out(spark):
     extra = [(5000, None, None, None, 0, None, None), (5001, "", "en", "s", 0, None, None), (None, "w1 grumpf", "en", "s", 0, None, None), docs[3]]
     df = spark.createDataFrame(docs + extra, DOCS)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = toxicity.score_documents(df, lab)
+    out = toxicity.score_documents(df, lab).select("doc.doc_id", "score", "predicted")
     assert "component_id" in out.columns
     got = {r.doc_id: (r.score, r.predicted) for r in out.collect()}
     truth = {r[0]: any(w.startswith(tuple(BAD)) for w in r[1].split()) for r in docs}
