@@ -85,12 +85,16 @@ PRIOR_STUMPS = (
 )
 
 
+#: Paths of tests and of generated files.
+TEST, GENERATED = r"\b(test|tests|__tests__|spec)\b|\.(test|spec)\.", r"\b(generated|gen/)\b"
+
+
 def path_features(path: Column) -> dict[str, Column]:
     p = F.lower(F.translate(path, "\\", "/"))
     flag = lambda c: c.cast("double")
     return {
-        "is_test": flag(p.rlike(r"(^|[^a-z0-9_])(test|tests|__tests__|spec)([^a-z0-9_]|$)")),
-        "is_generated": flag(p.rlike(r"(^|[^a-z0-9_])generated([^a-z0-9_]|$)") | p.contains(".g.")),
+        "is_test": flag(p.rlike(TEST)),
+        "is_generated": flag(p.rlike(GENERATED) | p.contains(".g.")),
         "is_dist": flag(p.rlike(r"(^|/)(dist|build|out|target|node_modules)/")),
     }
 

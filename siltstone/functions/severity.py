@@ -23,6 +23,7 @@ def severity_rank(s: Column) -> Column:
     return lookup(s, {x: len(SEVERITIES) - i for i, x in enumerate(SEVERITIES)}, 0)
 
 
+#: Fixed values below: levels of severities, severities of levels and of scores, and ratings.
 def severity_level(s: Column) -> Column:
     return lookup(s, {"BLOCKER": "error", "CRITICAL": "error", "MAJOR": "warning", "MINOR": "warning", "INFO": "note"})
 

@@ -18,6 +18,7 @@ EXTENSIONS = {
 PROFILES = {
     "python": "python", "javascript": "clike", "typescript": "clike", "java": "clike", "go": "clike", "csharp": "clike", "vbnet": "vb", "cobol": "cobol", "tsql": "sql", "db2sql": "sql", "markdown": "plain",
 }
+#: Files and folders that instruct coding agents.
 AGENT_FILES = ("agents.md", "claude.md", "gemini.md", "skill.md", "rule.md", "copilot-instructions.md", ".cursorrules", "cursorrules")
 AGENT_FOLDERS = (".cursor/skills/", ".claude/", ".kiro/", "aidlc-rules/", ".aidlc/")
 
@@ -85,6 +86,7 @@ def tokens_estimate(n_chars: Column) -> Column:
     return F.ceil(n_chars / 4) + 8
 
 
+#: Shapes of secrets.
 SECRET_SHAPES = (
     r"(?i)(password|passwd|secret|token|api_key|apikey)[ ]?[=:]",
     r"AKIA[A-Z0-9]{16}",

@@ -1,24 +1,31 @@
 """Call and import graphs: degrees, hops, cycles, coupling, resolution, reachability.
 
 Graphs are edge tables. Iterative operators keep only a frontier or labels between rounds, cut the plan with
-``checkpoint()`` in the cluster's shared folder, and stop on an empty frontier or unchanged labels.
+``checkpoint()`` in the cluster's shared folder, and stop on an empty frontier or unchanged labels. Where a number of
+rounds is part of the meaning (hops, depth of flows) it is a parameter; elsewhere running out of rounds is an error.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read from there."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -47,8 +54,8 @@ def hops_from(entries: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame
     return seen
 
 
-def trim(edges: DataFrame, most: int = 50) -> DataFrame:
-    """Edges between nodes that have both callers and callees, again and again: what is left can lie on cycles."""
+def trim(edges: DataFrame, most: int = 3) -> DataFrame:
+    """Edges between nodes that have both callers and callees, a few times over: what is left can lie on cycles."""
     now, n = cut(edges.select("src", "dst").where("src != dst").distinct()), -1
     for _ in range(most):
         n = now.count()
@@ -60,43 +67,46 @@ def trim(edges: DataFrame, most: int = 50) -> DataFrame:
     return now
 
 
-def _spread(labels: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """The least label that can reach each node, along edges src -> dst inside one ``part``."""
+def _spread(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(node, label): the least node that reaches each node along edges src -> dst.
+
+    A round takes the least label of the nodes before and then the label of one's label, which also reaches the node:
+    paths are covered in doubling steps.
+    """
+    labels = cut(nodes.select("node", F.col("node").alias("label")))
     for _ in range(most):
         incoming = labels.join(edges, labels["node"] == edges["src"]).groupBy("dst").agg(F.min("label").alias("new"))
-        nxt = cut(labels.join(incoming, labels["node"] == incoming["dst"], "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        near = labels.join(incoming, labels["node"] == incoming["dst"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("label"))
+        far = near.select(F.col("node").alias("_n"), F.col("label").alias("_far"))
+        nxt = cut(near.join(far, near["label"] == far["_n"], "left").select("node", "old", F.least("label", F.coalesce("_far", "label")).alias("label")))
         labels = nxt.select("node", "label")
-        if nxt.where("moved").isEmpty():
-            break
-    return labels
+        if nxt.where("label < old").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still change after {most} rounds")
 
 
 def cycles(edges: DataFrame, most: int = 200) -> DataFrame:
     """Strongly connected components of more than one node: (node, component), named by their least node.
 
-    Each round colours nodes by the least node that reaches them; of a colour, the nodes that reach its root backwards
-    are one component. They leave, and the rest is trimmed and coloured again.
+    Each round colours nodes by the least node that reaches them. Of a colour, the nodes whose least reachable node
+    inside it is the colour itself reach its root and are one component. They leave, and the rest is coloured again.
     """
     left, out = trim(edges), None
     for _ in range(most):
         if left.isEmpty():
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colour = _spread(cut(nodes.withColumn("label", F.col("node"))), left, most)
+        colour = _spread(nodes, left, most)
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "a"))
-        reached = cut(colour.where("node = label").select("node"))
-        frontier = reached
-        for _ in range(most):
-            nxt = frontier.join(back, frontier["node"] == back["src"]).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
-            frontier = cut(nxt)
-            if frontier.isEmpty():
-                break
-            reached = cut(reached.union(frontier))
-        found = cut(reached.join(colour, "node").select("node", F.col("label").alias("component")))
+        back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reach_root = _spread(nodes, back, most).select(F.col("node").alias("_n"), F.col("label").alias("_least"))
+        found = cut(colour.join(reach_root, (colour["node"] == F.col("_n")) & (colour["label"] == F.col("_least"))).select("node", F.col("label").alias("component")))
         out = found if out is None else out.unionByName(found)
         gone = found.select("node")
         left = trim(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"cycles are left after {most} rounds")
     if out is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     sizes = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")

@@ -145,3 +145,15 @@ def curated(generated: DataFrame, patches: DataFrame, key: str) -> DataFrame:
 def coverage_scope(new_code: Column, overall: Column) -> Column:
     """What a gate's coverage is measured on: changed lines if there is a diff, else everything, else nothing."""
     return F.when(new_code.isNotNull(), "new-code").when(overall.isNotNull(), "overall").otherwise("none")
+
+
+def due_scans(scans: DataFrame, now: DataFrame, shards: int = 24, most: int = 300) -> DataFrame:
+    """Enabled repositories whose next run has come (or was never set), by shard, the longest due first.
+
+    ``now`` has one row. A shard takes at most ``most`` at a time; the rest stay due.
+    """
+    from siltstone.functions.text import shard_of
+
+    due = scans.crossJoin(F.broadcast(now)).where("enabled and (next_run is null or next_run <= now)").withColumn("shard", shard_of(F.col("repo"), shards))
+    w = W.partitionBy("shard").orderBy(F.col("next_run").asc_nulls_first(), "repo")
+    return due.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -6,8 +6,11 @@ the driver. Plans are cut in the cluster's shared folder.
 
 from __future__ import annotations
 
+import json
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,11 +35,17 @@ def k_for(n: Column, most: int = 24) -> Column:
     return F.when(n < 2, 1).when(n < 6, 2).otherwise(F.least(F.lit(most), F.greatest(F.lit(2), F.round(F.sqrt(n / 2)).cast("int"))))
 
 
-def hashed_vectors(bags: DataFrame, key: str, token: str, size: int = 64) -> DataFrame:
-    """(key, bucket, value): signed counts of a bag of strings, of unit length."""
-    h = F.xxhash64(token)
+def hashed_vectors(bags: DataFrame, key: str, token: str, size: int = 64, signed: bool = True) -> DataFrame:
+    """(key, bucket, value): counts of a bag of strings by hashed bucket, of unit length.
+
+    Signed counts let tokens of one bucket cancel on average; unsigned ones are plain counts. Bucket and sign come from
+    the first digits of the token's MD5, so other engines give the same vectors.
+    """
+    digest = F.md5(F.col(token).cast("binary"))
+    number = lambda a, n: F.conv(F.substring(digest, a, n), 16, 10).cast("bigint")
+    sign = F.when(number(9, 1) % 2 == 0, 1.0).otherwise(-1.0) if signed else F.lit(1.0)
     counted = bags.groupBy(key, token).agg(F.count("*").alias("n"))
-    v = counted.select(key, F.pmod(h, F.lit(size)).alias("bucket"), (F.col("n") * F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
+    v = counted.select(key, (number(1, 8) % size).alias("bucket"), (F.col("n") * sign).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(key)))
     return v.where("v != 0").withColumn("value", F.col("v") / length).select(key, "bucket", "value")
 
@@ -48,26 +57,37 @@ def idf(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("dim", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def numbers(xs: list[float]) -> Column:
+    """An array of doubles as one literal."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")")
+
+
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """Nearest centre of each point and the distance to it; centres are at most a few dozen."""
-    options = F.array(*(F.struct(squared_distance(F.col("vec"), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)))
+    options = F.array(*(F.struct(squared_distance(F.col("vec"), numbers(c)).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)))
     best = F.array_min(options)
     return points.withColumn("_b", best).withColumn("cluster", F.col("_b.cluster")).withColumn("distance", F.sqrt("_b.d")).drop("_b")
 
 
 def lloyd(points: DataFrame, k: int, rounds: int = 50) -> tuple[DataFrame, list[list[float]]]:
-    """k-means from the farthest points: the first id starts, then always the point farthest from all centres so far."""
-    points = points.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).cache()
-    centres = [list(points.orderBy("id").first().vec)]
+    """k-means from the farthest points: the first id starts, then always the point farthest from all centres so far.
+
+    A round is one aggregate with a mean for each dimension; only centres reach the driver.
+    """
+    points = cut(points.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
+    first = points.orderBy("id").first()
+    if first is None:
+        return points.select("*", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), []
+    centres = [list(first.vec)]
     while len(centres) < k:
         far = assign(points, centres).agg(F.max_by("vec", F.struct("distance", -F.col("id")))).first()[0]
         centres.append(list(far))
+    means = [F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(len(first.vec))]
     for _ in range(rounds):
-        mean = assign(points, centres).select("cluster", F.posexplode("vec").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-        rows = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("c")).collect()
+        rows = assign(points, centres).groupBy("cluster").agg(*means).collect()
         new = [list(c) for c in centres]
         for r in rows:
-            new[r.cluster] = list(r.c)
+            new[r.cluster] = list(r)[1:]
         moved = max(math.dist(a, b) for a, b in zip(centres, new, strict=True))
         centres = new
         if moved < 1e-9:
@@ -77,8 +97,9 @@ def lloyd(points: DataFrame, k: int, rounds: int = 50) -> tuple[DataFrame, list[
 
 def outliers(assigned: DataFrame) -> DataFrame:
     """Distance over the largest distance of the cluster; 1 where that is 0."""
-    most = F.max("distance").over(W.partitionBy("cluster"))
-    return assigned.withColumn("outlier", F.when(most > 0, F.col("distance") / most).otherwise(1.0))
+    most = assigned.groupBy(F.col("cluster").alias("_cluster")).agg(F.max("distance").alias("_most"))
+    ratio = F.when(F.col("_most") > 0, F.col("distance") / F.col("_most")).otherwise(1.0)
+    return assigned.join(most, F.col("cluster").eqNullSafe(F.col("_cluster"))).withColumn("outlier", ratio).drop("_cluster", "_most")
 
 
 def z_scores(rows: DataFrame, value: str, limit: float = 2.0) -> DataFrame:
@@ -89,11 +110,19 @@ def z_scores(rows: DataFrame, value: str, limit: float = 2.0) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, buckets: int = 8) -> DataFrame:
-    """Pairs of one label with a cosine of at least ``least``: salted blocks, so that a large label is many tasks."""
+    """Pairs of one label with a cosine of at least ``least``: salted blocks, so that a large label is many tasks.
+
+    Where the vectors have a place (file, start, end), a unit and one inside it are no pair.
+    """
+    place = [c for c in ("file", "start", "end") if c in vectors.columns]
     v = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    a = v.select("label", F.col("id").alias("a"), F.col("vec").alias("x"), F.col("salt").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("s2"))
-    b = v.select("label", F.col("id").alias("b"), F.col("vec").alias("y"), F.col("salt").alias("s2"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("s"))
-    return a.join(b, ["label", "s", "s2"]).where("a < b").withColumn("cosine", F.round(cosine(F.col("x"), F.col("y")), 6)).where(F.col("cosine") >= least).select("label", "a", "b", "cosine")
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    a = v.select("label", F.col("id").alias("a"), F.col("vec").alias("x"), F.col("salt").alias("s"), every.alias("s2"), *(F.col(c).alias(f"{c}_a") for c in place))
+    b = v.select("label", F.col("id").alias("b"), F.col("vec").alias("y"), F.col("salt").alias("s2"), every.alias("s"), *(F.col(c).alias(f"{c}_b") for c in place))
+    pairs = a.join(b, ["label", "s", "s2"]).where("a < b")
+    if len(place) == 3:
+        pairs = pairs.where("NOT (file_a = file_b AND (start_a <= start_b AND end_b <= end_a OR start_b <= start_a AND end_a <= end_b))")
+    return pairs.withColumn("cosine", F.round(cosine(F.col("x"), F.col("y")), 6)).where(F.col("cosine") >= least).select("label", "a", "b", "cosine")
 
 
 def confusion(rows: DataFrame, by: list[str], optimistic: bool) -> DataFrame:
@@ -129,59 +158,127 @@ def confident_learning(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(m)).withColumn("given", F.round(own, 6)).withColumn("other", F.round(other, 6)).withColumn("suspect", F.coalesce(suspect, F.lit(False))).drop("_t0", "_t1")
 
 
+#: Values of a feature that are all tried as thresholds; of more, as many percentiles.
+MOST_BINS = 1_024
+
+
+def edges_of(examples: DataFrame, feature: str) -> list[float]:
+    """The values of a feature, or its percentiles where there are more than MOST_BINS."""
+    value = F.col(feature).cast("double")
+    few = [r[0] for r in examples.select(value.alias("v")).where("v is not null").distinct().limit(MOST_BINS + 1).collect()]
+    if len(few) > MOST_BINS:
+        few = examples.agg(F.percentile_approx(value, [i / MOST_BINS for i in range(MOST_BINS + 1)], 100_000)).first()[0]
+    return sorted(set(few))
+
+
 def train_stumps(examples: DataFrame, features: list[str], rounds: int = 40, rate: float = 0.15) -> dict:
-    """Boosted stumps: log-odds base, then the split with the least squared error of the residuals each round.
+    """Boosted stumps: log-odds base, then the split with the least squared error of the residuals each round."""
+    return train_stumps_many(examples.withColumn("_models", F.array(F.lit(0))), features, 1, rounds, rate)[0]
+
+
+def train_stumps_many(examples: DataFrame, features: list[str], n_models: int, rounds: int = 40, rate: float = 0.15) -> list[dict]:
+    """The same for several models at once; the array ``_models`` says of which models a row is an example.
 
-    A round is one aggregate by (feature, value) and a running sum per feature; ties go to the first feature and the
-    least threshold. The model is a base and at most ``rounds`` stumps.
+    Features are places among their values (at most MOST_BINS each), so a round is one aggregate whose result is small:
+    residuals by model, feature and place. Ties go to the first feature and the least threshold. A model is a base and
+    at most ``rounds`` stumps.
     """
-    n = examples.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    p = min(1 - 1e-6, max(1e-6, n or 0.5))
-    base = math.log(p / (1 - p))
-    stumps: list[tuple[str, float, float, float]] = []
-    packed = cut(examples.select("label", F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features))).alias("xs")))
+    edges = [edges_of(examples, c) for c in features]
+
+    @F.pandas_udf("array<int>")
+    def places(*values: pd.Series) -> pd.Series:
+        at = [np.searchsorted(e, v.to_numpy(float), "right") - 1 for e, v in zip(edges, values, strict=True)]
+        return pd.Series(list(np.stack(at, axis=1).astype(np.int32)))
+
+    packed = cut(examples.select(F.col("label").cast("double").alias("label"), "_models", places(*(F.col(c).cast("double") for c in features)).alias("xs")))
+    rows = packed.select(F.explode("_models").alias("m"), "label", "xs")
+    share = {r.m: r.p for r in rows.groupBy("m").agg(F.avg("label").alias("p")).collect()}
+    models = []
+    for m in range(n_models):
+        p = min(1 - 1e-6, max(1e-6, share.get(m, 0.5)))
+        models.append({"base": math.log(p / (1 - p)), "rate": rate, "stumps": [], "_cuts": []})
+    stump = "struct<f:int,bin:int,left:double,right:double>"
+    base = numbers([m["base"] for m in models])
     for _ in range(rounds):
-        score = F.lit(base)
-        for f, t, left, right in stumps:
-            score = score + rate * F.when(F.col("xs")[features.index(f)]["v"] < t, left).otherwise(right)
-        residual = F.col("label") - 1 / (1 + F.exp(-score))
-        grouped = packed.select(residual.alias("r"), F.explode("xs").alias("x")).groupBy("x.f", "x.v").agg(F.sum("r").alias("r"), F.count("*").alias("n"))
-        w, every = W.partitionBy("f").orderBy("v"), W.partitionBy("f")
-        run = grouped.select("f", "v", F.sum("r").over(w).alias("lr"), F.sum("n").over(w).alias("ln"), F.sum("r").over(every).alias("r"), F.sum("n").over(every).alias("n"), F.lead("v").over(w).alias("nv")).where("nv is not null")
-        gain = F.col("lr") * F.col("lr") / F.col("ln") + (F.col("r") - F.col("lr")) * (F.col("r") - F.col("lr")) / (F.col("n") - F.col("ln"))
-        best = run.select(F.round(gain, 9).alias("gain"), "f", ((F.col("v") + F.col("nv")) / 2).alias("t"), (F.col("lr") / F.col("ln")).alias("left"), ((F.col("r") - F.col("lr")) / (F.col("n") - F.col("ln"))).alias("right")).orderBy(F.desc("gain"), "f", "t").first()
-        if best is None:
+        cuts = [[{"f": f, "bin": b, "left": x, "right": y} for f, b, x, y in m["_cuts"]] for m in models]
+        known = F.from_json(F.lit(json.dumps(cuts)), f"array<array<{stump}>>")
+        score = F.aggregate(F.element_at(known, F.col("m") + 1), F.element_at(base, F.col("m") + 1), lambda s, t: s + rate * F.when(F.element_at("xs", t["f"] + 1) <= t["bin"], t["left"]).otherwise(t["right"]))
+        residual = rows.select("m", "xs", (F.col("label") - 1 / (1 + F.exp(-score))).alias("r"))
+        sums = residual.select("m", "r", F.posexplode("xs").alias("f", "bin")).groupBy("m", "f", "bin").agg(F.sum("r").alias("r"), F.count("*").alias("n")).collect()
+        if not [_add_stump(m, [s for s in sums if s.m == i], features, edges) for i, m in enumerate(models)].count(True):
             break
-        stumps.append((features[best.f], float(best.t), float(best.left), float(best.right)))
-    return {"base": base, "rate": rate, "stumps": stumps}
+    return [{k: v for k, v in m.items() if k != "_cuts"} for m in models]
+
+
+def _add_stump(model: dict, sums: list, features: list[str], edges: list[list[float]]) -> bool:
+    """The best split by residuals (f, bin, r, n); False if no feature can be split."""
+    best = None
+    for f in range(len(features)):
+        own = sorted((s for s in sums if s.f == f), key=lambda s: s.bin)
+        r, n = math.fsum(s.r for s in own), sum(s.n for s in own)
+        left, count = 0.0, 0
+        for s, after in zip(own, own[1:]):
+            left, count = left + s.r, count + s.n
+            gain = round(left * left / count + (r - left) ** 2 / (n - count), 9)
+            if best is None or gain > best[0]:
+                low, high = (edges[f][max(0, x.bin)] for x in (s, after))
+                best = (gain, f, s.bin, (low + high) / 2, left / count, (r - left) / (n - count))
+    if best is None:
+        return False
+    _, f, place, threshold, left, right = best
+    model["stumps"].append((features[f], threshold, left, right))
+    model["_cuts"].append((f, place, left, right))
+    return True
+
+
+#: Voters of a label model; their tables are the only ones that reach the driver.
+MOST_VOTERS = 10_000
 
 
 def dawid_skene(votes: DataFrame, rounds: int = 50, tolerance: float = 1e-6, good: float = 3.0, bad: float = 1.0, smooth: float = 1.0, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Probabilities of (candidate, voter, vote) votes, and each voter's confusion: ((candidate, p), (voter, y, n0, n1)).
 
     Starts from the share of yes votes; the confusion of each round is the prior (and the carried state) plus one pass
-    of this batch, so the batch is never counted twice. Abstentions (null) say nothing.
+    of this batch, so the batch is never counted twice. Abstentions (null) say nothing. Candidates with the same votes
+    have the same probability, so rounds run over distinct votings; a probability is an expression of the voters' table
+    (at most MOST_VOTERS), and nothing else is kept between rounds.
     """
-    v = cut(votes.where("vote is not null").select("candidate", "voter", F.col("vote").cast("int").alias("vote")))
-    p = cut(v.groupBy("candidate").agg(F.avg(F.col("vote").cast("double")).alias("p")))
-    confusion_ = None
-    for _ in range(rounds):
-        both = v.join(p, "candidate").select("voter", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0).alias("y"), (1 - F.col("p")).alias("w")))).alias("x"), "vote")
-        mass = both.groupBy("voter", "x.y").agg(F.sum(F.when(F.col("vote") == 0, F.col("x.w")).otherwise(0.0)).alias("n0"), F.sum(F.when(F.col("vote") == 1, F.col("x.w")).otherwise(0.0)).alias("n1"))
-        if state is not None:
-            s = state.select(F.col("voter").alias("_v"), F.col("y").alias("_y"), F.col("n0").alias("_n0"), F.col("n1").alias("_n1"))
-            mass = mass.join(s, (F.col("voter") == F.col("_v")) & (F.col("y") == F.col("_y")), "left").select("voter", "y", (F.col("n0") + F.coalesce("_n0", F.lit(0.0))).alias("n0"), (F.col("n1") + F.coalesce("_n1", F.lit(0.0))).alias("n1"))
-        confusion_ = cut(mass.select("voter", "y", (F.col("n0") + F.when(F.col("y") == 0, good).otherwise(bad)).alias("n0"), (F.col("n1") + F.when(F.col("y") == 1, good).otherwise(bad)).alias("n1")))
-        prior = p.agg(((F.sum("p") + smooth) / (F.count("*") + 2 * smooth)).alias("pi"))
-        logs = confusion_.select("voter", "y", F.log(F.col("n0") / (F.col("n0") + F.col("n1"))).alias("l0"), F.log(F.col("n1") / (F.col("n0") + F.col("n1"))).alias("l1"))
-        said = v.join(logs, "voter").select("candidate", "y", F.when(F.col("vote") == 1, F.col("l1")).otherwise(F.col("l0")).alias("l"))
-        sums = said.groupBy("candidate").agg(F.sum(F.when(F.col("y") == 1, F.col("l")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("l")).otherwise(0.0)).alias("b"))
-        new = cut(sums.crossJoin(F.broadcast(prior)).select("candidate", (1 / (1 + F.exp(F.col("b") + F.log(1 - F.col("pi")) - F.col("a") - F.log("pi")))).alias("p")))
-        moved = new.join(p.withColumnRenamed("p", "q"), "candidate").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
-        p = new
+    spark = votes.sparkSession
+    by_candidate = cut(votes.where("vote is not null").groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("voter", F.col("vote").cast("int").alias("vote")))).alias("votes")))
+    votings = cut(by_candidate.groupBy("votes").agg(F.count("*").cast("double").alias("n")))
+    voters = [r[0] for r in votings.select(F.explode("votes").alias("v")).select("v.voter").distinct().limit(MOST_VOTERS + 1).collect()]
+    if len(voters) > MOST_VOTERS:
+        raise ValueError(f"more than {MOST_VOTERS} voters")
+    carried = {(r.voter, r.y): (r.n0, r.n1) for r in state.select("voter", "y", "n0", "n1").collect()} if state is not None else {}
+    yes = F.aggregate("votes", F.lit(0.0), lambda s, v: s + v["vote"]) / F.size("votes")
+
+    def probability(model: tuple[dict, float] | None) -> Column:
+        if model is None:
+            return yes
+        confusion_, pi = model
+        log = lambda v, y: tuple(math.log(x / sum(confusion_[v, y])) for x in confusion_[v, y])
+        facts = F.create_map(*(c for v in voters for c in (F.lit(v), F.array(*(F.lit(log(v, 1)[vote] - log(v, 0)[vote]) for vote in (0, 1))))))
+        odds = F.aggregate("votes", F.lit(math.log(pi) - math.log(1 - pi)), lambda s, v: s + F.element_at(F.element_at(facts, v["voter"]), v["vote"] + 1))
+        return 1 / (1 + F.exp(-odds))
+
+    model, confusion_ = None, {}
+    for _ in range(rounds if voters else 0):
+        p = votings.select(probability(model).alias("p"), "n", F.explode(F.array_append("votes", F.struct(F.lit(None).cast(votings.schema["votes"].dataType.elementType["voter"].dataType).alias("voter"), F.lit(1).alias("vote")))).alias("x"))
+        sums = p.groupBy("x.voter").agg(*(F.sum(F.when(F.col("x.vote") == v, F.col("n") * (F.col("p") if y else 1 - F.col("p"))).otherwise(0.0)).alias(f"y{y}n{v}") for y in (0, 1) for v in (0, 1)))
+        rows = {r.voter: r for r in sums.collect()}
+        everyone = rows.pop(None)
+        pi = (everyone.y1n1 + smooth) / (everyone.y1n1 + everyone.y0n1 + 2 * smooth)
+        for v in voters:
+            for y in (0, 1):
+                more = carried.get((v, y), (0.0, 0.0))
+                confusion_[v, y] = tuple(rows[v][f"y{y}n{vote}"] + more[vote] + (good if vote == y else bad) for vote in (0, 1))
+        new = (dict(confusion_), pi)
+        moved = votings.agg(F.max(F.abs(probability(new) - probability(model)))).first()[0]
+        model = new
         if moved is None or moved < tolerance:
             break
-    return p, confusion_
+    schema = f"voter {votings.schema['votes'].dataType.elementType['voter'].dataType.simpleString()}, y int, n0 double, n1 double"
+    return by_candidate.select("candidate", probability(model).alias("p")), spark.createDataFrame([(v, y, *n) for (v, y), n in confusion_.items()], schema)
 
 
 def voter_report(confusion_: DataFrame, bias: float = 0.15) -> DataFrame:
@@ -208,7 +305,7 @@ def verdicts(cases: DataFrame, by: str) -> DataFrame:
 
 def variant_grid(specs: DataFrame, cases: DataFrame) -> DataFrame:
     """F1 of every pattern variant (rule_id, variant, regex) on the rule's cases (rule_id, text, truth)."""
-    j = cases.join(F.broadcast(specs), "rule_id").select("rule_id", "variant", "truth", F.expr("text rlike regex").alias("predicted"))
+    j = cases.join(specs, "rule_id").select("rule_id", "variant", "truth", F.expr("text rlike regex").alias("predicted"))
     return confusion(j, ["rule_id", "variant"], optimistic=True)
 
 
@@ -217,3 +314,68 @@ def promote(grid: DataFrame, base_variant: str) -> DataFrame:
     best = grid.groupBy("rule_id").agg(F.max_by(F.struct("variant", "f1", "precision"), F.struct("f1", "precision", "variant")).alias("b"))
     base = grid.where(F.col("variant") == base_variant).select("rule_id", F.col("f1").alias("base_f1"))
     return best.join(base, "rule_id").select("rule_id", "b.variant", "b.f1", "base_f1", ((F.col("b.f1") > F.col("base_f1")) & (F.col("b.precision") >= 0.85)).alias("promoted"))
+
+
+#: Mutated patterns that are compiled for the safety check at most.
+MOST_PATTERNS = 20_000
+
+
+def mutate(rules: DataFrame, specs: DataFrame) -> DataFrame:
+    """Rules (rule_id, regex, unless) under mutation specs (rule_id, id, kind, value): (rule_id, id, regex, unless, safe).
+
+    The kinds are append_regex_alt, replace_in_regex (``from=>to``, the first place), set_unless and append_unless_alt; any
+    other kind leaves the rule as it is. Safe is a spec with an id and a value whose patterns compile.
+    """
+    value, at = F.col("value"), F.instr("value", "=>")
+    alt = lambda c: F.when(F.coalesce(c, F.lit("")) == "", value).otherwise(F.concat(c, F.lit("|"), value))
+    kind = lambda k: F.col("kind") == k
+    before, after = F.substring(value, F.lit(1), at - 1), F.substring(value, at + 2, F.length(value))
+    place = F.expr("locate(substring(value, 1, instr(value, '=>') - 1), regex)")
+    replaced = F.when((at > 0) & (place > 0), F.concat(F.substring(F.col("regex"), F.lit(1), place - 1), after, F.substring(F.col("regex"), place + F.length(before), F.length("regex")))).otherwise(F.col("regex"))
+    j = specs.join(rules.select("rule_id", "regex", "unless"), "rule_id").select(
+        "rule_id", "id", "value", F.when(kind("append_regex_alt"), alt(F.col("regex"))).when(kind("replace_in_regex"), replaced).otherwise(F.col("regex")).alias("regex"),
+        F.when(kind("set_unless"), value).when(kind("append_unless_alt"), alt(F.col("unless"))).otherwise(F.col("unless")).alias("unless"),
+    )
+    patterns = j.select(F.explode(F.array("regex", "unless")).alias("p")).where("p is not null").distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} mutated patterns")
+    broken = rules.sparkSession.createDataFrame([(r.p,) for r in patterns if not compiles(rules.sparkSession, r.p)], "p string")
+    bad = lambda c: F.broadcast(broken.select(F.col("p").alias(f"_{c}"), F.lit(True).alias(f"_bad_{c}")))
+    j = j.join(bad("regex"), F.col("regex") == F.col("_regex"), "left").join(bad("unless"), F.col("unless") == F.col("_unless"), "left")
+    named = (F.trim(F.coalesce("id", F.lit(""))) != "") & (F.trim(F.coalesce("value", F.lit(""))) != "")
+    return j.select("rule_id", "id", "regex", "unless", (named & F.col("_bad_regex").isNull() & F.col("_bad_unless").isNull()).alias("safe"))
+
+
+def compiles(spark, pattern: str) -> bool:
+    """Whether Spark's own regular expressions take the pattern."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
+def voter(function) -> Column:
+    """A labelling function of a text as a column function: 1, 0 or null; what it fails on is an abstention."""
+
+    @F.pandas_udf("int")
+    def vote(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                said = function(text)
+                return None if said is None else int(bool(said))
+            except Exception:  # noqa: BLE001
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype="object")
+
+    return vote
+
+
+def recorded_votes(candidates: DataFrame, recorded: DataFrame, name: str) -> DataFrame:
+    """(candidate, voter, vote): what an outside voter said of each candidate, null where it said nothing."""
+    said = recorded.select("candidate", F.col("vote").cast("int").alias("vote"))
+    return candidates.select("candidate").join(said, "candidate", "left").select("candidate", F.lit(name).alias("voter"), "vote")

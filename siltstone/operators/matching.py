@@ -1,7 +1,9 @@
 """Rules over lines: the regex theta join, its deduplications, cross-tool echoes, and reports on findings.
 
-The rule table is a parameter of the user's, small by nature; it is broadcast up to ``MOST_RULES`` rows, and a larger one
-is joined as Spark sees fit, with every rule. With many rules, one fused alternation first drops the lines that no rule matches, so the nested loop sees only hits.
+A rule pack that is at hand as data is compiled into the query: each pattern is a literal, so it is compiled once for a
+task, and a line gives the rows of the rules that match it, without a join. A rule table of any size is joined instead:
+it is broadcast up to ``MOST_RULES`` rows, and a larger one is joined as Spark sees fit, with every rule. A rule can
+report too many lines only of a file with that many lines, so only such files are shuffled to limit them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from siltstone.functions.severity import severity_rank
 from siltstone.functions.text import fingerprint, lines, normal_snippet
 
 LONGEST_LINE, MOST_MATCHES, MOST_RULES = 8_000, 500, 20_000
+#: Rules that are compiled into one query at most; a larger pack goes through the join.
+MOST_COMPILED = 64
 RULE_SCHEMA = "rule_id string, regex string, unless string, severity string, type string, effort int, pack string, languages array<string>, cwe array<string>, seq int"
 
 #: The built-in packs, in the regex subset that Java and RE2 share.
@@ -40,28 +44,48 @@ def unsafe_regex(regex: Column) -> Column:
     return (F.length(regex) > 300) | regex.rlike(r"\([^()]*[+*][^()]*\)[+*]") | regex.rlike(r"\([^()]*\{[0-9]+,[0-9]*\}[^()]*\)[+*]")
 
 
-def fused(patterns: list[str]) -> str:
-    """One alternation of all patterns; inline flags stay within their own."""
-    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns if p)
+def _compiled(rows: DataFrame, rules) -> DataFrame:
+    """Each line with its matches by the rules of a pack; one literal pattern each."""
+    text, lang = F.col("txt"), F.col("lang")
 
+    def hit(i: int, rule) -> Column:
+        _, regex, unless, *_, languages, _ = rule
+        holds = text.rlike(regex)
+        if unless is not None:
+            holds = holds & ~text.rlike(unless)
+        if "any" not in languages:
+            holds = lang.isin(*languages) & holds
+        return F.when(holds, F.struct(F.lit(i).alias("seq"), F.regexp_instr(text, F.lit(regex)).alias("col"), F.length(F.regexp_extract(text, regex, 0)).alias("len")))
 
-def findings(files: DataFrame, rules: DataFrame, patterns: list[str] | None = None) -> DataFrame:
-    """First match of every rule on every line of files (path, lang, text and more).
+    some = F.array(*(hit(i, r) for i, r in enumerate(rules) if r[1]))
+    out = rows.withColumn("_hit", F.explode(some)).where("_hit is not null")
+    return out.select("*", "_hit.seq", "_hit.col", (F.col("_hit.col") + F.col("_hit.len")).alias("end_col")).drop("_hit").join(F.broadcast(rule_table(rows.sparkSession, rules)), "seq")
 
-    Rules without a regex are stubs. Lines over LONGEST_LINE are skipped, ``unless`` is tested on the same line, and a
-    rule reports at most MOST_MATCHES lines of a file. Columns are code points, from 1.
-    """
-    rows = lines(files).where(F.length("txt") <= LONGEST_LINE)
-    if patterns:
-        rows = rows.where(F.col("txt").rlike(fused(patterns)))
+
+def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same by a rule table."""
     rules = rules.where("regex != ''")
     few = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
     matched = rows.join(F.broadcast(rules) if few else rules, F.expr("(array_contains(languages, 'any') OR array_contains(languages, lang)) AND txt RLIKE regex"))
     matched = matched.where("unless IS NULL OR NOT txt RLIKE unless")
-    found = F.expr("regexp_extract(txt, regex, 0)")
-    out = matched.withColumn("col", F.expr("regexp_instr(txt, regex)")).withColumn("end_col", F.col("col") + F.length(found)).withColumn("snippet", F.trim("txt"))
+    return matched.withColumn("col", F.expr("regexp_instr(txt, regex)")).withColumn("end_col", F.col("col") + F.length(F.expr("regexp_extract(txt, regex, 0)")))
+
+
+def findings(files: DataFrame, rules) -> DataFrame:
+    """First match of every rule on every line of files (path, lang, text and more).
+
+    ``rules`` is a pack (tuples like those of PACK) or a table of RULE_SCHEMA. Rules without a regex are stubs. Lines over
+    LONGEST_LINE are skipped, ``unless`` is tested on the same line, and a rule reports at most MOST_MATCHES lines of a
+    file. Columns are code points, from 1.
+    """
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_COMPILED:
+        rules = rule_table(files.sparkSession, rules)
+    match = _joined if isinstance(rules, DataFrame) else _compiled
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1))
+    of = lambda some: match(lines(some).where(F.length("txt") <= LONGEST_LINE), rules)
     nth = F.row_number().over(W.partitionBy("path", "rule_id").orderBy("ln"))
-    out = out.withColumn("_nth", nth).where(F.col("_nth") <= MOST_MATCHES).drop("_nth")
+    many = of(files.where(n_lines > MOST_MATCHES)).withColumn("_nth", nth).where(F.col("_nth") <= MOST_MATCHES).drop("_nth")
+    out = of(files.where(n_lines <= MOST_MATCHES)).unionByName(many).withColumn("snippet", F.trim("txt"))
     return out.withColumn("fp", fingerprint(F.col("rule_id"), F.col("path"), normal_snippet(F.col("txt"))))
 
 

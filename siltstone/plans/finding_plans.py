@@ -128,10 +128,13 @@ def a34(t):
     return m.recommendation_groups(found(t))
 
 
-@query("p9_unsafe_rules", f"WITH {FILE}, {RULE} SELECT rule_id, length(regex) > 300 OR regexp_matches(regex, '\\([^()]*[+*][^()]*\\)[+*]') OR regexp_matches(regex, '\\([^()]*\\{{[0-9]+,[0-9]*\\}}[^()]*\\)[+*]') AS unsafe, (SELECT count(*) FROM file) AS files FROM rule")
+PATTERN = "CASE p_size % 5 WHEN 0 THEN concat('(', p_brand, '+)+') WHEN 1 THEN concat(p_type, '.*') WHEN 2 THEN concat('([a-z]{2,9}', p_brand, ')*') WHEN 3 THEN repeat(p_type, 20) ELSE p_brand END"
+
+
+@query("p9_unsafe_rules", f"WITH p AS (SELECT p_partkey, {PATTERN} AS regex FROM part) SELECT p_partkey, length(regex) > 300 OR regexp_matches(regex, '\\([^()]*[+*][^()]*\\)[+*]') OR regexp_matches(regex, '\\([^()]*\\{{[0-9]+,[0-9]*\\}}[^()]*\\)[+*]') AS unsafe FROM p")
 def p9(t):
-    n = files(t).agg(F.count("*").alias("files"))
-    return m.rule_table(t.spark).crossJoin(F.broadcast(n)).select("rule_id", m.unsafe_regex(F.col("regex")).alias("unsafe"), "files")
+    """Patterns of a table, some of which may backtrack without end."""
+    return t.part.select("p_partkey", m.unsafe_regex(F.expr(PATTERN)).alias("unsafe"))
 
 
 @query("u1_u2_union_distinct", f"WITH {FINDING}, every AS (SELECT fp FROM finding WHERE seq % 2 = 0 UNION ALL SELECT fp FROM finding WHERE seq % 3 = 0) SELECT fp, count(*)::BIGINT AS n FROM every GROUP BY fp")

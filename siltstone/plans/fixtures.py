@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import lines
-from siltstone.operators.matching import PACK, findings, rule_table
+from siltstone.operators.matching import PACK, findings
 from siltstone.plans.registry import Tables
 
 
@@ -18,7 +18,7 @@ def files(t: Tables) -> DataFrame:
 
 def found(t: Tables) -> DataFrame:
     """Findings of the built-in packs, with an id for each (file, line, rule)."""
-    out = findings(files(t), rule_table(t.spark), [r[1] for r in PACK])
+    out = findings(files(t), PACK)
     return out.withColumn("fid", F.concat_ws("#", "path", F.col("ln").cast("string"), "rule_id"))
 
 
@@ -41,18 +41,9 @@ def analyses(t: Tables) -> DataFrame:
 
 
 def calls(t: Tables) -> DataFrame:
-    """The part of the call graph that the SQL of the queries names."""
-    return _calls(t, t.orders.where("o_orderkey % 8 = 0"))
-
-
-def all_calls(t: Tables) -> DataFrame:
     """A cyclic call graph from all orders; customers are the nodes."""
-    return _calls(t, t.orders)
-
-
-def _calls(t: Tables, orders: DataFrame) -> DataFrame:
     n = t.customer.select(F.count("*").alias("n"))
-    e = orders.crossJoin(F.broadcast(n)).select(F.col("o_custkey").cast("long").alias("src"), ((7 * F.col("o_custkey") + 13 * F.col("o_orderkey")) % F.col("n")).cast("long").alias("dst"))
+    e = t.orders.crossJoin(F.broadcast(n)).select(F.col("o_custkey").cast("long").alias("src"), ((7 * F.col("o_custkey") + 13 * F.col("o_orderkey")) % F.col("n")).cast("long").alias("dst"))
     return e.where("src != dst")
 
 
@@ -84,5 +75,5 @@ unit0 AS (SELECT path, min(ln) AS s, max(ln) AS e FROM runs WHERE is_full GROUP
 unit AS (SELECT path, s, e, path || '@' || s AS unit, 1 + (e - s) % 7 AS cyclomatic FROM unit0)"""
 )
 ANALYSIS = "analysis AS (SELECT event_id, user_id AS repo, ts, event_type, event_type <> 'error' AS passed, least(100.0, value) AS coverage, 100 + event_id % 900 AS loc, event_id % 13 AS issues FROM events)"
-CALL = "call AS (SELECT * FROM (SELECT o_custkey::BIGINT AS src, ((7 * o_custkey + 13 * o_orderkey) % (SELECT count(*) FROM customer))::BIGINT AS dst FROM orders WHERE o_orderkey % 8 = 0) WHERE src <> dst)"
+CALL = "call AS (SELECT * FROM (SELECT o_custkey::BIGINT AS src, ((7 * o_custkey + 13 * o_orderkey) % (SELECT count(*) FROM customer))::BIGINT AS dst FROM orders) WHERE src <> dst)"
 RANK = "CASE severity WHEN 'BLOCKER' THEN 5 WHEN 'CRITICAL' THEN 4 WHEN 'MAJOR' THEN 3 WHEN 'MINOR' THEN 2 WHEN 'INFO' THEN 1 ELSE 0 END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph as g
-from siltstone.plans.fixtures import CALL, FINDING, all_calls, calls, found
+from siltstone.plans.fixtures import CALL, FINDING, calls, found
 from siltstone.plans.registry import query
 
 EDGE = "edge AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst FROM pages)"
@@ -43,11 +43,11 @@ def g4(t):
     return g.hops_from(entries(t), calls(t))
 
 
-@query("g5_finding_enrichment", f"{REACH}, d AS (SELECT dst AS node, count(*) AS fan_in FROM call GROUP BY dst) SELECT o_orderkey, coalesce(fan_in, 0)::BIGINT AS fan_in, hops::INTEGER AS hops, round(0.55 * least(1, coalesce(fan_in, 0) / 20) + 0.45 * CASE WHEN hops IS NULL THEN 0.15 ELSE greatest(0, 1 - hops / 8) END, 3) AS priority FROM orders LEFT JOIN d ON d.node = o_custkey LEFT JOIN best b ON b.node = o_custkey WHERE o_orderkey % 3 = 0")
+@query("g5_finding_enrichment", f"{REACH}, d AS (SELECT dst AS node, count(*) AS fan_in FROM call GROUP BY dst) SELECT o_orderkey, coalesce(fan_in, 0)::BIGINT AS fan_in, hops::INTEGER AS hops, round(0.55 * least(1, coalesce(fan_in, 0) / 20) + 0.45 * CASE WHEN hops IS NULL THEN 0.15 ELSE greatest(0, 1 - hops / 8) END, 3) AS priority FROM orders LEFT JOIN d ON d.node = o_custkey LEFT JOIN best b ON b.node = o_custkey")
 def g5(t):
     e = calls(t)
     d = g.degrees(e).select("node", "fan_in")
-    o = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_custkey").cast("long").alias("node"))
+    o = t.orders.select("o_orderkey", F.col("o_custkey").cast("long").alias("node"))
     j = o.join(d, "node", "left").join(g.hops_from(entries(t), e), "node", "left")
     fan = F.coalesce("fan_in", F.lit(0))
     return j.select("o_orderkey", fan.alias("fan_in"), "hops", g.priority(fan, F.col("hops")).alias("priority"))
@@ -80,20 +80,29 @@ def g10(t):
     return lone.groupBy("c_nationkey").agg(F.count("*").alias("orphans"))
 
 
-@query("g11_flows")
+#: One level of the search after another; a place that a source has reached stays with its shorter path.
+FLOW = "WITH " + CALL + ", clean AS (SELECT DISTINCT src, dst FROM call WHERE dst % 11 <> 5), f0 AS (SELECT c_custkey::BIGINT AS source, c_custkey::BIGINT AS place, [c_custkey::BIGINT] AS path FROM customer WHERE c_custkey % 50 = 0), s0 AS (SELECT source, place FROM f0)"
+for _i in range(1, 7):
+    FLOW += f", f{_i} AS (SELECT f.source, dst AS place, min(list_append(path, dst)) AS path FROM f{_i - 1} f JOIN clean ON src = f.place WHERE NOT list_contains(path, dst) AND NOT EXISTS (SELECT 1 FROM s{_i - 1} s WHERE s.source = f.source AND s.place = dst) GROUP BY f.source, dst), s{_i} AS (SELECT * FROM s{_i - 1} UNION ALL SELECT source, place FROM f{_i})"
+FLOW += " SELECT source, place AS sink, array_to_string(path, '>') AS path FROM (" + " UNION ALL ".join(f"SELECT * FROM f{_i}" for _i in range(1, 7)) + ") WHERE place % 7 = 3 AND place IN (SELECT c_custkey FROM customer)"
+
+
+@query("g11_flows", FLOW)
 def g11(t):
     node = lambda c: t.customer.where(c).select(F.col("c_custkey").cast("long").alias("node"))
-    return g.flows(node("c_custkey % 50 = 0"), node("c_custkey % 7 = 3"), node("c_custkey % 11 = 5"), all_calls(t), 4).select("source", "sink", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return g.flows(node("c_custkey % 50 = 0"), node("c_custkey % 7 = 3"), node("c_custkey % 11 = 5"), calls(t)).select("source", "sink", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("g12_trace_coverage", "WITH s AS (SELECT user_id, event_type AS state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), w AS (SELECT DISTINCT state AS src, nxt AS dst FROM s WHERE nxt IS NOT NULL AND user_id % 40 = 0), k AS (SELECT DISTINCT state AS src, nxt AS dst FROM s WHERE nxt IS NOT NULL) SELECT count(*)::BIGINT AS total, sum(CASE WHEN w.src IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS hit, round(sum(CASE WHEN w.src IS NOT NULL THEN 1 ELSE 0 END) / count(*), 4) AS share FROM k LEFT JOIN w USING (src, dst)")
+@query("g12_trace_coverage", "WITH s AS (SELECT user_id, event_type AS state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), w AS (SELECT DISTINCT state AS src, nxt AS dst FROM s WHERE nxt IS NOT NULL AND nxt <> 'error'), k AS (SELECT DISTINCT state AS src, nxt AS dst FROM s WHERE nxt IS NOT NULL) SELECT count(*)::BIGINT AS total, sum(CASE WHEN w.src IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS hit, round(sum(CASE WHEN w.src IS NOT NULL THEN 1 ELSE 0 END) / count(*), 4) AS share FROM k LEFT JOIN w USING (src, dst)")
 def g12(t):
     from pyspark.sql import Window as W
 
     step = F.struct("ts", "event_id")
-    traces = t.events.select(F.col("user_id").alias("trace"), step.alias("step"), F.col("event_type").alias("state"))
+    traces = t.events.where("event_type is not null").select(F.col("user_id").alias("trace"), step.alias("step"), F.col("event_type").alias("state"))
     known = traces.withColumn("dst", F.lead("state").over(W.partitionBy("trace").orderBy("step"))).where("dst is not null").select(F.col("state").alias("src"), "dst")
-    return g.trace_coverage(traces.where("trace % 40 = 0"), known)
+    walked = known.where("dst != 'error'").withColumn("trace", F.monotonically_increasing_id())
+    steps = F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("src").alias("state")), F.struct(F.lit(1).alias("step"), F.col("dst").alias("state"))))
+    return g.trace_coverage(walked.select("trace", steps.alias("x")).select("trace", "x.*"), known)
 
 
 @query("l1_hotspots", f"WITH {EDGE} SELECT dst AS node, count(*)::BIGINT AS fan_in FROM edge GROUP BY dst ORDER BY fan_in DESC, node LIMIT 28")
@@ -117,10 +126,10 @@ def a15(t):
     return n.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst"))).where("k <= 8").select("src", "dst", "n")
 
 
-@query("j13_call_resolution", "WITH d AS (SELECT p_partkey AS id, p_brand AS file, p_type || (p_size % 9) AS name FROM part), s AS (SELECT DISTINCT l_orderkey AS site, 'Brand#' || (l_partkey % 5) AS file, p_type || (l_linenumber % 9) AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0), h AS (SELECT file, name, min(id) AS id FROM d GROUP BY ALL HAVING count(*) = 1), a AS (SELECT name, min(id) AS id FROM d GROUP BY ALL HAVING count(*) = 1) SELECT site, coalesce(h.id::VARCHAR, a.id::VARCHAR, 'unresolved:' || s.name) AS target, count(*)::BIGINT AS n FROM s LEFT JOIN h ON h.file = s.file AND h.name = s.name LEFT JOIN a ON a.name = s.name GROUP BY ALL")
+@query("j13_call_resolution", "WITH d AS (SELECT p_partkey AS id, p_brand AS file, p_type || (p_size % 9) AS name FROM part), s AS (SELECT DISTINCT l_orderkey AS site, 'Brand#' || (l_partkey % 5) AS file, p_type || (l_linenumber % 9) AS name FROM lineitem JOIN part ON p_partkey = l_partkey), h AS (SELECT file, name, min(id) AS id FROM d GROUP BY ALL HAVING count(*) = 1), a AS (SELECT name, min(id) AS id FROM d GROUP BY ALL HAVING count(*) = 1) SELECT site, coalesce(h.id::VARCHAR, a.id::VARCHAR, 'unresolved:' || s.name) AS target, count(*)::BIGINT AS n FROM s LEFT JOIN h ON h.file = s.file AND h.name = s.name LEFT JOIN a ON a.name = s.name GROUP BY ALL")
 def j13(t):
     d = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("file"), F.concat("p_type", (F.col("p_size") % 9).cast("string")).alias("name"))
-    l = t.lineitem.where("l_orderkey % 10 = 0").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    l = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     s = l.select(F.col("l_orderkey").alias("site"), F.concat(F.lit("Brand#"), (F.col("l_partkey") % 5).cast("string")).alias("file"), F.concat("p_type", (F.col("l_linenumber") % 9).cast("string")).alias("name")).distinct()
     return g.resolve_calls(s, d).groupBy("site", "target").agg(F.count("*").alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import lines
 from siltstone.operators import learning as ln
-from siltstone.plans.fixtures import LINE, files
+from siltstone.plans.fixtures import LINE, RULE, files
 from siltstone.plans.registry import query
 
 DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -34,9 +34,11 @@ def m4(t):
     return t.embeddings.groupBy("label").agg(ln.k_for(F.count("*")).alias("k"))
 
 
-@query("j18_similar_pairs", f"WITH s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({DOT} / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, a, b FROM s WHERE cosine >= 0.9")
+@query("j18_similar_pairs", f"WITH s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({DOT} / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE NOT (a.vec_id % 4 = b.vec_id % 4 AND (a.vec_id % 9 <= b.vec_id % 9 AND b.vec_id % 9 + b.vec_id % 5 <= a.vec_id % 9 + a.vec_id % 5 OR b.vec_id % 9 <= a.vec_id % 9 AND a.vec_id % 9 + a.vec_id % 5 <= b.vec_id % 9 + b.vec_id % 5))) SELECT label, a, b FROM s WHERE cosine >= 0.9")
 def j18(t):
-    return ln.similar_pairs(vectors(t)).select("label", "a", "b")
+    """Units of four files with ranges of lines, of which some lie inside others."""
+    k = F.col("id")
+    return ln.similar_pairs(vectors(t).withColumn("file", k % 4).withColumn("start", k % 9).withColumn("end", k % 9 + k % 5)).select("label", "a", "b")
 
 
 CENTRE = "d AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, dim, avg(x) AS x FROM d GROUP BY ALL), dist AS (SELECT vec_id, d.label, sqrt(sum((d.x - c.x) * (d.x - c.x))) AS distance FROM d JOIN c ON d.label = c.label AND d.dim = c.dim GROUP BY ALL)"
@@ -67,7 +69,7 @@ def a12(t):
 
 @query("m6_m10_lloyd")
 def m6(t):
-    assigned, _ = ln.lloyd(vectors(t), 6, 10)
+    assigned, _ = ln.lloyd(vectors(t), 6)
     return ln.z_scores(ln.outliers(assigned), "distance").select("id", "cluster", F.round("distance", 6).alias("distance"), F.round("outlier", 6).alias("outlier"), "anomaly")
 
 
@@ -91,17 +93,21 @@ def m8(t):
     return p.select("vec_id", F.abs(vector_to_array("pc")[0]).alias("x"), F.abs(vector_to_array("pc")[1]).alias("y"))
 
 
-@query("m1_hashed_bags")
+HASHED = "c AS (SELECT doc_id, token, count(*) AS n FROM b GROUP BY ALL), v AS (SELECT doc_id, ('0x' || substring(md5(token), 1, 8))::BIGINT % {size} AS bucket, sum(n * {sign}) AS v FROM c GROUP BY ALL), u AS (SELECT doc_id, sqrt(sum(v * v)) AS u FROM v GROUP BY doc_id) SELECT doc_id, bucket, round(v / u, 5) AS value FROM v JOIN u USING (doc_id) WHERE v <> 0"
+SIGN = "CASE WHEN ('0x' || substring(md5(token), 9, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END"
+
+
+@query("m1_hashed_bags", "WITH b AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) AS token FROM documents), " + HASHED.replace("FROM b GROUP", "FROM b WHERE token <> '' GROUP").format(size=64, sign=SIGN))
 def m1(t):
     bags = t.documents.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("token")).where("token != ''")
-    return ln.hashed_vectors(bags, "doc_id", "token")
+    return ln.hashed_vectors(bags, "doc_id", "token").withColumn("value", F.round("value", 5))
 
 
-@query("m2_context_vectors")
+@query("m2_context_vectors", "WITH w AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^a-z]+') AS w FROM documents), b AS (SELECT doc_id, w[i] || '_' || w[i + 2] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 30)), " + HASHED.format(size=256, sign="1.0"))
 def m2(t):
     words = t.documents.select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+").alias("w")).where(F.size("w") >= 30)
     grams = words.select("doc_id", F.explode(F.zip_with(F.expr("slice(w, 1, size(w) - 2)"), F.expr("slice(w, 3, size(w) - 2)"), lambda a, b: F.concat_ws("_", a, b))).alias("token"))
-    return ln.hashed_vectors(grams, "doc_id", "token", 256).withColumn("value", F.abs("value"))
+    return ln.hashed_vectors(grams, "doc_id", "token", 256, signed=False).withColumn("value", F.round("value", 5))
 
 
 TRUTH = "r AS (SELECT l.doc_id, lang, d.n_chars > 900 AS predicted, toxic = 1 AS truth FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
@@ -179,7 +185,7 @@ def m11(t):
 
     f = features(t)
     names = ["n_chars", "n_lines", "en", "word"]
-    model = ln.train_stumps(f, names, rounds=6)
+    model = ln.train_stumps(f, names)
     return f.select("doc_id", "label", F.round(sigmoid(stump_score({n: F.col(n) for n in names}, model["stumps"], model["base"], model["rate"])), 6).alias("score"))
 
 
@@ -188,13 +194,14 @@ def m12(t):
     """Five folds; each fold is scored by stumps trained on the other four."""
     from siltstone.functions.quality import sigmoid, stump_score
 
-    f = features(t).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
-    names, out = ["n_chars", "word"], None
-    for k in range(5):
-        model = ln.train_stumps(f.where(F.col("fold") != k), names, rounds=2)
-        part = f.where(F.col("fold") == k).select("doc_id", "label", F.round(sigmoid(stump_score({n: F.col(n) for n in names}, model["stumps"], model["base"], model["rate"])), 6).alias("prob"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    f = features(t).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))
+    names = ["n_chars", "word"]
+    models = ln.train_stumps_many(f.withColumn("_models", others), names, 5)
+    score = F.lit(None).cast("double")
+    for k, model in enumerate(models):
+        score = F.when(F.col("fold") == k, sigmoid(stump_score({n: F.col(n) for n in names}, model["stumps"], model["base"], model["rate"]))).otherwise(score)
+    return f.select("doc_id", "label", F.round(score, 6).alias("prob"))
 
 
 def votes(t):
@@ -212,13 +219,13 @@ def votes(t):
 
 @query("m14_label_model")
 def m14(t):
-    p, _ = ln.dawid_skene(votes(t), rounds=5)
+    p, _ = ln.dawid_skene(votes(t))
     return p.select("candidate", F.round("p", 6).alias("p"))
 
 
 @query("m15_m16_voters")
 def m15(t):
-    _, c = ln.dawid_skene(votes(t), rounds=4)
+    _, c = ln.dawid_skene(votes(t))
     report = ln.voter_report(c).select("voter", F.round("accuracy", 6).alias("accuracy"), F.round("lean", 6).alias("lean"), "biased")
     state = ln.carried_state(c, "toxic").groupBy("voter").agg(F.round(F.sum(F.col("n0") + F.col("n1")), 6).alias("carried"))
     return report.join(state, "voter")
@@ -287,3 +294,31 @@ def m23(t):
     pos = t.labels.agg(F.sum("toxic").alias("pos"))
     ok = n.where((F.col("tp") >= 4) & (F.col("tp") / (F.col("tp") + F.col("fp")) >= 0.85)).crossJoin(F.broadcast(pos))
     return ok.select("token", "tp", "fp", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("pos") - F.col("tp")), 6).alias("f1"))
+
+
+#: Mutations as data: of each part a spec for one of the rules, some of them broken.
+SPEC_KIND = "CASE p_partkey % 5 WHEN 0 THEN 'append_regex_alt' WHEN 1 THEN 'replace_in_regex' WHEN 2 THEN 'set_unless' WHEN 3 THEN 'append_unless_alt' ELSE 'other' END"
+SPEC_VALUE = "CASE WHEN p_partkey % 7 = 0 THEN p_brand || '(' WHEN p_partkey % 5 = 1 THEN '{12,}=>{16,}' ELSE p_brand END"
+MUTATED = "CASE kind WHEN 'append_regex_alt' THEN regex || '|' || value WHEN 'replace_in_regex' THEN CASE WHEN strpos(value, '=>') > 0 AND strpos(regex, '{12,}') > 0 THEN replace(regex, '{12,}', '{16,}') ELSE regex END ELSE regex END"
+UNLESS = "CASE kind WHEN 'set_unless' THEN value WHEN 'append_unless_alt' THEN CASE WHEN unless IS NULL THEN value ELSE unless || '|' || value END ELSE unless END"
+
+
+@query("x3_x4_mutations", f"WITH {RULE}, spec AS (SELECT p_partkey AS id, p_partkey % 10 AS seq, {SPEC_KIND} AS kind, {SPEC_VALUE} AS value FROM part), m AS (SELECT rule_id, id, {MUTATED} AS regex, {UNLESS} AS unless, kind, value FROM spec JOIN rule USING (seq) WHERE regex <> '') SELECT rule_id, id::VARCHAR AS id, regex, unless, strpos(value, '(') = 0 OR kind IN ('replace_in_regex', 'other') AS safe FROM m")
+def x4(t):
+    from siltstone.operators.matching import PACK, rule_table
+
+    rules = rule_table(t.spark, PACK).where("regex != ''")
+    specs = t.part.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_partkey") % 10).cast("int").alias("seq"), F.expr(SPEC_KIND).alias("kind"), F.expr(SPEC_VALUE).alias("value"))
+    return ln.mutate(rules, specs.join(rules.select("seq", "rule_id"), "seq").drop("seq"))
+
+
+@query("x1_failing_voter", "SELECT doc_id, CASE WHEN len(w) >= 40 THEN (len(w[40]) > 4)::INTEGER END AS vote FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), ' ') AS w FROM documents)")
+def x1(t):
+    """A labelling function that fails on short texts, which is an abstention."""
+    long_word = ln.voter(lambda text: len((text or "").split(" ")[39]) > 4)
+    return t.documents.select("doc_id", long_word("text").alias("vote"))
+
+
+@query("x2_recorded_votes", "SELECT d.doc_id AS candidate, 'outside' AS voter, toxic::INTEGER AS vote FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def x2(t):
+    return ln.recorded_votes(t.documents.select(F.col("doc_id").alias("candidate")), t.labels.select(F.col("doc_id").alias("candidate"), F.col("toxic").alias("vote")), "outside")

@@ -198,12 +198,12 @@ def a18b(t):
     return a18(t).groupBy(F.floor(F.col("days") / 100).alias("bucket")).agg(F.count("*").alias("repos"))
 
 
-@query("w12_daily_spine", f"WITH {ANALYSIS}, n AS (SELECT ts::DATE AS day, count(*) AS builds FROM analysis WHERE NOT passed AND repo % 50 = 0 GROUP BY 1), span AS (SELECT max(ts::DATE) AS b FROM analysis), days AS (SELECT unnest(generate_series((b - 29)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM span) SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(builds, 0)::BIGINT AS builds FROM days LEFT JOIN n USING (day)")
+@query("w12_daily_spine", f"WITH {ANALYSIS}, n AS (SELECT ts::DATE AS day, count(*) AS builds FROM analysis WHERE NOT passed GROUP BY 1), span AS (SELECT max(ts::DATE) AS b FROM analysis), days AS (SELECT unnest(generate_series((b - 29)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM span) SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(builds, 0)::BIGINT AS builds FROM days LEFT JOIN n USING (day)")
 def w12(t):
     from siltstone.operators.joins import daily_spine
 
     a = analyses(t).withColumn("day", F.to_date("ts"))
-    n = a.where("not passed and repo % 50 = 0").groupBy("day").agg(F.count("*").alias("builds"))
+    n = a.where("not passed").groupBy("day").agg(F.count("*").alias("builds"))
     return daily_spine(n, a.agg(F.max("day").alias("last")), 30, ["builds"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -279,11 +279,17 @@ def a38(t):
     return stuck_jobs(jobs).groupBy("status").agg(F.count("*").alias("n"), F.count_if("stuck").alias("stuck"))
 
 
-@query("p39_t9_due_scans", "SELECT c_custkey, ('0x' || substring(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT % 24 AS shard FROM customer WHERE c_custkey % 3 = 0")
+REPO_SCANS = "scan AS (SELECT c_custkey AS repo, c_acctbal > 0 AS enabled, last + (c_custkey % 400)::INTEGER AS next_run, ('0x' || substring(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT % 24 AS shard FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate)::DATE AS last FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)"
+
+
+@query("p39_t9_due_scans", f"WITH {REPO_SCANS}, n AS (SELECT max(o_orderdate)::DATE AS now FROM orders) SELECT repo, shard, row_number() OVER (PARTITION BY shard ORDER BY next_run NULLS FIRST, repo)::BIGINT AS place FROM scan, n WHERE enabled AND (next_run IS NULL OR next_run <= now) QUALIFY place <= 300")
 def p39(t):
-    from siltstone.functions.text import shard_of
+    from siltstone.operators.joins import due_scans
 
-    return t.customer.where("c_custkey % 3 = 0").select("c_custkey", shard_of(F.col("c_custkey")).alias("shard"))
+    last = t.orders.groupBy(F.col("o_custkey").alias("repo")).agg(F.max(F.to_date("o_orderdate")).alias("last"))
+    scans = t.customer.select(F.col("c_custkey").alias("repo"), (F.col("c_acctbal") > 0).alias("enabled")).join(last, "repo", "left")
+    scans = scans.withColumn("next_run", F.date_add("last", (F.col("repo") % 400).cast("int")))
+    return due_scans(scans, t.orders.agg(F.max(F.to_date("o_orderdate")).alias("now"))).select("repo", "shard", F.col("place").cast("long").alias("place"))
 
 
 @query("p43_ruleset_version", "SELECT p_type, substring(sha256(string_agg(p_partkey || '|' || p_name || '|' || p_size, chr(10) ORDER BY p_partkey)), 1, 24) AS version FROM part GROUP BY p_type")
@@ -293,12 +299,12 @@ def p43(t):
     return version_hash(t.part, ["p_type"], ["p_partkey", "p_name", "p_size"])
 
 
-@query("p40_catalogue_ids", "WITH b AS (SELECT p_partkey, p_brand FROM part), ref AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'x:' || l_partkey WHEN l_orderkey % 3 = 1 THEN l_partkey::VARCHAR ELSE 'EXT:tool:' || l_partkey END AS id FROM lineitem WHERE l_linenumber = 1), r AS (SELECT ref.*, a.p_partkey AS exact, c.p_partkey AS tail FROM ref LEFT JOIN b a ON a.p_partkey::VARCHAR = id AND NOT starts_with(id, 'EXT:') LEFT JOIN b c ON 'x:' || c.p_partkey = id AND NOT starts_with(id, 'EXT:')) SELECT id, coalesce(exact::VARCHAR, tail::VARCHAR, id) AS resolved, count(*)::BIGINT AS n FROM r GROUP BY ALL")
+@query("p40_catalogue_ids", "WITH b AS (SELECT p_partkey, p_brand FROM part), ref AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'x:' || l_partkey WHEN l_orderkey % 3 = 1 THEN l_partkey::VARCHAR ELSE 'EXT:tool:' || l_partkey END AS id FROM lineitem), r AS (SELECT ref.*, a.p_partkey AS exact, c.p_partkey AS tail FROM ref LEFT JOIN b a ON a.p_partkey::VARCHAR = id AND NOT starts_with(id, 'EXT:') LEFT JOIN b c ON 'x:' || c.p_partkey = id AND NOT starts_with(id, 'EXT:')) SELECT id, coalesce(exact::VARCHAR, tail::VARCHAR, id) AS resolved, count(*)::BIGINT AS n FROM r GROUP BY ALL")
 def p40(t):
     from siltstone.operators.joins import resolve_ids
 
     key = F.col("l_partkey").cast("string")
-    ref = t.lineitem.where("l_linenumber = 1").select(F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("x:"), key)).when(F.col("l_orderkey") % 3 == 1, key).otherwise(F.concat(F.lit("EXT:tool:"), key)).alias("id"))
+    ref = t.lineitem.select(F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("x:"), key)).when(F.col("l_orderkey") % 3 == 1, key).otherwise(F.concat(F.lit("EXT:tool:"), key)).alias("id"))
     return resolve_ids(ref, t.part.select(F.col("p_partkey").cast("string").alias("rule_id")), "x:").groupBy("id", "resolved").agg(F.count("*").alias("n"))
 
 
@@ -360,12 +366,12 @@ def s13(t):
     return t.labels.select("doc_id", F.concat(F.lit("case"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("name"), F.when(F.col("quality") == 1, "sqli").otherwise("xss").alias("category"), (F.col("toxic") == 1).alias("is_real"))
 
 
-@query("s15_feedback_export", f"WITH {FEEDBACK} SELECT doc_id, verdict, row_number() OVER (ORDER BY doc_id DESC)::BIGINT AS place FROM feedback WHERE doc_id % 4 <> 0")
+@query("s15_feedback_export", f"WITH {FEEDBACK} SELECT doc_id, verdict, row_number() OVER (ORDER BY doc_id DESC)::BIGINT AS place FROM feedback")
 def s15(t):
     """Newest first; the place is given by range partitions, not by one task: ids before it, counted per range."""
     from siltstone.operators.joins import global_place
 
-    return global_place(feedback(t).where("doc_id % 4 <> 0").select("doc_id", "verdict"), "doc_id", descending=True)
+    return global_place(feedback(t).select("doc_id", "verdict"), "doc_id", descending=True)
 
 
 @query("t4_rate_limit", "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*)::BIGINT AS n, count(*) > 2 AS over_limit FROM events GROUP BY ALL")

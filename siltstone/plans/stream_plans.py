@@ -42,16 +42,20 @@ def t11(t):
 
 @query("t2_ingest_summaries", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def t2(t):
-    folder = ev.shared_folder(t.spark)
+    kept = ev.keep_batches(stream(t), lambda b: b.groupBy("event_type").agg(F.count("*").alias("n")), ev.shared_folder(t.spark))
+    return kept.groupBy("event_type").agg(F.sum("n").alias("n"))
 
-    def summarize(batch, batch_id):
-        batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{folder}/summaries")
 
-    ev.ingest(stream(t), summarize, f"{folder}/run")
-    return t.spark.read.parquet(f"{folder}/summaries").groupBy("event_type").agg(F.sum("n").alias("n"))
-
-
-@query("t7_voter_state")
+@query("t7_voter_state", "SELECT user_id AS voter, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END)::DOUBLE AS \"right\", count(*)::DOUBLE AS mass FROM events GROUP BY user_id")
 def t7(t):
+    """One batch, so nothing has faded yet."""
     e = stream(t).select(F.col("user_id").alias("voter"), (F.col("event_type") != "error").cast("int").alias("right"))
     return ev.carry_voters(e, ev.shared_folder(t.spark)).select("voter", F.round("right", 6).alias("right"), F.round("mass", 6).alias("mass"))
+
+
+@query("t10_bucket_stream", "WITH s AS (SELECT CASE WHEN event_id % 13 < 4 THEN 'low' WHEN event_id % 13 < 9 THEN 'mid' ELSE 'high' END AS bucket FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT bucket, count(*)::BIGINT AS repos FROM s GROUP BY bucket")
+def t10(t):
+    issues = F.col("event_id") % 13
+    e = stream(t).select("user_id", "ts", "event_id", F.when(issues < 4, "low").when(issues < 9, "mid").otherwise("high").alias("bucket"))
+    kept = ev.keep_batches(ev.bucket_transitions(e, "user_id", "bucket"), lambda b: b, ev.shared_folder(t.spark))
+    return kept.groupBy("bucket").agg(F.sum("delta").alias("repos"))

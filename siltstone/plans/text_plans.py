@@ -59,7 +59,7 @@ def p12(t):
     return found(t).select("fid", tx.imported_fingerprint(F.lit("tool"), F.col("rule_id"), F.col("path"), F.col("ln")).alias("fp"))
 
 
-@query("p13_fnv1a")
+@query("p13_fnv1a", f"WITH {FILE} SELECT path, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(path, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM file")
 def p13(t):
     return files(t).select("path", tx.fnv1a(F.col("path")).alias("h"))
 
@@ -77,7 +77,7 @@ x AS (SELECT fid, coalesce(fp_rate, 0) AS fp_rate, CASE WHEN doc_id % 7 = 0 THEN
 
 def rank_features(t):
     rate = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.round(F.avg(1 - F.col("toxic")), 6).alias("fp_rate"))
-    f = found(t).join(F.broadcast(rate), "source", "left")
+    f = found(t).join(rate, "source", "left")
     path = F.concat(F.when(F.col("doc_id") % 7 == 0, "tests/").otherwise("src/"), F.col("path"))
     from siltstone.functions.severity import lookup
 
@@ -165,7 +165,7 @@ def a22(t):
     return m.branch_counts(tx.lines(files(t))).select("path", F.col("nesting").cast("long").alias("nesting"))
 
 
-@query("a22_branch_words")
+@query("a22_branch_words", f"WITH {LINE}, w AS (SELECT path, ln, len(list_filter(string_split_regex(lower(txt), '[^a-z]'), lambda x: x IN ({', '.join(repr(x) for x in m.BRANCH_WORDS)}))) AS words, len(regexp_extract_all(txt, '[(\\[{{]')) - len(regexp_extract_all(txt, '[)\\]}}]')) AS step FROM line), d AS (SELECT path, words, greatest(0, coalesce(sum(step) OVER (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS depth FROM w) SELECT path, (1 + sum(words))::BIGINT AS cyclomatic, sum(words * (1 + depth))::BIGINT AS cognitive FROM d GROUP BY path")
 def a22b(t):
     return m.branch_counts(tx.lines(files(t))).select("path", *LONG("cyclomatic", "cognitive"))
 

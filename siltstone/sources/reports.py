@@ -54,9 +54,10 @@ def unreadable(spark: SparkSession, path: str) -> DataFrame:
     return logs.where(F.col("_corrupt_record").isNotNull() | F.col("runs").isNull()).select("file").distinct()
 
 
-def read_lint(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of linter JSON (file, messages); messages without a rule are dropped; severity 2 is an error."""
-    rows = spark.read.schema("filePath string, messages array<struct<ruleId:string,severity:int,message:string,line:int,column:int>>").option("multiLine", "true").json(path)
+def read_lint(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Findings of linter JSON (file, messages), whole files or one file of the linter's a line; messages without a rule
+    are dropped; severity 2 is an error."""
+    rows = spark.read.schema("filePath string, messages array<struct<ruleId:string,severity:int,message:string,line:int,column:int>>").option("multiLine", str(not lines).lower()).json(path)
     m = rows.select(normal_path(F.col("filePath")).alias("path"), F.explode("messages").alias("m")).where("m.ruleId is not null")
     return m.select("path", F.col("m.ruleId").alias("rule_id"), severity_of_level(F.when(F.col("m.severity") == 2, "error").otherwise("warning")).alias("severity"), F.col("m.line").alias("ln"), F.col("m.column").alias("col"))
 
@@ -74,18 +75,63 @@ def read_lcov(spark: SparkSession, path: str) -> DataFrame:
     return da.select(normal_path(F.col("path")).alias("path"), F.regexp_extract("txt", "^DA:([0-9]+),", 1).cast("int").alias("ln"), (F.regexp_extract("txt", "^DA:[0-9]+,([0-9]+)", 1).cast("long") > 0).alias("hit")).groupBy("path", "ln").agg(F.bool_or("hit").alias("hit"))
 
 
+def _line_hits(lines: DataFrame) -> DataFrame:
+    """(path, ln, hit) from (path, ln, hit) with repeats; a line hit once is hit."""
+    return lines.where("ln is not null").groupBy(normal_path(F.col("path")).alias("path"), "ln").agg(F.bool_or("hit").alias("hit"))
+
+
+def _cobertura(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.format("xml").option("rowTag", "class").schema("_filename string, lines struct<line:array<struct<_number:int,_hits:long,`_condition-coverage`:string>>>").load(path)
+    return rows.select(F.col("_filename").alias("path"), F.explode("lines.line").alias("l"))
+
+
 def read_cobertura(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.format("xml").option("rowTag", "class").schema("_filename string, lines struct<line:array<struct<_number:int,_hits:long>>>").load(path)
-    lines = rows.select(F.col("_filename").alias("path"), F.explode("lines.line").alias("l"))
-    return lines.groupBy(normal_path(F.col("path")).alias("path"), F.col("l._number").alias("ln")).agg(F.bool_or(F.col("l._hits") > 0).alias("hit"))
+    return _line_hits(_cobertura(spark, path).select("path", F.col("l._number").alias("ln"), (F.coalesce("l._hits", F.lit(0)) > 0).alias("hit")))
+
+
+def _jacoco(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.format("xml").option("rowTag", "package").schema("_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:int,_mi:long,_ci:long,_mb:long,_cb:long>>>>").load(path)
+    files = rows.select(F.translate("_name", ".", "/").alias("_name"), F.explode("sourcefile").alias("s"))
+    return files.select(F.concat_ws("/", F.nullif("_name", F.lit("")), "s._name").alias("path"), F.explode("s.line").alias("l"))
 
 
 def read_jacoco(spark: SparkSession, path: str) -> DataFrame:
     """Line hits of JaCoCo reports: a line with covered instructions is hit."""
-    rows = spark.read.format("xml").option("rowTag", "package").schema("_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:int,_mi:long,_ci:long>>>>").load(path)
-    files = rows.select("_name", F.explode("sourcefile").alias("s"))
-    lines = files.select(F.concat_ws("/", "_name", "s._name").alias("path"), F.explode("s.line").alias("l"))
-    return lines.groupBy("path", F.col("l._nr").alias("ln")).agg(F.bool_or(F.col("l._ci") > 0).alias("hit"))
+    return _line_hits(_jacoco(spark, path).select("path", F.col("l._nr").alias("ln"), (F.coalesce("l._ci", F.lit(0)) > 0).alias("hit")))
+
+
+def read_jcov(spark: SparkSession, path: str) -> DataFrame:
+    """Line hits of JCov reports: the lines of each block, in a method or right in the class; a hit wins.
+
+    The path is the class's source, else its name with slashes and the ending of a Java file.
+    """
+    block = "struct<_s:int,_e:int,_c:long>"
+    methods = f"struct<bl:array<{block}>,block:array<{block}>>"
+    rows = spark.read.format("xml").option("rowTag", "class").schema(f"_source string, _name string, bl array<{block}>, block array<{block}>, method array<{methods}>, meth array<{methods}>").load(path)
+    file = F.coalesce(F.translate("_source", "\\", "/"), F.concat(F.translate("_name", ".", "/"), F.lit(".java")))
+    none = F.array().cast(f"array<{block}>")
+    inner = lambda c: F.flatten(F.transform(F.coalesce(F.col(c), F.array().cast(f"array<{methods}>")), lambda m: F.concat(F.coalesce(m["bl"], none), F.coalesce(m["block"], none))))
+    blocks = rows.where(file.isNotNull()).select(file.alias("path"), F.explode(F.concat(F.coalesce("bl", none), F.coalesce("block", none), inner("method"), inner("meth"))).alias("b")).where("b._s is not null and coalesce(b._e, b._s) >= b._s")
+    return _line_hits(blocks.select("path", F.explode(F.sequence("b._s", F.coalesce("b._e", "b._s"))).alias("ln"), (F.coalesce("b._c", F.lit(0)) > 0).alias("hit")))
+
+
+def read_branches(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, covered, total) branches of each file of LCOV, Cobertura or JaCoCo reports that count any."""
+    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
+    if kind == "lcov":
+        w = W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+        rows = _report_lines(spark, path).withColumn("path", F.last(F.when(F.col("txt").startswith("SF:"), F.substring("txt", F.lit(4), F.length("txt"))), ignorenulls=True).over(w))
+        of = lambda mark: F.when(F.col("txt").startswith(mark), number(F.substring("txt", F.lit(len(mark) + 1), F.length("txt")))).otherwise(0)
+        rows = rows.where(F.col("txt").rlike("^BR[FH]:")).select("path", of("BRH:").alias("covered"), of("BRF:").alias("total"))
+    elif kind == "cobertura":
+        part = lambda i: number(F.regexp_extract("l.`_condition-coverage`", r"\(([0-9]+)/([0-9]+)\)", i))
+        rows = _cobertura(spark, path).select("path", part(1).alias("covered"), part(2).alias("total"))
+    elif kind == "jacoco":
+        covered, missed = F.coalesce("l._cb", F.lit(0)), F.coalesce("l._mb", F.lit(0))
+        rows = _jacoco(spark, path).select("path", covered.alias("covered"), (covered + missed).alias("total"))
+    else:
+        raise ValueError(f"no branches in {kind}")
+    return rows.groupBy(normal_path(F.col("path")).alias("path")).agg(F.sum("covered").alias("covered"), F.sum("total").alias("total")).where("total > 0")
 
 
 def read_go_cover(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +174,31 @@ def patch_cases(diffs: DataFrame, least: int = 20) -> DataFrame:
 
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    """Watch-list rows of an advisory feed, one per id, the newest."""
-    rows = spark.read.schema("ghsa_id string, cve_id string, severity string, ecosystem string, cwes array<string>, published_at timestamp").json(path)
-    return rows.groupBy("ghsa_id").agg(F.max_by(F.struct("cve_id", "severity", "ecosystem", "cwes", "published_at"), "published_at").alias("r")).select("ghsa_id", "r.*")
+    """Watch-list rows of an advisory feed, one per id, the newest (ties: the greatest row)."""
+    rows = spark.read.schema("ghsa_id string, cve_id string, severity string, ecosystem string, summary string, cwes array<struct<cwe_id:string>>, published_at timestamp").json(path)
+    row = F.struct(
+        F.col("published_at").alias("published_at"), "cve_id", F.upper(F.coalesce(F.nullif("severity", F.lit("")), F.lit("unknown"))).alias("severity"), "ecosystem",
+        F.substring(F.coalesce("summary", F.lit("")), 1, 300).alias("summary"), F.transform(F.coalesce("cwes", F.array().cast("array<struct<cwe_id:string>>")), lambda c: c["cwe_id"]).alias("cwe_ids"),
+    )
+    return rows.where("ghsa_id is not null").groupBy("ghsa_id").agg(F.max(row).alias("r")).select("ghsa_id", "r.*")
+
+
+def upsert_advisories(watched: DataFrame, fetched: DataFrame, now: Column, keep_days: int = 90) -> DataFrame:
+    """The watch list after a fetch: fetched rows replace those of their id, and rows published too long ago leave it."""
+    kept = watched.join(fetched.select("ghsa_id"), "ghsa_id", "left_anti")
+    return fetched.select(watched.columns).unionByName(kept).where(F.col("published_at") >= F.date_sub(now, keep_days).cast("timestamp"))
+
+
+def all_findings(native: DataFrame, structural: DataFrame, metric: DataFrame, imported: DataFrame) -> DataFrame:
+    """Findings of all origins with the columns a log needs; a metric finding says what was measured and the limit."""
+    columns = ["path", "ln", "col", "rule_id", "severity", "snippet"]
+    said = F.concat_ws(" ", "metric", F.round("measured", 2).cast("string"), F.lit(">"), F.round("limit", 2).cast("string"))
+    measured = metric.select("path", F.col("ln").cast("int").alias("ln"), F.lit(1).alias("col"), F.concat(F.lit("METRIC-"), F.upper("metric")).alias("rule_id"), F.lit("MINOR").alias("severity"), said.alias("snippet"))
+    parts = [df.select(*columns, F.lit(k).alias("origin")) for k, df in (("native", native), ("structural", structural), ("metric", measured), ("imported", imported))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 #: Parts of a group by the path's hash, and most results of a log.

@@ -6,19 +6,20 @@ last row of a key is its state, so nothing is collected and a restart goes on fr
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.graph import shared_dir
+
 DELAY = "1 day"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{top}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, folder: str, table: str = "events", files_per_batch: int | None = None) -> DataFrame:
@@ -76,19 +77,59 @@ def ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder:
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def batches_of(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the finished tables ``name-N`` of a folder, which is the only memory between batches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    done = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[len(name) + 1 :]) for n in done if n.startswith(f"{name}-") and n[len(name) + 1 :].isdigit())
+
+
+def keep_batches(stream: DataFrame, summarize: Callable[[DataFrame], DataFrame], folder: str, name: str = "batch") -> DataFrame:
+    """What ``summarize`` makes of every micro-batch, each in a table of its own: a replayed batch replaces what it wrote."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        summarize(batch).write.mode("overwrite").parquet(f"{folder}/{name}-{batch_id}")
+
+    ingest(stream, write, f"{folder}/run")
+    return spark.read.parquet(*(f"{folder}/{name}-{n}" for n in batches_of(spark, folder, name)))
+
+
 def carry_voters(stream: DataFrame, folder: str, decay: float = 0.95) -> DataFrame:
-    """Mass of each voter (voter, right) carried from batch to batch and faded; the state is a table per batch."""
+    """Mass of each voter (voter, right) carried from batch to batch and faded; the state is a table per batch.
+
+    A batch starts from the newest finished state before it, so a restart or a replay goes on where it was.
+    """
     spark = stream.sparkSession
-    last: dict[str, str] = {}
 
     def step(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy("voter").agg(F.sum(F.col("right").cast("double")).alias("right"), F.count("*").cast("double").alias("mass"))
-        if last:
-            old = spark.read.parquet(last["path"]).select("voter", (F.col("right") * decay).alias("right"), (F.col("mass") * decay).alias("mass"))
+        before = [n for n in batches_of(spark, folder, "state") if n < batch_id]
+        if before:
+            old = spark.read.parquet(f"{folder}/state-{before[-1]}").select("voter", (F.col("right") * decay).alias("right"), (F.col("mass") * decay).alias("mass"))
             new = new.unionByName(old).groupBy("voter").agg(F.sum("right").alias("right"), F.sum("mass").alias("mass"))
-        path = f"{folder}/state-{batch_id}"
-        new.write.mode("overwrite").parquet(path)
-        last["path"] = path
+        new.write.mode("overwrite").parquet(f"{folder}/state-{batch_id}")
 
     ingest(stream, step, folder)
-    return spark.read.parquet(last["path"])
+    return spark.read.parquet(f"{folder}/state-{batches_of(spark, folder, 'state')[-1]}")
+
+
+def bucket_transitions(stream: DataFrame, key: str, bucket: str) -> DataFrame:
+    """(bucket, delta) rows as keys enter and leave buckets: a stateful operator that holds each key's last bucket.
+
+    Rows of a key in a batch count in the order of ts and event_id.
+    """
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        last = state.get[0] if state.exists else None
+        first, now = last, rows[bucket].iloc[-1]
+        state.update((now,))
+        if first != now:
+            yield pd.DataFrame({"bucket": [b for b in (first, now) if b is not None], "delta": [d for b, d in ((first, -1), (now, 1)) if b is not None]})
+
+    return stream.groupBy(key).applyInPandasWithState(step, "bucket string, delta long", "bucket string", "append", "NoTimeout")
