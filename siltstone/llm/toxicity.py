@@ -164,11 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> tuple[dict[bytes,
 
     folds = max(1, n_positive // PER_FOLD)
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.distinct().withColumn("positive", F.lit(False)))
-    # Equal texts are one example, dropped before the shuffle where they meet in a task, so no group grows with copies.
-    texts = text.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("text_key"), "positive", "text").dropDuplicates(["positive", "text_key"])
-    sample = texts.select("text_key", "positive", indexed("text").alias("features"))
     width = len(names)
-    found = sample.groupBy(F.pmod("text_key", F.lit(folds)).alias("fold")).applyInPandas(lambda pdf: fit_fold(pdf, width, prior), "feature long, weight double").collect()
+    fold = F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold")
+    sample = text.join(F.broadcast(chosen), "doc_id").select(fold, F.xxhash64("text").alias("text_key"), "positive", indexed("text").alias("features"))
+    # Equal texts are one example, dropped where a fold's rows meet, so no group grows with copies.
+    sample = sample.repartition("fold").dropDuplicates(["fold", "positive", "text_key"])
+    found = sample.groupBy("fold").applyInPandas(lambda pdf: fit_fold(pdf, width, prior), "feature long, weight double").collect()
     biases = [r.weight for r in found if r.feature < 0]
     if not biases:
         return {}, float(np.log(prior / (1 - prior)))
@@ -194,7 +195,7 @@ def scorer(spark, model: tuple[dict[bytes, float], float]):
                 for w in word_set(text if isinstance(text, str) else ""):
                     f = known.get(w)
                     if f is None:
-                        if len(known) > 500_000:
+                        if len(known) > 100_000:
                             known.clear()
                         f = known[w] = tuple(x for x in features_of(w) if x in weights)
                     if f:

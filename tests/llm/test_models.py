@@ -36,8 +36,10 @@ def test_toxicity_on_held_out(spark):
     extra = [(5000, None, None, None, 0, None, None), (5001, "", "en", "s", 0, None, None), (None, "w1 grumpf", "en", "s", 0, None, None), docs[3]]
     df = spark.createDataFrame(docs + extra, DOCS)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = toxicity.score_documents(df, lab).select("doc.doc_id", "score", "predicted")
-    assert "component_id" in out.columns
+    out = toxicity.score_documents(df.withColumn("score", F.lit(0.7)).withColumn("predicted", F.lit("mine")), lab)
+    rows = out.select("doc.*").collect()
+    assert all(r.score == 0.7 and r.predicted == "mine" for r in rows) and sorted(rows[0].asDict()) == sorted([*df.columns, "score", "predicted"])
+    out = out.select("doc.doc_id", "score", "predicted")
     got = {r.doc_id: (r.score, r.predicted) for r in out.collect()}
     truth = {r[0]: any(w.startswith(tuple(BAD)) for w in r[1].split()) for r in docs}
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
