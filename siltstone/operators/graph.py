@@ -1,12 +1,14 @@
 """Call and import graphs: degrees, hops, cycles, coupling, resolution, reachability.
 
 Graphs are edge tables. Iterative operators keep only a frontier or labels between rounds, cut the plan with
-``checkpoint()`` in the cluster's shared folder, and stop on an empty frontier or unchanged labels. Where a number of
+tables written to the cluster's shared folder, and stop on an empty frontier or unchanged labels. Where a number of
 rounds is part of the meaning (hops, depth of flows) it is a parameter; elsewhere running out of rounds is an error.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,12 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read from there."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """The table, written to the shared folder and read from there.
+
+    A written table starts a new plan; a checkpointed one would carry the constraints of all rounds before it along.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def priority(fan_in: Column, hops: Column) -> Column:
@@ -68,17 +71,20 @@ def trim(edges: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _spread(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(node, label): the least node that reaches each node along edges src -> dst.
+    """(node, label): of the nodes that reach each node along edges src -> dst, the one that comes first.
 
-    A round takes the least label of the nodes before and then the label of one's label, which also reaches the node:
-    paths are covered in doubling steps.
+    Nodes come in the order of their hashes, so a label is (hash, node). A round takes the first label of the nodes
+    before and then the label of one's label, which also reaches the node: paths are covered in growing steps, whatever
+    the ids along them.
     """
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    labels = cut(nodes.select("node", own.alias("label")))
     for _ in range(most):
         incoming = labels.join(edges, labels["node"] == edges["src"]).groupBy("dst").agg(F.min("label").alias("new"))
         near = labels.join(incoming, labels["node"] == incoming["dst"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("label"))
+        near = cut(near)
         far = near.select(F.col("node").alias("_n"), F.col("label").alias("_far"))
-        nxt = cut(near.join(far, near["label"] == far["_n"], "left").select("node", "old", F.least("label", F.coalesce("_far", "label")).alias("label")))
+        nxt = cut(near.join(far, near["label"]["n"] == far["_n"], "left").select("node", "old", F.least("label", F.coalesce("_far", "label")).alias("label")))
         labels = nxt.select("node", "label")
         if nxt.where("label < old").isEmpty():
             return labels
@@ -88,7 +94,7 @@ def _spread(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 def cycles(edges: DataFrame, most: int = 200) -> DataFrame:
     """Strongly connected components of more than one node: (node, component), named by their least node.
 
-    Each round colours nodes by the least node that reaches them. Of a colour, the nodes whose least reachable node
+    Each round colours nodes by the first node that reaches them. Of a colour, the nodes whose first reachable node
     inside it is the colour itself reach its root and are one component. They leave, and the rest is coloured again.
     """
     left, out = trim(edges), None
@@ -99,8 +105,8 @@ def cycles(edges: DataFrame, most: int = 200) -> DataFrame:
         colour = _spread(nodes, left, most)
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
         back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        reach_root = _spread(nodes, back, most).select(F.col("node").alias("_n"), F.col("label").alias("_least"))
-        found = cut(colour.join(reach_root, (colour["node"] == F.col("_n")) & (colour["label"] == F.col("_least"))).select("node", F.col("label").alias("component")))
+        reach_root = _spread(nodes, back, most).select(F.col("node").alias("_n"), F.col("label").alias("_first"))
+        found = cut(colour.join(reach_root, (colour["node"] == F.col("_n")) & (colour["label"] == F.col("_first"))).select("node", F.col("label.n").alias("root")))
         out = found if out is None else out.unionByName(found)
         gone = found.select("node")
         left = trim(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
@@ -109,8 +115,8 @@ def cycles(edges: DataFrame, most: int = 200) -> DataFrame:
             raise RuntimeError(f"cycles are left after {most} rounds")
     if out is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    sizes = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return out.join(sizes.select("component"), "component").select("node", "component")
+    names = out.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
+    return out.join(names, "root").select("node", "component")
 
 
 def coupling(edges: DataFrame, external: DataFrame | None = None) -> DataFrame:
