@@ -42,10 +42,10 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def ranked_sources(sums: DataFrame) -> DataFrame:
+def ranked_sources(sums: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``k``, the place of each source by code point, null last: ranges of the names first, then inside each."""
     parts = sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
-    parts = Scratch(sums.sparkSession).keep(parts, "ranges")
+    parts = scratch.keep(parts, "ranges")
     before = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     return parts.withColumn("i", inside).join(F.broadcast(before.select("part", "before")), "part").withColumn("k", F.col("before") + F.col("i") - 1).drop("part", "before", "i")
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: f
     A round shares what the capped sources leave over all others; the caps below their share bind from then on. No
     share ever falls, so this ends with the level at which no source is above its cap.
     """
-    sums = ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sums = ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), scratch)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("k") % len(weights)).cast("int") + 1)
     sums = scratch.keep(sums.select("source", "source_size", weight.alias("w"), (F.lit(float(most_times)) * F.col("source_size")).alias("cap")), "sums")
     total = share * (sums.agg(F.sum("source_size")).first()[0] or 0)

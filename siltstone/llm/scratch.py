@@ -8,6 +8,7 @@ machines see, and the operator says so instead of taking a local one.
 from __future__ import annotations
 
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes tables under one folder and removes those that are no longer needed."""
+    """Writes tables under one folder and removes those that are no longer needed.
+
+    What an operator's result still reads stays; who has written the result can clear all that was opened since a mark.
+    """
+
+    opened: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
         self.names: list[str] = []
+        Scratch.opened.append(self)
+
+    @classmethod
+    def clear_since(cls, mark: int) -> None:
+        """Removes the tables of all that was opened after the first ``mark`` ones."""
+        for scratch in cls.opened[mark:]:
+            scratch.drop_all_but()
+        del cls.opened[mark:]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
