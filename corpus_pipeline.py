@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes it to the shared folder and reads it again
 for the next stage, so a lost executor costs a part of one stage. All stages but the last return the columns of
 documents. Rows are told apart by a key of their own, not by doc_id, which may be null or shared.
+
+Defined cases, of all stages: documents with null or empty texts are clean, no near duplicates (of those with one id, one
+stays), not contaminated and have nothing to redact; they reach the mix with size 0. Null and shared ids are safe, as
+rows have their own keys. A very long text is read whole by every stage. Repeated rows are near duplicates of each
+other, so one stays; of ties the least doc_id, then the first row. An empty table of documents gives an empty mix, empty
+labels keep all documents, an empty benchmark keeps all. Further columns of documents, whatever their names, pass
+through all stages but the last unchanged.
 """
 
 from __future__ import annotations
@@ -28,18 +35,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """The documents with a key of each row, written once so that every later read sees the same keys."""
-    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    return scratch.keep(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("_row")), "keyed")
 
 
 def by_row(rows: DataFrame) -> DataFrame:
     """What the operators read, with the row's key in place of the id."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+    return rows.select(F.col("_row").alias("doc_id"), "doc.text")
 
 
-def without_rows(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` of the rows whose key is not in ``gone`` (a table with a doc_id column that holds keys)."""
-    kept = without_ids(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id"), gone)
-    return kept.drop("doc_id").withColumnRenamed("_id", "doc_id").select(*docs.columns)
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of the rows whose key is not in ``gone`` (a table with a doc_id column that holds keys)."""
+    return without_ids(rows.select("doc", F.col("_row").alias("doc_id")), gone).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,21 +55,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_duplicates(by_row(rows), SHINGLE_WORDS, SIMILAR_PERCENT)
     found = scratch.keep(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"), (F.col("n_shingles") == 0).alias("wordless")), "found")
     copies = found.where("_row != group").select("_row", "group")
-    ids = rows.select("_row", "doc_id")
+    ids = rows.select("_row", F.col("doc.doc_id").cast("long").alias("doc_id"))
     members = copies.unionByName(copies.select(F.col("group").alias("_row"), "group").distinct()).join(ids, "_row").withColumn("same", F.lit(None).cast("long"))
     # Rows without words are no near duplicates; of those with one id, one stays.
     wordless = found.where("wordless").select("_row").join(ids, "_row").where("doc_id is not null").select("_row", F.lit(None).cast("long").alias("group"), "doc_id", F.col("doc_id").alias("same"))
     members = scratch.keep(members.unionByName(wordless), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))["_row"]
     stay = members.groupBy("group", "same").agg(first.alias("_row")).select("_row")
-    return without_rows(rows, members.join(stay, "_row", "left_anti").select(F.col("_row").alias("doc_id")), docs)
+    return without_rows(rows, members.join(stay, "_row", "left_anti").select(F.col("_row").alias("doc_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands verbatim in the benchmark."""
     rows = keyed(Scratch(spark), docs)
     found = find_contamination(by_row(rows), table(spark, sf_dir, "benchmark"))
-    return without_rows(rows, found.where(contaminated()).select("doc_id"), docs)
+    return without_rows(rows, found.where(contaminated()).select("doc_id"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +100,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        mark = len(Scratch.opened)
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        Scratch.clear_since(mark)
         if i:
             scratch.drop(f"stage-{i - 1}")
     return docs
