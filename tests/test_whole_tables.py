@@ -17,7 +17,7 @@ def test_flows_use_every_order(spark):
     for s in (50, 100):
         paths = {s: [s]}
         front = paths
-        for _ in range(4):
+        for _ in range(6):
             new = {}
             for at, path in front.items():
                 for a, b in edges:
@@ -35,6 +35,6 @@ def test_includes_of_every_document(spark):
     got = {r.file: (r.rows, r.files, r.open) for r in report_plans.s23(t).collect()}
     want = {}
     for i in range(1, 41):
-        inside = min(3, 40 - i)
+        inside = min(10, 40 - i)
         want[f"s/{i}"] = (2 * inside + 3, inside + 1, 1)
     assert got == want
