@@ -71,35 +71,41 @@ def p17(t):
     return found(t).select("fid", F.array_join(F.array_sort(F.array_distinct(F.array_union("cwe", named))), ",").alias("cwes"), F.col("path").rlike("5$").alias("dependency"))
 
 
+#: Where a file lies, by its number; and what else is known of a finding, as (feature, value, cap).
+PREFIX = "CASE WHEN doc_id % 7 = 0 THEN 'tests/' WHEN doc_id % 5 = 1 THEN 'build/' WHEN doc_id % 11 = 3 THEN 'gen/' ELSE 'src/' END"
+NORMED = (
+    ("path_length", "ln % 15", 12), ("outlier", "doc_id % 11", 10), ("family", "doc_id % 50", 40), ("cyclomatic", "doc_id % 37", 30), ("cognitive", "n_chars / 100", 30), ("nesting", "ln % 10", 8), ("churn", "doc_id % 61", 50),
+    ("fan_in", "doc_id % 23", 20),
+)
 FEATS = FINDING + f""", g AS (SELECT source, round(avg(1 - toxic), 6) AS fp_rate FROM labels JOIN documents USING (doc_id) GROUP BY source),
-x AS (SELECT fid, coalesce(fp_rate, 0) AS fp_rate, CASE WHEN doc_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS is_test, least(1, n_chars / 3000) AS cognitive, CASE severity WHEN 'INFO' THEN 0.1 WHEN 'MINOR' THEN 0.3 WHEN 'MAJOR' THEN 0.5 WHEN 'CRITICAL' THEN 0.8 ELSE 1.0 END AS sev, CASE WHEN doc_id % 9 = 0 THEN 0.15 ELSE greatest(0, least(1, 1 - (doc_id % 9) / 8)) END AS reach FROM finding LEFT JOIN g USING (source))"""
+x AS (SELECT fid, coalesce(fp_rate, 0) AS fp_rate, CASE WHEN doc_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS is_test, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 1 THEN 1.0 ELSE 0.0 END AS is_dist, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 1 AND doc_id % 11 = 3 THEN 1.0 ELSE 0.0 END AS is_generated,
+ CASE severity WHEN 'INFO' THEN 0.1 WHEN 'MINOR' THEN 0.3 WHEN 'MAJOR' THEN 0.5 WHEN 'CRITICAL' THEN 0.8 ELSE 1.0 END AS severity, (seq % 2)::DOUBLE AS is_imported, CASE WHEN seq % 5 = 0 THEN 1.0 ELSE 0.0 END AS is_structural, CASE WHEN seq % 2 = 1 THEN 0.75 ELSE 0.55 END AS tool_depth,
+ {", ".join(f"least(1, greatest(0, ({v}) / {cap}))::DOUBLE AS {n}" for n, v, cap in NORMED)}, CASE WHEN doc_id % 9 = 0 THEN 0.15 ELSE greatest(0, least(1, 1 - (doc_id % 9) / 8)) END AS reach FROM finding LEFT JOIN g USING (source))"""
 
 
 def rank_features(t):
-    rate = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.round(F.avg(1 - F.col("toxic")), 6).alias("fp_rate"))
-    f = found(t).join(rate, "source", "left")
-    path = F.concat(F.when(F.col("doc_id") % 7 == 0, "tests/").otherwise("src/"), F.col("path"))
+    """The features of every finding, each from the tables."""
     from siltstone.functions.severity import lookup
 
-    values = q.path_features(path) | {
-        "fp_rate": F.coalesce("fp_rate", F.lit(0.0)), "severity": lookup(F.col("severity"), q.SEVERITY_WEIGHT, 0.5), "is_imported": F.lit(0.0), "path_length": F.lit(0.0), "tool_depth": q.tool_depth(F.lit("native"), F.col("rule_id")),
-        "outlier": F.lit(0.0), "family": F.lit(0.0), "cognitive": q.norm(F.col("n_chars"), 3000.0), "nesting": F.lit(0.0), "churn": F.lit(0.0), "fan_in": F.lit(0.0),
-        "reach": q.reach(F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") % 9)),
-    }
+    rate = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.round(F.avg(1 - F.col("toxic")), 6).alias("fp_rate"))
+    f = found(t).join(rate, "source", "left")
+    imported = F.col("seq") % 2 == 1
+    values = q.path_features(F.concat(F.expr(PREFIX), F.col("path"))) | {
+        "fp_rate": F.coalesce("fp_rate", F.lit(0.0)), "severity": lookup(F.col("severity"), q.SEVERITY_WEIGHT, 0.5), "is_imported": imported.cast("double"), "is_structural": (F.col("seq") % 5 == 0).cast("double"),
+        "tool_depth": q.tool_depth(F.when(imported, "semgrep").otherwise("native"), F.col("rule_id")), "reach": q.reach(F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") % 9)),
+    } | {n: q.norm(F.expr(v), float(cap)) for n, v, cap in NORMED}
     return f.select("fid", *(v.alias(k) for k, v in values.items()))
 
 
-@query("p20_p21_features", f"WITH {FEATS} SELECT fid, round(fp_rate, 5) AS fp_rate, is_test, round(cognitive, 5) AS cognitive, sev AS severity, round(reach, 5) AS reach, 0.55 AS tool_depth FROM x")
+RANKED = ("fp_rate", "is_test", "is_dist", "is_generated", "severity", "is_imported", "is_structural", "tool_depth", "reach", *(n for n, _, _ in NORMED))
+
+
+@query("p20_p21_features", f"WITH {FEATS} SELECT fid, {', '.join(f'round({n}, 5) AS {n}' for n in RANKED)} FROM x")
 def p20(t):
-    r = lambda n: F.round(n, 5).alias(n)
-    return rank_features(t).select("fid", r("fp_rate"), "is_test", r("cognitive"), "severity", r("reach"), "tool_depth")
+    return rank_features(t).select("fid", *(F.round(n, 5).alias(n) for n in RANKED))
 
 
-@query(
-    "p22_p23_prior_score",
-    f"""WITH {FEATS}, s AS (SELECT fid, 0.4 + CASE WHEN is_test < 0.5 THEN 0.15 ELSE -0.9 END + 0.1 + 0.1 + CASE WHEN fp_rate < 0.4 THEN 0.2 ELSE -0.7 END + CASE WHEN sev < 0.6 THEN -0.1 ELSE 0.35 END + 0.05 - 0.05 - 0.1 + 0.05 - 0.1
- + CASE WHEN cognitive < 0.25 THEN -0.15 ELSE 0.2 END - 0.05 - 0.2 - 0.05 + CASE WHEN reach < 0.5 THEN -0.08 ELSE 0.16 END AS raw FROM x) SELECT fid, round(1 / (1 + exp(-raw)), 5) AS score FROM s""",
-)
+@query("p22_p23_prior_score", f"WITH {FEATS}, s AS (SELECT fid, {q.PRIOR_BASE} + {' + '.join(f'CASE WHEN {n} < {at} THEN {below} ELSE {above} END' for n, at, below, above in q.PRIOR_STUMPS)} AS raw FROM x) SELECT fid, round(1 / (1 + exp(-raw)), 5) AS score FROM s".replace("+ -", "- "))
 def p22(t):
     f = rank_features(t)
     return f.select("fid", F.round(q.sigmoid(q.stump_score({c: F.col(c) for c in f.columns})), 5).alias("score"))
