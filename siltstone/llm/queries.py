@@ -76,6 +76,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.token_align import align_corpus
+
+    return align_corpus(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.merkle import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2 that SQL can express."""
     return op2_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -105,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op12_token_align": op12_token_align,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "mix_targets": mix_targets,
     "lm_base_score": lm_base_score,
     "pii_base_spans": pii_base_spans,
@@ -165,13 +179,30 @@ o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
 l AS (SELECT max(CASE WHEN cap / w > rest / weights THEN rest / weights END) AS level FROM o)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(coalesce(least(cap, w * level), cap), 4) AS target FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source, l"""
 
-#: crc32 of the id as text, leaving 0 when divided by ten; the polynomial is that of the standard.
-HELD = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END), 4294967295) % 10 = 0"
+#: crc32 of the id as text; the polynomial is that of the standard.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END), 4294967295)"
+HELD = f"{CRC32} % 10 = 0"
 
 ORACLE_SQL["lm_base_score"] = rf"""WITH d AS (SELECT doc_id, {HELD} AS held_out, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 tok AS (SELECT doc_id, held_out, unnest(list_append(w, '')) AS t FROM d), c AS (SELECT t, sum(CASE WHEN held_out THEN 0 ELSE 1 END) AS c FROM tok GROUP BY t), n AS (SELECT sum(c) AS n, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS v FROM c)
 SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END)::BIGINT AS n_known, max(n)::BIGINT AS train_tokens, round(sum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score FROM tok JOIN c USING (t), n GROUP BY doc_id, held_out"""
 
+_SHOWN = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_SMALL = _SHOWN.replace("text::VARCHAR", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+#: Nodes by level, siblings of each node below the top, and a leaf folded with the siblings on its way.
+ORACLE_SQL["op13_merkle_manifest"] = f"""WITH RECURSIVE h AS (SELECT doc_id, lang, sha256({_SHOWN}) AS leaf, CASE WHEN {CRC32} % 3 = 0 THEN sha256({_SMALL}) ELSE sha256({_SHOWN}) END AS own FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM h),
+t(lvl, lang, pos, node, n) AS (SELECT 0, lang, pos, leaf, n FROM l UNION ALL SELECT lvl + 1, lang, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM t WHERE n > 1 GROUP BY lvl, lang, pos // 8),
+r AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+c(lvl, pos, node, n) AS (SELECT 0, pos, subroot, n FROM r UNION ALL SELECT lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM c WHERE n > 1 GROUP BY lvl, pos // 8),
+ts AS (SELECT lvl, lang, pos, coalesce(string_agg(node, '') OVER b, '') || '!' || coalesce(string_agg(node, '') OVER a, '') AS step FROM t WHERE n > 1 WINDOW b AS (PARTITION BY lvl, lang, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY lvl, lang, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+cs AS (SELECT lvl, pos, coalesce(string_agg(node, '') OVER b, '') || '!' || coalesce(string_agg(node, '') OVER a, '') AS step FROM c WHERE n > 1 WINDOW b AS (PARTITION BY lvl, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY lvl, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+p AS (SELECT l.lang, l.pos, list(step ORDER BY lvl) AS steps FROM l JOIN ts ON ts.lang IS NOT DISTINCT FROM l.lang AND ts.pos = l.pos >> (3 * lvl) GROUP BY l.lang, l.pos),
+q AS (SELECT r.lang, list(step ORDER BY lvl) AS steps FROM r JOIN cs ON cs.pos = r.pos >> (3 * lvl) GROUP BY r.lang),
+s AS (SELECT l.*, r.subroot, list_concat(coalesce(p.steps, []), coalesce(q.steps, [])) AS steps FROM l JOIN r ON r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos LEFT JOIN q ON q.lang IS NOT DISTINCT FROM l.lang),
+f AS (SELECT *, (SELECT node FROM c WHERE n = 1) AS root, list_reduce(list_prepend(own, steps), lambda node, x: sha256(replace(x, '!', node))) AS folded_root FROM s)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '!', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
 
 def _kind(k: int, name: str, pattern: str, test: str) -> str:
     """Spans of one kind: where a match lies follows from what lies between the matches."""
