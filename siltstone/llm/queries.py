@@ -76,6 +76,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.token_align import align_corpus
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op11_learned_partitions": op11_learned_partitions,
     "op12_token_align": op12_token_align,
     "op13_merkle_manifest": op13_merkle_manifest,
     "mix_targets": mix_targets,
