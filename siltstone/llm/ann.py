@@ -6,8 +6,10 @@ most probable part. A query goes to its several most probable parts, and what li
 How many parts a query needs is measured on vectors that the graph and the network didn't see.
 
 Equal vectors are one indexed row with their least ids, as no answer can hold more of them; a query vector is searched
-once, however many rows have it. A part is searched in tiles of some TILE vectors by blocks of some QUERIES queries, each
-a task's small matrix product, so a part of any size is many small tasks and none is cut.
+once, however many rows have it. Queries go in blocks of some QUERIES with neighbouring homes; the parts are dealt to a
+few pieces. A block meets a piece in one task: it holds the block's queries and the best found so far, and the vectors of
+the parts that the block asks for stream by, a batch at a time. So a task's memory is bounded whatever the size of a
+part, nothing is cut, and a query leaves each piece with no more rows than its answer has.
 
 Defined cases: rows whose vec_id is null and vectors that are null, empty, zero or hold null or non-finite components take
 no part, nor do vectors of another length than the most frequent one (of ties the longest). A row's own row is left out of its answer once;
@@ -22,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ SAMPLE = 8_192
 #: Neighbours in the graph; vectors for each part, and parts at most; share of neighbours that the parts searched must hold.
 GRAPH_NEIGHBOURS, PART_ROWS, MOST_PARTS, RECALL = 10, 800, 64, 0.94
 HIDDEN, EPOCHS, BATCH, RATE = 128, 30, 256, 0.003
-#: Vectors of a tile and queries of a block, about.
-TILE, QUERIES = 1_024, 1_024
+#: Queries of a block, about; pieces that the parts are dealt to; finds that are held before the best are picked.
+QUERIES, PIECES, HELD = 1_024, 8, 200_000
 
 
 def nearest(points: np.ndarray, queries: np.ndarray, k: int, own: bool) -> np.ndarray:
@@ -188,24 +189,91 @@ def with_parts(vectors: DataFrame, router: Router | None) -> DataFrame:
     return vectors.mapInArrow(run, f"cand long, vec {vectors.schema['vec'].dataType.simpleString()}, ids array<long>, parts array<int>")
 
 
-def best_of_tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k candidates of a tile nearest to each query, by exact products; ties to the least id."""
-    if not len(q) or not len(c):
-        return pd.DataFrame({"q": [], "score": [], "cand": [], "ids": []})
-    qs, cs = np.stack(q["vec"].to_numpy()).astype(np.float64), np.stack(c["vec"].to_numpy()).astype(np.float64)
-    s = qs @ cs.T
-    at, of = np.nonzero(s >= s.min())
-    if len(c) > k:
-        least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
-        slack = 1e-12 * np.linalg.norm(qs, axis=1) * np.linalg.norm(cs, axis=1).max()
-        at, of = np.nonzero(s >= (least - slack)[:, None])  # with all whose rounding may differ
-    score = (qs[at] * cs[of]).sum(axis=1)
-    ids = c["ids"].to_numpy()
-    first = np.array([i[0] for i in ids], np.int64)
-    order = np.lexsort((first[of], -score, at))
-    place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
-    keep = order[place < k]
-    return pd.DataFrame({"q": q["cand"].to_numpy()[at[keep]], "score": score[keep], "cand": c["cand"].to_numpy()[of[keep]], "ids": ids[of[keep]]})
+class Meeting:
+    """The queries of a block in one piece, and the best that they have met."""
+
+    def __init__(self, k: int):
+        self.k, self.queries, self.vectors, self.asks = k, [], [], []
+        self.found, self.n_found = [], 0
+
+    def add_queries(self, rows: pa.RecordBatch) -> None:
+        self.queries.append(rows.column("cand").to_numpy())
+        self.vectors.append(matrix(rows.column("vec")))
+        self.asks += rows.column("parts").to_pylist()
+
+    def begin(self) -> None:
+        self.queries, self.vectors = np.concatenate(self.queries), np.concatenate(self.vectors)
+        self.length = np.linalg.norm(self.vectors, axis=1)
+        self.least = np.full(len(self.queries), -np.inf)
+        part = np.concatenate([np.asarray(a, np.int64) for a in self.asks])
+        who = np.repeat(np.arange(len(self.asks)), [len(a) for a in self.asks])
+        self.of_part = {int(p): who[part == p] for p in np.unique(part)}
+
+    def meet(self, part: int, rows: pa.RecordBatch) -> None:
+        """Keeps what may be among the k best of a query: by a matrix product with slack for its rounding, then exactly."""
+        if isinstance(self.queries, list):
+            self.begin()
+        who = self.of_part.get(part)
+        if who is None:
+            return
+        vectors = matrix(rows.column("vec"))
+        s = self.vectors[who] @ vectors.T
+        least = self.least[who]
+        if len(vectors) > self.k:
+            least = np.maximum(least, np.partition(s, len(vectors) - self.k, axis=1)[:, len(vectors) - self.k])
+        at, of = np.nonzero(s >= (least - 1e-12 * self.length[who] * np.linalg.norm(vectors, axis=1).max())[:, None])
+        used, of = np.unique(of, return_inverse=True)
+        picked = rows.take(pa.array(used))
+        ids = np.empty(len(used), object)
+        ids[:] = picked.column("ids").to_pylist()
+        first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
+        score = (self.vectors[who[at]] * vectors[used][of]).sum(axis=1)
+        self.found.append((who[at], score, first[of], picked.column("cand").to_numpy()[of], ids[of]))
+        self.n_found += len(at)
+        if self.n_found > HELD:
+            self.pick()
+
+    def pick(self) -> None:
+        """Only the k best of each query stay; of equal scores those with the least id."""
+        at, score, first, cand, ids = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        order = np.lexsort((first, -score, at))
+        place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        keep = order[place < self.k]
+        last = order[place == self.k - 1]
+        self.least[at[last]] = score[last]
+        self.found, self.n_found = [(at[keep], score[keep], first[keep], cand[keep], ids[keep])], len(keep)
+
+    def result(self) -> pa.RecordBatch:
+        if not self.found:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))], names=["q", "score", "cand", "ids"])
+        self.pick()
+        at, score, _, cand, ids = self.found[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.queries[at]), pa.array(score), pa.array(cand), pa.array(list(ids), pa.list_(pa.int64()))], names=["q", "score", "cand", "ids"])
+
+
+def met(rows: DataFrame, k: int) -> DataFrame:
+    """(q, score, cand, ids) of rows in the order of (block, piece, kind, part), queries (kind 0) before vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = None, None
+        for batch in batches:
+            block, piece, kind, part = (batch.column(c).to_numpy() for c in ("block", "piece", "kind", "part"))
+            edges = np.flatnonzero(np.diff(block) | np.diff(piece) | np.diff(kind) | np.diff(part)) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if key != (block[a], piece[a]):
+                    if now is not None:
+                        yield now.result()
+                    key, now = (block[a], piece[a]), Meeting(k)
+                if kind[a]:
+                    now.meet(int(part[a]), batch.slice(a, b - a))
+                else:
+                    now.add_queries(batch.slice(a, b - a))
+        if now is not None:
+            yield now.result()
+
+    return rows.mapInArrow(run, "q long, score double, cand long, ids array<long>")
 
 
 def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
@@ -225,16 +293,20 @@ def search(embeddings: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, r
 
     asked = scratch.keep(rows.where(is_query(F.col("vec_id"))).join(index.select("vec", "cand"), "vec").select("vec_id", "cand"), "asked")
     queries = index.join(asked.select("cand").distinct(), "cand", "left_semi")
-    routed = scratch.keep(queries.select("cand", "vec", F.explode("parts").alias("part")), "routed")
-    n_tiles = index.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    n_blocks = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
-    size = F.broadcast(n_tiles.join(n_blocks, "part"))  # one row for each part
-    pick = lambda n: F.pmod(F.xxhash64("cand"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = routed.join(size, "part").select("part", every("tiles").alias("tile"), pick("blocks").alias("block"), "cand", "vec")
-    right = index.withColumn("part", F.col("parts")[0]).join(size, "part").select("part", pick("tiles").alias("tile"), every("blocks").alias("block"), "cand", "vec", "ids")
-    keys = ["part", "tile", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, c: best_of_tile(q, c, more), "q long, score double, cand long, ids array<long>")
+    # A block's queries have neighbouring homes: the place of a query is that of its home, and some place within it.
+    homes = queries.groupBy(F.col("parts")[0].alias("home")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("home").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    homes = F.broadcast(homes.select("home", "n", before.alias("before")))  # one row for each part
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("cand"), "n")) / QUERIES).alias("block")
+    pieces = min(PIECES, parts)
+    piece = lambda p: F.floor(p * pieces / parts).cast("int")
+    placed = scratch.keep(queries.join(homes, F.col("parts")[0] == F.col("home")).select(block, "cand", "vec", "parts"), "placed")
+    asks = placed.select("block", "cand", "vec", "parts", F.explode(F.array_distinct(F.transform("parts", piece))).alias("piece"))
+    asks = asks.select("block", "piece", F.lit(0).alias("kind"), F.lit(-1).alias("part"), "cand", "vec", F.lit(None).cast("array<long>").alias("ids"), F.filter("parts", lambda p: piece(p) == F.col("piece")).alias("parts"))
+    wanted = placed.select("block", F.explode("parts").alias("part")).distinct()
+    gives = index.withColumn("part", F.col("parts")[0]).join(wanted, "part").select("block", piece(F.col("part")).alias("piece"), F.lit(1).alias("kind"), "part", "cand", "vec", "ids", F.lit(None).cast("array<int>").alias("parts"))
+    rows_ = asks.unionByName(gives).repartition("block", "piece").sortWithinPartitions("block", "piece", "kind", "part")
+    found = met(rows_, more)
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     top = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= more)

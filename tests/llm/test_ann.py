@@ -68,8 +68,8 @@ def test_rows_that_share_an_id(spark):
 
 
 def test_recall_in_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(ann, "TILE", 100)
-    monkeypatch.setattr(ann, "QUERIES", 10)
+    monkeypatch.setattr(ann, "HELD", 500)
+    monkeypatch.setattr(ann, "QUERIES", 50)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((30, 16)) * 2
     rows = [(i, centres[rng.integers(30)] + rng.standard_normal(16) * 0.5) for i in range(8000)] + [(8000 + i, centres[0]) for i in range(3000)]
