@@ -111,6 +111,7 @@ LEXICON = {
     "vb": (("'",), (), '"', ()),
     "sql": (("--",), (("/*", "*/"),), "'", ()),
     "cobol": (("*>",), (), "\"'", ()),
+    "conf": (("#",), (), "", ()),
     "plain": ((), (), "", ()),
 }
 

@@ -32,6 +32,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of a loop. A name's table of an earlier round is deleted when the next one is written, as nothing reads it
+    any more; only the last of each name stays for the result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.round, self.last = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", 0, {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.round += 1
+        path = f"{self.top}/{name}-{self.round}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.last[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.last.pop(name, None):
+                old = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+
+
 def priority(fan_in: Column, hops: Column) -> Column:
     from siltstone.functions.quality import reach
 
@@ -59,12 +81,13 @@ def hops_from(entries: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame
 
 def trim(edges: DataFrame, most: int = 3) -> DataFrame:
     """Edges between nodes that have both callers and callees, a few times over: what is left can lie on cycles."""
-    now, n = cut(edges.select("src", "dst").where("src != dst").distinct()), -1
+    steps = Steps(edges.sparkSession)
+    now, n = steps.cut(edges.select("src", "dst").where("src != dst").distinct(), "now"), -1
     for _ in range(most):
         n = now.count()
         heads, tails = now.select(F.col("dst").alias("n")).distinct(), now.select(F.col("src").alias("n")).distinct()
         both = heads.intersect(tails)
-        now = cut(now.join(both.withColumnRenamed("n", "src"), "src", "left_semi").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi"))
+        now = steps.cut(now.join(both.withColumnRenamed("n", "src"), "src", "left_semi").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi"), "now")
         if now.count() == n:
             break
     return now
@@ -78,15 +101,17 @@ def _spread(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     the ids along them.
     """
     own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
-    labels = cut(nodes.select("node", own.alias("label")))
+    steps = Steps(nodes.sparkSession)
+    labels = steps.cut(nodes.select("node", own.alias("label")), "labels")
     for _ in range(most):
         incoming = labels.join(edges, labels["node"] == edges["src"]).groupBy("dst").agg(F.min("label").alias("new"))
         near = labels.join(incoming, labels["node"] == incoming["dst"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("label"))
-        near = cut(near)
+        near = steps.cut(near, "near")
         far = near.select(F.col("node").alias("_n"), F.col("label").alias("_far"))
-        nxt = cut(near.join(far, near["label"]["n"] == far["_n"], "left").select("node", "old", F.least("label", F.coalesce("_far", "label")).alias("label")))
+        nxt = steps.cut(near.join(far, near["label"]["n"] == far["_n"], "left").select("node", "old", F.least("label", F.coalesce("_far", "label")).alias("label")), "labels")
         labels = nxt.select("node", "label")
         if nxt.where("label < old").isEmpty():
+            steps.drop("near")
             return labels
     raise RuntimeError(f"labels still change after {most} rounds")
 
@@ -145,13 +170,20 @@ def resolve_imports(imports: DataFrame, files: DataFrame, guesses: list[str]) ->
 
 
 def flows(sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
-    """Simple paths from sources to sinks that meet no sanitizer: (source, sink, path), one shortest path per pair."""
+    """Simple paths from sources to sinks that meet no sanitizer: (source, sink, path), one shortest path per pair.
+
+    The search goes backwards from the sinks first: a place that no sink can be reached from in the steps that are left
+    is never taken, so paths are only drawn where they lead somewhere.
+    """
     clean = edges.join(sanitizers.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").distinct()
-    ends = sinks.select(F.col("node").alias("at")).distinct()
+    ends = cut(sinks.select(F.col("node").alias("at")).distinct())
+    back = clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    useful = cut(hops_from(ends.select(F.col("at").alias("node")), back, most).select(F.col("node").alias("dst"), F.col("hops").alias("left")))
+    clean = cut(clean.join(useful, "dst"))
     frontier = cut(sources.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array("node").alias("path")))
     seen, out = frontier.select("source", "at"), None
-    for _ in range(most):
-        step = frontier.join(clean, frontier["at"] == clean["src"]).where(~F.array_contains("path", F.col("dst"))).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+    for i in range(1, most + 1):
+        step = frontier.join(clean.where(F.col("left") <= most - i), frontier["at"] == clean["src"]).where(~F.array_contains("path", F.col("dst"))).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("source", "at").agg(F.min("path").alias("path")).join(seen, ["source", "at"], "left_anti")
         frontier = cut(step)
         if frontier.isEmpty():

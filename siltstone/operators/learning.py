@@ -62,32 +62,62 @@ def numbers(xs: list[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")")
 
 
+def nearest_of(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector, the first of equally near ones, and the squared distance to it."""
+    away = np.stack([((vectors - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    own = away.argmin(axis=1)
+    return own, away[np.arange(len(own)), own]
+
+
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """Nearest centre of each point and the distance to it; centres are at most a few dozen."""
-    options = F.array(*(F.struct(squared_distance(F.col("vec"), numbers(c)).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)))
-    best = F.array_min(options)
-    return points.withColumn("_b", best).withColumn("cluster", F.col("_b.cluster")).withColumn("distance", F.sqrt("_b.d")).drop("_b")
+    table = np.array(centres, float)
+
+    @F.pandas_udf("cluster int, distance double")
+    def place(vec: pd.Series) -> pd.DataFrame:
+        own, away = nearest_of(np.stack(vec.to_numpy()).astype(float), table) if len(vec) else (np.zeros(0), np.zeros(0))
+        return pd.DataFrame({"cluster": own.astype(np.int32), "distance": np.sqrt(away)})
+
+    return points.withColumn("_b", place("vec")).select(*points.columns, "_b.cluster", "_b.distance")
+
+
+def _centre_sums(points: DataFrame, centres: list[list[float]]) -> list:
+    """(cluster, n, sums) of each cluster: every task adds up its own points, and the driver gets a row for each centre."""
+    table = np.array(centres, float)
+
+    def add(batches):
+        n, sums = np.zeros(len(table)), np.zeros(table.shape)
+        for batch in batches:
+            if len(batch):
+                vectors = np.stack(batch["vec"].to_numpy()).astype(float)
+                own, _ = nearest_of(vectors, table)
+                n += np.bincount(own, minlength=len(table))
+                np.add.at(sums, own, vectors)
+        yield pd.DataFrame({"cluster": np.arange(len(table)), "n": n, "sums": list(sums)})[n > 0]
+
+    parts = points.select("vec").mapInPandas(add, "cluster int, n double, sums array<double>")
+    total = F.array(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(table.shape[1])))
+    return parts.groupBy("cluster").agg(F.sum("n").alias("n"), total.alias("sums")).collect()
 
 
-def lloyd(points: DataFrame, k: int, rounds: int = 50) -> tuple[DataFrame, list[list[float]]]:
+def lloyd(points: DataFrame, k: int, rounds: int = 50, start: list[list[float]] | None = None) -> tuple[DataFrame, list[list[float]]]:
     """k-means from the farthest points: the first id starts, then always the point farthest from all centres so far.
 
-    A round is one aggregate with a mean for each dimension; only centres reach the driver.
+    ``start`` gives other first centres. A round adds up the points of each centre inside the tasks, so only sums and
+    centres reach the driver. Rounds end when no centre moves, or after ``rounds`` as the algorithm is defined.
     """
     points = cut(points.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
     first = points.orderBy("id").first()
     if first is None:
         return points.select("*", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), []
-    centres = [list(first.vec)]
-    while len(centres) < k:
+    centres = [list(c) for c in start] if start else [list(first.vec)]
+    while len(centres) < k and not start:
         far = assign(points, centres).agg(F.max_by("vec", F.struct("distance", -F.col("id")))).first()[0]
         centres.append(list(far))
-    means = [F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(len(first.vec))]
     for _ in range(rounds):
-        rows = assign(points, centres).groupBy("cluster").agg(*means).collect()
         new = [list(c) for c in centres]
-        for r in rows:
-            new[r.cluster] = list(r)[1:]
+        for r in _centre_sums(points, centres):
+            new[r.cluster] = [s / r.n for s in r["sums"]]
         moved = max(math.dist(a, b) for a, b in zip(centres, new, strict=True))
         centres = new
         if moved < 1e-9:
@@ -95,6 +125,46 @@ def lloyd(points: DataFrame, k: int, rounds: int = 50) -> tuple[DataFrame, list[
     return assign(points, centres), centres
 
 
+#: Units below which nothing is an anomaly, and the share of them that makes a cluster a pattern.
+LEAST_UNITS, POPULATED = 8, 0.05
+
+
+def idf_vectors(points: DataFrame) -> DataFrame:
+    """(id, vec): entries weighted by ln((n + 1) / (df + 1)) + 1, of unit length; df counts positive entries."""
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if not size.n:
+        return points.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    df = points.agg(*(F.count_if(F.col("vec")[i] > 0).alias(f"d{i}") for i in range(size.d))).first()
+    weights = numbers([math.log((size.n + 1) / (n + 1)) + 1 for n in df])
+    weighted = F.zip_with("vec", weights, lambda x, w: x.cast("double") * w)
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return points.select("id", weighted.alias("vec")).withColumn("_l", length).select("id", F.transform("vec", lambda x: F.when(F.col("_l") > 0, x / F.col("_l")).otherwise(x)).alias("vec"))
+
+
+def anomalies(points: DataFrame, k: int | None = None, z_min: float = 2.0) -> DataFrame:
+    """Units far from every established pattern: (id, distance, z) of points (id, vec).
+
+    Points are weighted by IDF and clustered (k is the root of half their number, 2 to 12). A cluster with a twentieth of
+    the units, and two at least, is a pattern; a point is as far as its nearest pattern, not as its own centre, which may
+    be the point itself. Fewer than LEAST_UNITS units, no pattern, or equal distances give no anomalies.
+    """
+    n = points.count()
+    none = points.select("id", F.lit(0.0).alias("distance"), F.lit(0.0).alias("z")).limit(0)
+    if n < LEAST_UNITS:
+        return none
+    weighted = cut(idf_vectors(points))
+    assigned, centres = lloyd(weighted, k or max(2, min(12, math.floor(math.sqrt(n / 2) + 0.5))))
+    sizes = {r.cluster: r["count"] for r in assigned.groupBy("cluster").count().collect()}
+    patterns = [c for i, c in enumerate(centres) if sizes.get(i, 0) >= max(2, math.floor(n * POPULATED))]
+    if not patterns:
+        return none
+    away = cut(assign(weighted, patterns).select("id", "distance"))
+    spread = away.agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd")).first()
+    if not spread.sd or spread.sd <= 1e-12 * abs(spread.mean):
+        return none
+    return away.withColumn("z", (F.col("distance") - spread["mean"]) / spread["sd"]).where(F.col("z") >= z_min)
+
+
 def outliers(assigned: DataFrame) -> DataFrame:
     """Distance over the largest distance of the cluster; 1 where that is 0."""
     most = assigned.groupBy(F.col("cluster").alias("_cluster")).agg(F.max("distance").alias("_most"))
@@ -109,22 +179,6 @@ def z_scores(rows: DataFrame, value: str, limit: float = 2.0) -> DataFrame:
     return rows.crossJoin(F.broadcast(s)).withColumn("z", F.round(z, 6)).withColumn("anomaly", F.col("z") >= limit).drop("_m", "_s")
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9, buckets: int = 8) -> DataFrame:
-    """Pairs of one label with a cosine of at least ``least``: salted blocks, so that a large label is many tasks.
-
-    Where the vectors have a place (file, start, end), a unit and one inside it are no pair.
-    """
-    place = [c for c in ("file", "start", "end") if c in vectors.columns]
-    v = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    a = v.select("label", F.col("id").alias("a"), F.col("vec").alias("x"), F.col("salt").alias("s"), every.alias("s2"), *(F.col(c).alias(f"{c}_a") for c in place))
-    b = v.select("label", F.col("id").alias("b"), F.col("vec").alias("y"), F.col("salt").alias("s2"), every.alias("s"), *(F.col(c).alias(f"{c}_b") for c in place))
-    pairs = a.join(b, ["label", "s", "s2"]).where("a < b")
-    if len(place) == 3:
-        pairs = pairs.where("NOT (file_a = file_b AND (start_a <= start_b AND end_b <= end_a OR start_b <= start_a AND end_a <= end_b))")
-    return pairs.withColumn("cosine", F.round(cosine(F.col("x"), F.col("y")), 6)).where(F.col("cosine") >= least).select("label", "a", "b", "cosine")
-
-
 def confusion(rows: DataFrame, by: list[str], optimistic: bool) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1 of ``predicted`` against ``truth``; empty ratios are 1 or 0."""
     p, t = F.col("predicted"), F.col("truth")
@@ -158,6 +212,33 @@ def confident_learning(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(m)).withColumn("given", F.round(own, 6)).withColumn("other", F.round(other, 6)).withColumn("suspect", F.coalesce(suspect, F.lit(False))).drop("_t0", "_t1")
 
 
+def confident_joint(rows: DataFrame) -> DataFrame:
+    """The joint of given and likely labels of (id, label, prob), four rows: given, likely, counted, noise, share,
+    share_noise.
+
+    A row counts for the class whose threshold (its mean self-confidence; a half for a class without rows) its probability
+    reaches, the more probable one if both; rows that reach none are left out. ``noise`` is the share of counted rows whose
+    likely label is another than the given one. ``share`` rescales the counts to how many rows have each given label, so
+    that all shares add up to 1, and ``share_noise`` is what lies off the diagonal then. Null labels and probabilities are
+    left out; nothing counted gives zeros.
+    """
+    known = rows.where("label is not null and prob is not null")
+    mean = lambda y, p: F.coalesce(F.avg(F.when(F.col("label") == y, p)), F.lit(0.5))
+    m = known.agg(mean(1, F.col("prob")).alias("_t1"), mean(0, 1 - F.col("prob")).alias("_t0"))
+    one, zero = F.col("prob") >= F.col("_t1"), 1 - F.col("prob") >= F.col("_t0")
+    likely = F.when(one & (~zero | (F.col("prob") >= 0.5)), 1).when(zero, 0)
+    joint = known.crossJoin(F.broadcast(m)).select(F.col("label").cast("int").alias("y"), likely.alias("l"))
+    cells = [(g, x) for g in (0, 1) for x in (0, 1)]
+    n = joint.agg(*(F.count_if((F.col("y") == g) & (F.col("l") == x)).alias(f"n{g}{x}") for g, x in cells), *(F.count_if(F.col("y") == g).alias(f"all{g}") for g in (0, 1)))
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    scaled = {(g, x): part(F.col(f"n{g}{x}") * F.col(f"all{g}"), F.col(f"n{g}0") + F.col(f"n{g}1")) for g, x in cells}
+    whole = sum(scaled.values(), F.lit(0.0))
+    off = part(F.col("n01") + F.col("n10"), F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11"))
+    share_off = part(scaled[0, 1] + scaled[1, 0], whole)
+    out = F.explode(F.array(*(F.struct(F.lit(g).alias("given"), F.lit(x).alias("likely"), F.col(f"n{g}{x}").alias("counted"), F.round(off, 6).alias("noise"), F.round(part(scaled[g, x], whole), 6).alias("share"), F.round(share_off, 6).alias("share_noise")) for g, x in cells)))
+    return n.select(out.alias("x")).select("x.*")
+
+
 #: Values of a feature that are all tried as thresholds; of more, as many percentiles.
 MOST_BINS = 1_024
 
@@ -245,10 +326,15 @@ def dawid_skene(votes: DataFrame, rounds: int = 50, tolerance: float = 1e-6, goo
     """
     spark = votes.sparkSession
     by_candidate = cut(votes.where("vote is not null").groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("voter", F.col("vote").cast("int").alias("vote")))).alias("votes")))
-    votings = cut(by_candidate.groupBy("votes").agg(F.count("*").cast("double").alias("n")))
-    voters = [r[0] for r in votings.select(F.explode("votes").alias("v")).select("v.voter").distinct().limit(MOST_VOTERS + 1).collect()]
+    kind = by_candidate.schema["votes"].dataType.elementType["voter"].dataType
+    voters = [r[0] for r in by_candidate.select(F.explode("votes").alias("v")).select("v.voter").distinct().limit(MOST_VOTERS + 1).collect()]
     if len(voters) > MOST_VOTERS:
         raise ValueError(f"more than {MOST_VOTERS} voters")
+    # Voters by number, so that their facts are an array, and candidates with the same votes as one row.
+    numbers_ = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(voters)], f"voter {kind.simpleString()}, number int"))
+    numbered = by_candidate.select("candidate", F.explode("votes").alias("v")).select("candidate", "v.*").join(numbers_, "voter")
+    by_candidate = cut(numbered.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("number", "vote"))).alias("votes")))
+    votings = cut(by_candidate.groupBy("votes").agg(F.count("*").cast("double").alias("n")))
     carried = {(r.voter, r.y): (r.n0, r.n1) for r in state.select("voter", "y", "n0", "n1").collect()} if state is not None else {}
     yes = F.aggregate("votes", F.lit(0.0), lambda s, v: s + v["vote"]) / F.size("votes")
 
@@ -257,28 +343,32 @@ def dawid_skene(votes: DataFrame, rounds: int = 50, tolerance: float = 1e-6, goo
             return yes
         confusion_, pi = model
         log = lambda v, y: tuple(math.log(x / sum(confusion_[v, y])) for x in confusion_[v, y])
-        facts = F.create_map(*(c for v in voters for c in (F.lit(v), F.array(*(F.lit(log(v, 1)[vote] - log(v, 0)[vote]) for vote in (0, 1))))))
-        odds = F.aggregate("votes", F.lit(math.log(pi) - math.log(1 - pi)), lambda s, v: s + F.element_at(F.element_at(facts, v["voter"]), v["vote"] + 1))
+        facts = F.from_json(F.lit(json.dumps([[log(v, 1)[vote] - log(v, 0)[vote] for vote in (0, 1)] for v in voters])), "array<array<double>>")
+        odds = F.aggregate("votes", F.lit(math.log(pi) - math.log(1 - pi)), lambda s, v: s + F.element_at(F.element_at(facts, v["number"] + 1), v["vote"] + 1))
         return 1 / (1 + F.exp(-odds))
 
-    model, confusion_ = None, {}
+    def same_votes(y: int, vote: int) -> Column:
+        return F.sum(F.when(F.col("x.vote") == vote, F.col("n") * (F.col("p") if y else 1 - F.col("p"))).otherwise(0.0)).alias(f"y{y}n{vote}")
+
+    everyone_ = F.struct(F.lit(-1).alias("number"), F.lit(1).alias("vote"))
+    before, model = None, None
     for _ in range(rounds if voters else 0):
-        p = votings.select(probability(model).alias("p"), "n", F.explode(F.array_append("votes", F.struct(F.lit(None).cast(votings.schema["votes"].dataType.elementType["voter"].dataType).alias("voter"), F.lit(1).alias("vote")))).alias("x"))
-        sums = p.groupBy("x.voter").agg(*(F.sum(F.when(F.col("x.vote") == v, F.col("n") * (F.col("p") if y else 1 - F.col("p"))).otherwise(0.0)).alias(f"y{y}n{v}") for y in (0, 1) for v in (0, 1)))
-        rows = {r.voter: r for r in sums.collect()}
-        everyone = rows.pop(None)
+        moved = F.lit(None).cast("double") if model is None else F.abs(F.col("p") - F.col("was"))
+        p = votings.select(probability(model).alias("p"), probability(before).alias("was"), "n", F.explode(F.array_append("votes", everyone_)).alias("x"))
+        rows = {r.number: r for r in p.groupBy("x.number").agg(F.max(moved).alias("moved"), *(same_votes(y, v) for y in (0, 1) for v in (0, 1))).collect()}
+        everyone = rows.pop(-1)
+        if everyone.moved is not None and everyone.moved < tolerance:
+            break
         pi = (everyone.y1n1 + smooth) / (everyone.y1n1 + everyone.y0n1 + 2 * smooth)
-        for v in voters:
+        confusion_ = {}
+        for i, v in enumerate(voters):
             for y in (0, 1):
                 more = carried.get((v, y), (0.0, 0.0))
-                confusion_[v, y] = tuple(rows[v][f"y{y}n{vote}"] + more[vote] + (good if vote == y else bad) for vote in (0, 1))
-        new = (dict(confusion_), pi)
-        moved = votings.agg(F.max(F.abs(probability(new) - probability(model)))).first()[0]
-        model = new
-        if moved is None or moved < tolerance:
-            break
-    schema = f"voter {votings.schema['votes'].dataType.elementType['voter'].dataType.simpleString()}, y int, n0 double, n1 double"
-    return by_candidate.select("candidate", probability(model).alias("p")), spark.createDataFrame([(v, y, *n) for (v, y), n in confusion_.items()], schema)
+                confusion_[v, y] = tuple(rows[i][f"y{y}n{vote}"] + more[vote] + (good if vote == y else bad) for vote in (0, 1))
+        before, model = model, (confusion_, pi)
+    schema = f"voter {kind.simpleString()}, y int, n0 double, n1 double"
+    found = [(v, y, *n) for (v, y), n in model[0].items()] if model else []
+    return by_candidate.select("candidate", probability(model).alias("p")), spark.createDataFrame(found, schema)
 
 
 def voter_report(confusion_: DataFrame, bias: float = 0.15) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import lines
 from siltstone.operators import learning as ln
+from siltstone.operators.similarity import similar_pairs
 from siltstone.plans.fixtures import LINE, RULE, files
 from siltstone.plans.registry import query
 
@@ -38,7 +39,7 @@ def m4(t):
 def j18(t):
     """Units of four files with ranges of lines, of which some lie inside others."""
     k = F.col("id")
-    return ln.similar_pairs(vectors(t).withColumn("file", k % 4).withColumn("start", k % 9).withColumn("end", k % 9 + k % 5)).select("label", "a", "b")
+    return similar_pairs(vectors(t).withColumn("file", k % 4).withColumn("start", k % 9).withColumn("end", k % 9 + k % 5)).select("label", "a", "b")
 
 
 CENTRE = "d AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, dim, avg(x) AS x FROM d GROUP BY ALL), dist AS (SELECT vec_id, d.label, sqrt(sum((d.x - c.x) * (d.x - c.x))) AS distance FROM d JOIN c ON d.label = c.label AND d.dim = c.dim GROUP BY ALL)"
@@ -73,6 +74,11 @@ def m6(t):
     return ln.z_scores(ln.outliers(assigned), "distance").select("id", "cluster", F.round("distance", 6).alias("distance"), F.round("outlier", 6).alias("outlier"), "anomaly")
 
 
+@query("m10_anomalies")
+def m10(t):
+    return ln.anomalies(vectors(t)).select("id", F.round("distance", 6).alias("distance"), F.round("z", 6).alias("z"))
+
+
 @query("m5_m7_kmeans_report")
 def m5(t):
     from pyspark.ml.clustering import KMeans
@@ -150,6 +156,18 @@ def m13(t):
     return ln.confident_learning(scores(t)).select("id", "given", "suspect")
 
 
+@query(
+    "m13_confident_joint",
+    f"""WITH {SCORES}, m AS (SELECT coalesce(avg(CASE WHEN label = 1 THEN prob END), 0.5) AS t1, coalesce(avg(CASE WHEN label = 0 THEN 1 - prob END), 0.5) AS t0 FROM p),
+j AS (SELECT label, CASE WHEN prob >= t1 AND (1 - prob < t0 OR prob >= 0.5) THEN 1 WHEN 1 - prob >= t0 THEN 0 END AS likely FROM p, m),
+k AS (SELECT given, likely FROM range(2) g(given), range(2) l(likely)), c AS (SELECT k.*, (SELECT count(*) FROM j WHERE label = given AND j.likely = k.likely) AS n, (SELECT count(*) FROM j WHERE label = given) AS every, (SELECT count(*) FROM j WHERE label = given AND j.likely IS NOT NULL) AS counted FROM k),
+s AS (SELECT *, CASE WHEN counted > 0 THEN n * every / counted ELSE 0.0 END AS scaled FROM c)
+SELECT given::INTEGER AS given, likely::INTEGER AS likely, n::BIGINT AS counted, round(coalesce(sum(CASE WHEN given <> likely THEN n END) OVER () / nullif(sum(n) OVER (), 0), 0), 6) AS noise, round(coalesce(scaled / nullif(sum(scaled) OVER (), 0), 0), 6) AS share, round(coalesce(sum(CASE WHEN given <> likely THEN scaled END) OVER () / nullif(sum(scaled) OVER (), 0), 0), 6) AS share_noise FROM s""",
+)
+def m13b(t):
+    return ln.confident_joint(scores(t))
+
+
 @query("a37_precision_at_k", f"WITH {SCORES}, k AS (SELECT * FROM p ORDER BY prob DESC, id LIMIT 50) SELECT (SELECT round(avg(CASE WHEN (prob >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) FROM p) AS accuracy, (SELECT round(avg(label), 6) FROM k) AS precision_at_50, (SELECT round(greatest(avg(label), 1 - avg(label)), 6) FROM p) AS majority")
 def a37(t):
     p = scores(t)
