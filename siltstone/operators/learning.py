@@ -100,6 +100,116 @@ def _centre_sums(points: DataFrame, centres: list[list[float]]) -> list:
     return parts.groupBy("cluster").agg(F.sum("n").alias("n"), total.alias("sums")).collect()
 
 
+def uniform(seed: int, step: int, key: str) -> Column:
+    """A number in (0, 1) for each row, drawn from its key: reruns and retried tasks draw the same."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(step), F.col(key)), 11) + 0.5) / F.lit(float(1 << 53))
+
+
+def weighted_centres(points: DataFrame, k: int, seed: int = 42) -> list[list[float]]:
+    """k-means++: each centre is drawn with a chance in proportion to the squared distance from all centres before it.
+
+    The least of ``-ln(u) / weight`` over all rows is such a draw, so a centre is one aggregate and nothing is summed or
+    walked in order. Fewer distinct points than ``k`` give as many centres as there are.
+    """
+    first = points.agg(F.min_by("vec", F.struct(uniform(seed, 0, "id"), "id"))).first()[0]
+    centres = [] if first is None else [list(first)]
+    while centres and len(centres) < k:
+        away = assign(points, centres).where("distance > 0")
+        key = -F.log(uniform(seed, len(centres), "id")) / (F.col("distance") * F.col("distance"))
+        drawn = away.agg(F.min_by("vec", F.struct(key, "id"))).first()[0]
+        if drawn is None:
+            break
+        centres.append(list(drawn))
+    return centres
+
+
+def kmeans(points: DataFrame, k: int, rounds: int = 40, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+    """Seeded k-means++ and rounds of means over points (id, vec): (id, vec, cluster, distance) and the centres.
+
+    A centre that no point is nearest to is moved to a point drawn from all. Rounds end when no point changes its
+    cluster, which is when no centre moves, or after ``rounds``, as the algorithm is defined. No points give no centres.
+    """
+    points = cut(points.where("vec is not null").select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
+    centres = weighted_centres(points, k, seed)
+    if not centres:
+        return points.select("*", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), []
+    for i in range(rounds):
+        sums = {r.cluster: [s / r.n for s in r["sums"]] for r in _centre_sums(points, centres)}
+        for c in range(len(centres)):
+            if c not in sums:
+                sums[c] = list(points.agg(F.min_by("vec", F.struct(uniform(seed + 1 + c, i, "id"), "id"))).first()[0])
+        moved = max(math.dist(centres[c], sums[c]) for c in sums)
+        centres = [sums[c] for c in range(len(centres))]
+        if moved < 1e-9:
+            break
+    return assign(points, centres), centres
+
+
+#: Files that stand for a family at most.
+SAMPLE_FILES = 8
+
+
+def family_report(assigned: DataFrame, k: int) -> DataFrame:
+    """Families of units (id, file, cluster, distance): (family, size, inertia, samples), samples being the first
+    SAMPLE_FILES distinct files by name, cut before they are gathered."""
+    family = F.concat(F.lit(f"fam-{k}-"), F.col("cluster").cast("string"))
+    sums = assigned.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("distance") * F.col("distance")).alias("inertia"))
+    nth = F.dense_rank().over(W.partitionBy("cluster").orderBy("file"))
+    few = assigned.where("file is not null").select("cluster", "file").withColumn("_n", nth).where(F.col("_n") <= SAMPLE_FILES).groupBy("cluster").agg(F.array_sort(F.collect_set("file")).alias("samples"))
+    return sums.join(few, "cluster", "left").select(family.alias("family"), "size", "inertia", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+def gram(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of vectors, their mean, and the sum of their centred outer products, as sums of sums over the tasks."""
+    size = points.select(F.size("vec").alias("d")).first()
+    d = size.d if size else 0
+
+    def add(batches):
+        n, sums, products = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            if len(batch):
+                m = np.stack(batch["vec"].to_numpy()).astype(float)
+                n, sums, products = n + len(m), sums + m.sum(axis=0), products + m.T @ m
+        yield pd.DataFrame({"i": np.arange(d + 2), "row": [np.full(d, float(n)), sums, *products]})
+
+    parts = points.select("vec").mapInPandas(add, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
+    table = np.zeros((d + 2, d))
+    for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        table[r.i, r.j] = r.x
+    n = int(table[0, 0]) if d else 0
+    mean = table[1] / max(n, 1)
+    return n, mean, table[2:] - n * np.outer(mean, mean)
+
+
+def power_pca(points: DataFrame, steps: int = 25) -> DataFrame:
+    """(id, x, y): points (id, vec) along the first two directions, by power iteration and deflation from a fixed start.
+
+    One pass gives the matrix of centred products, which is all that the steps need; a second projects the points. A
+    direction without spread is 0.
+    """
+    points = points.where("vec is not null")
+    _, mean, products = gram(points)
+    start = np.array([(i * 17 + 3) % 100 / 100 - 0.5 for i in range(len(mean))])
+
+    def power(avoid: np.ndarray | None) -> np.ndarray:
+        v = start if avoid is None else start - (start @ avoid) * avoid
+        for _ in range(steps):
+            w = products @ v
+            w = w if avoid is None else w - (w @ avoid) * avoid
+            v = w / (np.linalg.norm(w) or 1.0)
+        return v
+
+    first = power(None)
+    axes = np.stack([first, power(first)], axis=1) if len(mean) else np.zeros((0, 2))
+
+    @F.pandas_udf("x double, y double")
+    def project(vec: pd.Series) -> pd.DataFrame:
+        m = np.stack(vec.to_numpy()).astype(float) if len(vec) else np.zeros((0, len(mean)))
+        return pd.DataFrame((m - mean) @ axes, columns=["x", "y"])
+
+    return points.withColumn("_p", project("vec")).select("id", "_p.x", "_p.y")
+
+
 def lloyd(points: DataFrame, k: int, rounds: int = 50, start: list[list[float]] | None = None) -> tuple[DataFrame, list[list[float]]]:
     """k-means from the farthest points: the first id starts, then always the point farthest from all centres so far.
 

@@ -79,24 +79,41 @@ def m10(t):
     return ln.anomalies(vectors(t)).select("id", F.round("distance", 6).alias("distance"), F.round("z", 6).alias("z"))
 
 
+def families(t):
+    """Seeded k-means of all vectors; a unit's file is one of a hundred."""
+    v = vectors(t)
+    k = v.agg(ln.k_for(F.count("*")).alias("k")).first().k
+    assigned, centres = ln.kmeans(v, k)
+    return assigned.withColumn("file", F.concat(F.lit("f"), (F.col("id") % 100).cast("string"))), len(centres)
+
+
 @query("m5_m7_kmeans_report")
 def m5(t):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    assigned, k = families(t)
+    return ln.family_report(assigned, k).select("family", "size", F.round("inertia", 6).alias("inertia"), F.array_join("samples", ",").alias("samples"))
 
-    v = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=8, seed=7, maxIter=20).fit(v)
-    return model.transform(v).groupBy("prediction").agg(F.count("*").alias("size"), F.min("vec_id").alias("sample"))
 
+@query("m7_unit_outliers")
+def m7(t):
+    """Each unit's family, how many are in it, and its distance against the largest there."""
+    assigned, k = families(t)
+    size = assigned.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("family_size"))
+    out = ln.outliers(assigned).join(size, F.col("cluster") == F.col("_c"))
+    return out.select("id", F.concat(F.lit(f"fam-{k}-"), F.col("cluster").cast("string")).alias("family"), "family_size", F.round(F.least(F.lit(1.0), "outlier"), 6).alias("outlier"))
 
-@query("m8_pca")
-def m8(t):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    p = PCA(k=2, inputCol="features", outputCol="pc").fit(v).transform(v)
-    return p.select("vec_id", F.abs(vector_to_array("pc")[0]).alias("x"), F.abs(vector_to_array("pc")[1]).alias("y"))
+#: Power iteration over the matrix of centred products, one step a row.
+PCA = """WITH RECURSIVE d AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), mean AS (SELECT i, avg(x) AS m FROM d GROUP BY i), c AS (SELECT vec_id, i, x - m AS x FROM d JOIN mean USING (i)),
+g AS (SELECT a.i, list(s ORDER BY j) AS r FROM (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM c a JOIN c b USING (vec_id) GROUP BY ALL) a GROUP BY a.i), m AS (SELECT list(r ORDER BY i) AS g, list(((i * 17 + 3) % 100) / 100 - 0.5 ORDER BY i) AS s FROM g),
+p1(k, v) AS (SELECT 0, s FROM m UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT k, list_transform(g, lambda r: list_dot_product(r, v)) AS w FROM p1, m WHERE k < 25)),
+a AS (SELECT v AS a FROM p1 WHERE k = 25),
+p2(k, v) AS (SELECT 0, list_transform(s, lambda x, i: x - list_dot_product(s, a) * a[i]) FROM m, a UNION ALL SELECT k + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(w, lambda x, i: x - list_dot_product(w, a) * a[i]) AS u FROM (SELECT k, a, list_transform(g, lambda r: list_dot_product(r, v)) AS w FROM p2, m, a WHERE k < 25)))
+SELECT vec_id, round(list_dot_product(x, a), 4) AS x, round(list_dot_product(x, v), 4) AS y FROM (SELECT vec_id, list(x ORDER BY i) AS x FROM c GROUP BY vec_id), a, p2 WHERE k = 25"""
+
+
+@query("m8_pca", PCA)
+def m8(t):
+    return ln.power_pca(vectors(t)).select(F.col("id").alias("vec_id"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 HASHED = "c AS (SELECT doc_id, token, count(*) AS n FROM b GROUP BY ALL), v AS (SELECT doc_id, ('0x' || substring(md5(token), 1, 8))::BIGINT % {size} AS bucket, sum(n * {sign}) AS v FROM c GROUP BY ALL), u AS (SELECT doc_id, sqrt(sum(v * v)) AS u FROM v GROUP BY doc_id) SELECT doc_id, bucket, round(v / u, 5) AS value FROM v JOIN u USING (doc_id) WHERE v <> 0"

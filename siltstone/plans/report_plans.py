@@ -8,6 +8,7 @@ from siltstone.operators import graph as g
 from siltstone.plans.fixtures import FINDING, LINE, UNIT, files, found, units
 from siltstone.plans.registry import query
 from siltstone.sources import reports as r
+from siltstone.sources import table_functions as tf
 
 
 ORIGINS = """every AS (SELECT 'native' AS origin, rule_id FROM finding WHERE seq % 2 = 0 UNION ALL SELECT 'imported', rule_id FROM finding WHERE seq % 2 = 1
@@ -196,3 +197,16 @@ def s21(t):
     path = f"{shared_folder(t.spark)}/archive"
     r.archive(retention(t.events, 20, F.lit(False)).where("due").drop("due"), path)
     return t.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("x8_lcov_table_function", "SELECT source || '/' || doc_id AS path, (doc_id % 3 > 0) AS hit FROM documents")
+def x8_lcov(t):
+    d = t.documents.select(F.concat(F.lit("SF:"), F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.lit("\nDA:1,"), (F.col("doc_id") % 3).cast("string"), F.lit("\nend_of_record")).alias("value"))
+    return tf.lcov_lines(t.spark, _written(t, d, "lcov")).select("path", "hit")
+
+
+@query("x8_diff_table_function", "SELECT source || '/' || doc_id AS path, count(*)::BIGINT AS n FROM (SELECT source, doc_id, unnest(range(1, 1 + doc_id % 7)) AS k FROM documents) GROUP BY 1")
+def x8_diff(t):
+    d = t.documents.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("p"), (F.col("doc_id") % 7).alias("k"))
+    path = _written(t, d.select(F.concat(F.lit("--- a/x\n+++ b/"), "p", F.lit("\n@@ -1,2 +5,"), F.col("k").cast("string"), F.lit(" @@")).alias("value")), "diffs")
+    return tf.diff_lines(t.spark, path).groupBy("path").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.registry import query
 from siltstone.streaming import events as ev
+from siltstone.streaming import ingest as ing
 
 
 def stream(t):
@@ -59,3 +60,38 @@ def t10(t):
     e = stream(t).select("user_id", "ts", "event_id", F.when(issues < 4, "low").when(issues < 9, "mid").otherwise("high").alias("bucket"))
     kept = ev.keep_batches(ev.bucket_transitions(e, "user_id", "bucket"), lambda b: b, ev.shared_folder(t.spark))
     return kept.groupBy("bucket").agg(F.sum("delta").alias("repos"))
+
+
+SEVERITIES = ("BLOCKER", "CRITICAL", "MAJOR", "MINOR", "INFO")
+#: An event is an analysis of its user's repository, with a finding for each number below event_id % 13.
+INGESTED = """WITH f AS (SELECT user_id AS repo, event_id AS analysis_id, ts, 'i' || ((event_id * 7 + k * 5) % 40) AS fingerprint, 'R' || (k % 4) AS rule_id, ['BLOCKER', 'CRITICAL', 'MAJOR', 'MINOR', 'INFO'][(event_id + k) % 5 + 1] AS severity, 5 * (k + 1) AS effort FROM (SELECT *, unnest(range(event_id % 13)) AS k FROM events)),
+s AS (SELECT user_id AS repo, event_id AS analysis_id, ts, 100 + event_id % 900 AS loc, (SELECT count(*) FROM f WHERE f.analysis_id = event_id) AS findings, (SELECT count(*) FROM f WHERE f.analysis_id = event_id AND severity IN ('BLOCKER', 'CRITICAL')) AS severe, (SELECT coalesce(sum(effort), 0) FROM f WHERE f.analysis_id = event_id) AS debt FROM events)"""
+
+
+def analyses_stream(t):
+    return stream(t).select(F.col("user_id").alias("repo"), F.col("event_id").alias("analysis_id"), "ts", (100 + F.col("event_id") % 900).alias("loc"))
+
+
+def findings_of(analyses):
+    i, k = F.col("analysis_id"), F.col("k")
+    rows = analyses.where(i % 13 > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), i % 13 - 1)))
+    severity = F.element_at(F.array(*map(F.lit, SEVERITIES)), ((i + k) % 5 + 1).cast("int"))
+    return rows.select("repo", "analysis_id", "ts", F.concat(F.lit("i"), ((i * 7 + k * 5) % 40).cast("string")).alias("fingerprint"), F.concat(F.lit("R"), (k % 4).cast("string")).alias("rule_id"), severity.alias("severity"), (5 * (k + 1)).alias("effort"))
+
+
+@query("t2_ingested_issues", INGESTED + " SELECT repo, fingerprint, arg_min(analysis_id, (ts, analysis_id)) AS first_analysis, arg_max(analysis_id, (ts, analysis_id)) AS last_analysis, arg_max(severity, (ts, analysis_id, rule_id, severity)) AS severity, count(DISTINCT analysis_id)::BIGINT AS seen FROM f GROUP BY repo, fingerprint")
+def t2_issues(t):
+    """Issues after a stream of analyses: when each was first and last seen, and what was said of it last."""
+    issues = ing.ingest_analyses(analyses_stream(t), findings_of).state("issues")
+    return issues.select("repo", "fingerprint", F.col("first.analysis_id").alias("first_analysis"), F.col("last.analysis_id").alias("last_analysis"), "last.severity", "seen")
+
+
+@query("t2_ingested_repos", INGESTED + " SELECT repo, arg_max(analysis_id, (ts, analysis_id)) AS last_analysis, arg_max(findings, (ts, analysis_id))::BIGINT AS open_issues, arg_max(debt, (ts, analysis_id))::BIGINT AS debt, arg_max(severe = 0, (ts, analysis_id)) AS passed, count(*)::BIGINT AS analyses, count(*) FILTER (WHERE severe > 0)::BIGINT AS failed FROM s GROUP BY repo")
+def t2_repos(t):
+    repos = ing.ingest_analyses(analyses_stream(t), findings_of).state("repos")
+    return repos.select("repo", F.col("last.analysis_id").alias("last_analysis"), F.col("last.findings").alias("open_issues"), "last.debt", "last.passed", "analyses", "failed")
+
+
+@query("t2_ingested_days", INGESTED + " SELECT repo, strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS analyses, sum(findings)::BIGINT AS findings, sum(debt)::BIGINT AS debt FROM s GROUP BY ALL")
+def t2_days(t):
+    return ing.ingest_analyses(analyses_stream(t), findings_of).state("days")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import quality as q
 from siltstone.functions import text as tx
+from siltstone.operators import analogues as an
 from siltstone.operators import joins as j
 from siltstone.operators import metrics as m
 from siltstone.plans.fixtures import FILE, FINDING, LINE, RANK, UNIT, files, found, units
@@ -321,3 +322,38 @@ def p29(t):
     from siltstone.operators.graph import priority
 
     return h.join(n, "host").select("page_id", F.col("p").rlike(r"(^|/)[0-9]+[.]html$").alias("is_entry"), priority(F.col("fan"), F.lit(None).cast("int")).alias("priority"))
+
+
+#: Rules of two catalogues from the benchmark's items: weaknesses, types and languages by their numbers.
+ANALOGUE = """side AS (SELECT item_id AS id, ['VULNERABILITY', 'CODE_SMELL', 'BUG'][item_id % 3 + 1] AS type, ['VULNERABILITY', 'BUG', 'SECURITY_HOTSPOT', 'CODE_SMELL'][item_id % 4 + 1] AS rtype, CASE WHEN item_id % 3 = 0 THEN 'any' ELSE ['de', 'en'][item_id % 2 + 1] END AS langs, ['de', 'en'][item_id % 2 + 1] AS lang, CASE WHEN item_id % 5 = 0 THEN [] ELSE ['CWE-' || (item_id % 11)] END AS cwe, lower(text) AS text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 3)) AS tokens FROM benchmark),
+phrase AS (SELECT * FROM (VALUES ('CWE-1', 'the'), ('CWE-1', 'ing'), ('CWE-2', 'er '), ('CWE-7', 'con')) p(cwe, phrase)),
+pair AS (SELECT l.id AS l, r.id AS r, list_has_any(l.cwe, r.cwe) AS c, list_intersect(l.tokens, r.tokens) AS shared, 2 * (SELECT count(*) FROM phrase WHERE list_contains(l.cwe, cwe) AND contains(r.text, phrase)) AS p, l.type = r.rtype OR (l.type = 'VULNERABILITY' AND r.rtype = 'SECURITY_HOTSPOT') OR (l.type = 'CODE_SMELL' AND r.rtype = 'BUG') OR (l.type = 'BUG' AND r.rtype = 'CODE_SMELL') AS fits FROM side l JOIN side r ON l.langs = 'any' OR l.langs = r.lang),
+hit AS (SELECT *, len(shared) + p AS hits, len(list_filter(shared, lambda w: length(w) >= 6)) + p AS multi FROM pair),
+scored AS (SELECT l, r, hits, CASE WHEN c AND fits THEN 2 WHEN c THEN 1 WHEN multi >= 2 AND fits THEN 2 WHEN hits >= 3 AND fits THEN 1 WHEN multi >= 1 AND hits >= 2 THEN 1 END AS level FROM hit)"""
+
+
+def _catalogues(t):
+    i, text = F.col("item_id"), F.lower("text")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))
+    cwe = F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("CWE-"), (i % 11).cast("string"))))
+    tokens = F.array_distinct(F.split(text, "[^a-z]+"))
+    left = t.benchmark.select(i.alias("id"), pick(("VULNERABILITY", "CODE_SMELL", "BUG"), 3).alias("type"), F.array(F.when(i % 3 == 0, "any").otherwise(pick(("de", "en"), 2))).alias("languages"), cwe.alias("cwe"), tokens.alias("tokens"))
+    right = t.benchmark.select(i.alias("id"), pick(("VULNERABILITY", "BUG", "SECURITY_HOTSPOT", "CODE_SMELL"), 4).alias("type"), pick(("de", "en"), 2).alias("lang"), cwe.alias("cwe"), tokens.alias("tokens"), text.alias("text"))
+    return left, right, t.spark.createDataFrame([("CWE-1", "the"), ("CWE-1", "ing"), ("CWE-2", "er "), ("CWE-7", "con")], "cwe string, phrase string")
+
+
+def _analogue(side: str) -> str:
+    other = "r" if side == "l" else "l"
+    return f"WITH {ANALOGUE} SELECT id AS rule, {other} AS match, coalesce(hits, 0)::BIGINT AS hits, CASE level WHEN 2 THEN 'covered' WHEN 1 THEN 'partial' ELSE 'uncovered' END AS status FROM side LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {side} ORDER BY level DESC, hits DESC, {other}) AS k FROM scored WHERE level IS NOT NULL) ON {side} = id AND k = 1"
+
+
+@query("j17_analogues_of_left", _analogue("l"))
+def j17_left(t):
+    left, right, phrases = _catalogues(t)
+    return an.coverage(left, an.best_of(an.matches(left, right, phrases), "l"), "l")
+
+
+@query("j17_analogues_of_right", _analogue("r"))
+def j17_right(t):
+    left, right, phrases = _catalogues(t)
+    return an.coverage(right, an.best_of(an.matches(left, right, phrases), "r"), "r")
