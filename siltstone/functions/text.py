@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,46 +118,60 @@ LEXICON = {
 }
 
 
-def mask_text(source: str, profile: str) -> tuple[str, str, str]:
-    """The text three times at its own length: code, comments, strings; what belongs elsewhere is blank."""
+_NOT_END = re.compile(r"[^\r\n]")
+
+
+@cache
+def _marks(profile: str) -> re.Pattern:
+    """What may begin a comment or a string, the longest first; in fixed-column text a line's seventh column too."""
     line_marks, blocks, quotes, triples = LEXICON.get(profile, LEXICON["clike"])
-    kind = bytearray(len(source))  # 0 code, 1 comment, 2 string
-    i, n = 0, len(source)
-    while i < n:
-        fresh = i == 0 or source[i - 1] == "\n"
-        if profile == "cobol" and fresh and i + 6 < n and "\n" not in source[i : i + 7] and source[i + 6] in "*/":
-            end = source.find("\n", i)
-            end = n if end < 0 else end
-            kind[i:end] = b"\1" * (end - i)
-            i = end
-            continue
-        block = next((b for b in blocks if source.startswith(b[0], i)), None)
-        mark = next((m for m in line_marks if source.startswith(m, i)), None)
-        triple = next((t for t in triples if source.startswith(t, i)), None)
-        if block or mark or triple:
-            stop = source.find(block[1] if block else triple if triple else "\n", i + len(block[0] if block else triple or mark))
-            end = n if stop < 0 else stop + (len(block[1]) if block else 3 if triple else 0)
-            kind[i:end] = (b"\2" if triple else b"\1") * (end - i)
-            i = end
-        elif source[i] in quotes and quotes:
-            q, j = source[i], i + 1
-            while j < n and source[j] != "\n":
-                if source[j] == "\\" and profile in ("clike", "python"):
-                    j += 2
-                elif source[j] == q:
-                    if profile in ("sql", "cobol", "vb") and source.startswith(q, j + 1):
-                        j += 2
-                        continue
-                    break
-                else:
-                    j += 1
-            end = min(n, j + 1 if j < n and source[j] == q else j)
-            kind[i:end] = b"\2" * (end - i)
-            i = end
+    marks = [*(b[0] for b in blocks), *line_marks, *triples, *quotes]
+    parts = [re.escape(m) for m in sorted(marks, key=len, reverse=True)]
+    if profile == "cobol":
+        parts.insert(0, r"(?m:^)[^\n]{6}[*/]")
+    return re.compile("|".join(f"(?:{p})" for p in parts) or r"(?!)")
+
+
+@cache
+def _string_ends(profile: str, quote: str) -> re.Pattern:
+    """The rest of a string up to its quote, or to the end of its line if that never comes."""
+    q = re.escape(quote)
+    if profile in ("clike", "python"):
+        return re.compile(rf"(?:[^\n\\{q}]|\\[\s\S]?)*{q}?")
+    return re.compile(rf"(?:[^\n{q}]|{q}{q})*{q}?" if profile in ("sql", "cobol", "vb") else rf"[^\n{q}]*{q}?")
+
+
+def _spans(source: str, profile: str) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of comments (1) and strings (2), found by jumping from mark to mark."""
+    line_marks, blocks, quotes, triples = LEXICON.get(profile, LEXICON["clike"])
+    closing, marks, at, n = dict(blocks), _marks(profile), 0, len(source)
+    while m := marks.search(source, at):
+        mark, start = m[0], m.start()
+        if profile == "cobol" and len(mark) == 7:
+            stop = source.find("\n", start)
+            at = n if stop < 0 else stop
+            yield 1, start, at
+        elif mark in closing or mark in line_marks or mark in triples:
+            end = closing.get(mark, mark if mark in triples else "\n")
+            stop = source.find(end, m.end())
+            at = n if stop < 0 else stop + (0 if mark in line_marks else len(end))
+            yield 2 if mark in triples else 1, start, at
         else:
-            i += 1
-    pick = lambda k: "".join(c if kind[p] == k or c in "\r\n" else " " for p, c in enumerate(source))
-    return pick(0), pick(1), pick(2)
+            at = _string_ends(profile, mark).match(source, m.end()).end()
+            yield 2, start, at
+
+
+def mask_text(source: str, profile: str) -> tuple[str, str, str]:
+    """The text three times at its own length: code, comments, strings; what belongs elsewhere is blank."""
+    parts: tuple[list, list, list] = ([], [], [])
+    at = 0
+    for kind, start, end in [*_spans(source, profile), (0, len(source), len(source))]:
+        for k, piece in ((0, source[at:start]), (kind, source[start:end])):
+            blank = _NOT_END.sub(" ", piece)
+            for own, out in enumerate(parts):
+                out.append(piece if own == k else blank)
+        at = end
+    return tuple("".join(p) for p in parts)
 
 
 def lexical_masks(text: Column, profile: Column) -> Column:

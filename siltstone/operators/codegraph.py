@@ -100,10 +100,12 @@ def enrich(findings: DataFrame, nodes: DataFrame, edges: DataFrame, most_hops: i
     names = nodes.select(F.col("id").alias("dst"), F.col("name").alias("_name"))
     used = edges.where("kind = 'imports'").select("src", "dst").distinct().join(names, "dst").select(F.substring("src", 6, 1 << 30).alias("file"), "_name")
     used = used.groupBy("file").agg(F.array_sort(F.collect_set("_name")).alias("imports"))
-    j = at.join(names.select(F.col("dst").alias("node"), F.col("_name").alias("name")), "node", "left")
+    # Findings outside all functions have nothing to look up and don't meet under one key.
+    inside, outside = at.where("node is not null"), at.where("node is null")
+    j = inside.join(names.select(F.col("dst").alias("node"), F.col("_name").alias("name")), "node", "left")
     for side in (degrees_of_calls(edges), hops, first_neighbours(edges, "dst", "src").withColumnRenamed("near", "callers"), first_neighbours(edges, "src", "dst").withColumnRenamed("near", "callees")):
         j = j.join(side, "node", "left")
-    j = j.join(used, "file", "left")
+    j = j.unionByName(outside, allowMissingColumns=True).join(used, "file", "left")
     none = F.array().cast("array<string>")
     fans = {c: F.coalesce(c, F.lit(0)) for c in ("fan_in", "fan_out")}
     return j.select("fid", F.col("node").alias("function"), "name", *(c.alias(n) for n, c in fans.items()), "hops", *(F.coalesce(c, none).alias(c) for c in ("callers", "callees", "imports")), priority(fans["fan_in"], F.col("hops")).alias("priority"))
