@@ -2,13 +2,16 @@
 
 Every block element and every block of text is a node with two states, content and boilerplate. A node's own potential
 comes from discrete features (tag with the share of linked text below it, words of class and id, text length, share of
-links, sentence end); a potential on each parent-child edge depends on the kind of the parent. Sum-product messages go
+links, sentence end, a box's share of the page's text, and what the ancestors of a text are marked as); a potential on each parent-child edge depends on the
+kind of the parent, so that what is marked as no content says so to all below it, while a box that only lays out other
+boxes says nothing. Sum-product messages go
 up and then down the tree, which gives the exact marginal of every node; the blocks of text whose content marginal is
 over a half are the result, in page order.
 
 The potentials are counts from labelled pages: pages of a bounded sample (``MAX_PAGES`` with the least hash of their
-id) that mark their article. On half of them the mark and all class words are hidden from the features, so that what
-is learned is not the labels' own rule. Fixed pseudo-counts say what tags and class names mean before any page is seen;
+id) that mark their article and hold half of their text in it. The label is the mark alone: what lies in it is content, but for nested menus and the like;
+what holds it has no label, and neither has what its class calls no content inside it. On half of the pages the mark and
+all class words are hidden from the features, so that what is learned is not the labels' own rule. Fixed pseudo-counts say what tags and class names mean before any page is seen;
 counts outweigh them as they grow, up to a bound for each feature. A feature that was never seen keeps its pseudo-counts:
 a list without links is not judged by the menus. What is collected and broadcast is one count per feature value.
 Pages are read where they lie and never shuffled. ``held_out_f1`` measures the model on labelled pages that it was not
@@ -35,14 +38,14 @@ from pyspark.sql import functions as F
 
 MAX_PAGES = 2_000
 #: Log odds of one feature at most, by kind, and the share of sampled pages (by hash of their id) that only measure.
-MOST_ODDS, HELD_OUT = {"tag": 4.0, "class": 4.0, "text": 2.0}, 5
+MOST_ODDS, HELD_OUT = {"tag": 4.0, "class": 8.0, "text": 2.0, "under": 4.0, "share": 2.0}, 5
 
 #: Elements of HTML by their role in a page.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title select option button".split())
+RAW = frozenset("script style template iframe textarea title select option button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
-    "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
@@ -52,7 +55,7 @@ FENCES = frozenset("table ul ol dl td th article section main aside nav div body
 #: Pseudo-counts (content, boilerplate) of feature values.
 TAG_HINTS = {
     "nav": (0.2, 12), "footer": (0.2, 12), "aside": (0.2, 12), "form": (0.2, 12), "menu": (0.2, 12), "dialog": (0.2, 12), "header": (0.4, 8), "head": (0.2, 12), "fieldset": (0.2, 12),
-    "article": (15, 0.3), "main": (10, 0.7), "p": (4, 2), "h1": (4, 2), "h2": (3, 2), "h3": (3, 2), "blockquote": (4, 1), "pre": (4, 1), "body": (1, 20), "html": (1, 20), "ul": (2, 2), "li": (2, 2),
+    "noscript": (1, 3), "article": (15, 0.3), "main": (10, 0.7), "p": (4, 2), "h1": (4, 2), "h2": (3, 2), "h3": (3, 2), "blockquote": (4, 1), "pre": (4, 1), "body": (1, 20), "html": (1, 20), "ul": (2, 2), "li": (2, 2),
 }
 BAD_WORDS = (
     "ad ads advert advertisement adsbygoogle banner breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent disqus foot footer form gdpr hero-nav login masthead menu modal nav navbar "
@@ -60,6 +63,14 @@ BAD_WORDS = (
 ).split()
 GOOD_WORDS = "article body content entry main post story text articlebody prose".split()
 CLASS_HINTS = {"bad": (0.2, 20), "good": (8, 2), "none": (3, 3)}
+UNDER_HINTS = {"bad": (0.2, 20), "good": (6, 2)}
+SHARE_HINTS = ((2, 3), (2, 2), (3, 2))  # of a box that holds less than a tenth, less than half, or more of the page's text
+#: Elements that are no content by themselves, those that say so of all below them, and what only lays out.
+NO_CONTENT = frozenset("nav aside footer form menu dialog header fieldset".split())
+NEVER_BELOW = frozenset("nav aside footer menu dialog".split())
+BOXES = frozenset("div section main center td article".split())
+#: A class word that begins so is about the layout ("has-sidebar").
+ABOUT_LAYOUT = re.compile(r"^(?:has|with|without|no|is|show|hide)[-_]")
 
 TOKEN = re.compile(r"<!--|<[!?]|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -214,7 +225,7 @@ def class_group(rest: str) -> str:
         if name == "hidden" and not m[2] or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "role" and value in ROLES:
             return "bad"
         if name in ("class", "id"):
-            words = value.split()
+            words = [w for w in value.split() if not ABOUT_LAYOUT.match(w)]
             parts = {p for w in words for p in re.split(r"[-_]+", w)} | set(words)
             if parts & _BAD:
                 return "bad"
@@ -229,6 +240,20 @@ def link_share(linked: int, n: int) -> int:
     return 0 if linked * 5 < n or not n else 1 if linked * 5 < 3 * n else 2
 
 
+def unders(page: Page, hide_mark: bool = False) -> list[str]:
+    """What the ancestors of each node are marked as: bad if any is, else good if any is, else none. The page's own
+    elements (body and above) are not asked."""
+    out = ["none"] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        p = page.parent[i]
+        tag, group = page.tag[p], "none" if hide_mark else page.group[p]
+        if out[p] == "bad" or tag in NEVER_BELOW or group == "bad" and tag not in TOP:
+            out[i] = "bad"
+        elif out[p] == "good" or not hide_mark and (tag in ("article", "main") or group == "good" and tag not in TOP):
+            out[i] = "good"
+    return out
+
+
 def features(page: Page, hide_mark: bool = False) -> list[tuple]:
     """Per node its feature values; hidden marks: no article or main, and no words of class, id or role."""
     out = []
@@ -238,35 +263,67 @@ def features(page: Page, hide_mark: bool = False) -> list[tuple]:
             total[i], linked[i] = len(page.text[i]), page.linked[i]
         total[page.parent[i]] += total[i]
         linked[page.parent[i]] += linked[i]
+    under = unders(page, hide_mark)
     for i, (tag, group) in enumerate(zip(page.tag, page.group, strict=True)):
         links = link_share(linked[i], total[i])
         if tag == "#text":
             n = total[i]
             size = 0 if n < 20 else 1 if n < 60 else 2 if n < 200 else 3
-            out.append((("text", size, links, page.text[i][-1] in ".!?:;\"'”»)…"),))
+            own = ("text", size, links, page.text[i][-1] in ".!?:;\"'”»)…")
+            out.append((own,) if under[i] == "none" else (own, ("under", under[i])))  # no mark above says nothing
         else:
             shown = "div" if hide_mark and tag in ("article", "main") else tag
-            out.append((("tag", shown, links), ("class", "none" if hide_mark else group)))
+            own = (("tag", shown, links), ("class", "none" if hide_mark else group))
+            share = 0 if total[i] * 10 < total[0] else 1 if total[i] * 2 < total[0] else 2
+            out.append((*own, ("share", share)) if shown in BOXES else own)
     return out
 
 
-def edge_kind(page: Page, parent: int) -> str:
-    tag = page.tag[parent]
-    return "top" if tag in ("#root", "html", "body") else "box" if tag in ("div", "section", "main", "center", "td") else "part"
+TOP = ("#root", "html", "body")
 
 
-def labels(page: Page) -> list[bool] | None:
-    """Content flags of the nodes of a page that marks its article; None for other pages."""
-    if "article" not in page.tag and "main" not in page.tag:
-        return None
-    mark = "article" if "article" in page.tag else "main"
-    inside, out = [False] * len(page.tag), [False] * len(page.tag)
-    bad = [False] * len(page.tag)
+def edge_kinds(page: Page, hide_mark: bool = False) -> list[str]:
+    """The kind of each node as a parent: bad by its mark, top of the page, a box that holds boxes only, a box, or a part."""
+    holds_text, holds_box = [False] * len(page.tag), [False] * len(page.tag)
     for i in range(1, len(page.tag)):
+        holds_box[page.parent[i]] |= page.tag[i] in BOXES
+        holds_text[page.parent[i]] |= page.tag[i] not in BOXES and page.tag[i] not in NO_CONTENT
+    out = []
+    for tag, group, text, box in zip(page.tag, page.group, holds_text, holds_box, strict=True):
+        if tag in TOP:
+            out.append("top")
+        elif tag in NEVER_BELOW or group == "bad" and not hide_mark:
+            out.append("bad")
+        elif tag in BOXES:
+            out.append("wrap" if box and not text else "box")
+        else:
+            out.append("part")
+    return out
+
+
+def labels(page: Page) -> list[bool | None] | None:
+    """Content flags of the nodes of a page that marks its article; None for other pages.
+
+    The mark is the article, else the main element, with the most text, if that is half of the page's text at least. A
+    node that holds the mark has no flag, nor has what is called no content by its class inside the mark."""
+    n = len(page.tag)
+    total = [len(page.text.get(i, "")) for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        total[page.parent[i]] += total[i]
+    largest = (max((i for i in range(n) if page.tag[i] == tag), key=lambda i: (total[i], -i), default=None) for tag in ("article", "main"))
+    mark = next((i for i in largest if i is not None and 2 * total[i] >= total[0]), None)
+    if mark is None:
+        return None
+    inside, gone, unsure, out = [False] * n, [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
         p = page.parent[i]
-        bad[i] = bad[p] or page.group[i] == "bad" or page.tag[i] in ("nav", "aside", "footer", "form", "menu", "dialog", "header", "fieldset")
-        inside[i] = inside[p] or page.tag[i] == mark
-        out[i] = inside[i] and not bad[i]
+        inside[i] = inside[p] or i == mark
+        gone[i] = gone[p] or page.tag[i] in NO_CONTENT
+        unsure[i] = unsure[p] or page.group[i] == "bad"
+        out[i] = False if gone[i] or not inside[i] else None if unsure[i] else True
+    holder = page.parent[mark]
+    while holder >= 0:
+        out[holder], holder = None, page.parent[holder]
     return out
 
 
@@ -275,11 +332,18 @@ def count_page(source: str | None, hide_mark: bool, into: Counter) -> None:
     truth = labels(page)
     if truth is None:
         return
+    kinds = edge_kinds(page, hide_mark)
     for i, f in enumerate(features(page, hide_mark)):
+        if truth[i] is None:
+            continue
         for value in f:
             into["own", repr(value), truth[i]] += 1
-        if i:
-            into["edge", edge_kind(page, page.parent[i]) + ("+" if truth[page.parent[i]] else "-"), truth[i]] += 1
+        if i and truth[page.parent[i]] is not None:
+            into["edge", kinds[page.parent[i]] + ("+" if truth[page.parent[i]] else "-"), truth[i]] += 1
+
+
+#: Pseudo-counts of a child in its parent's state against one in the other, and the least share of either, by kind.
+EDGES = {"top": (6.0, 0.01), "wrap": (2.0, 0.1), "box": (30.0, 0.01), "part": (30.0, 0.01), "bad": (200.0, 0.0001)}
 
 
 class Model:
@@ -292,17 +356,16 @@ class Model:
         # As many of each state for every kind of feature: a potential is a likelihood, not a share of the sample.
         self.seen = {kind: [sum(c for (own, value, y), c in counts.items() if own == "own" and value.startswith(kind) and y == state) for state in (False, True)] for kind in kinds}
         self.edges = {}
-        for kind in ("top", "box", "part"):
+        for kind, (same, least) in EDGES.items():
             for parent in (False, True):
-                same = 30.0 if kind != "top" or parent else 6.0
                 c = [counts.get(("edge", kind + ("+" if parent else "-"), y), 0) + (same if y == parent else 1.0) for y in (False, True)]
-                self.edges[kind, parent] = tuple(math.log(max(x / sum(c), 0.01)) for x in c)
+                self.edges[kind, parent] = tuple(math.log(max(x / sum(c), least)) for x in c)
 
     def potential(self, value: tuple) -> tuple[float, float]:
         """(boilerplate, content) of a feature value."""
         found = self.own.get(value)
         if found is None:
-            good, bad = TAG_HINTS.get(value[1], (1, 1)) if value[0] == "tag" else CLASS_HINTS[value[1]] if value[0] == "class" else (1.0 + value[1], 2.0 + 2 * value[2])
+            good, bad = TAG_HINTS.get(value[1], (1, 1)) if value[0] == "tag" else CLASS_HINTS[value[1]] if value[0] == "class" else UNDER_HINTS[value[1]] if value[0] == "under" else SHARE_HINTS[value[1]] if value[0] == "share" else (1.0 + value[1], 2.0 + 2 * value[2])
             key = repr(value)
             no, yes = self.seen.get(key.partition(",")[0], (0, 0))
             if no and yes:
@@ -322,10 +385,11 @@ class Model:
                 own[i][0] += a
                 own[i][1] += b
         belief = [x[:] for x in own]
+        kinds = edge_kinds(page, hide_mark)
         up = [(0.0, 0.0)] * n
         for i in range(n - 1, 0, -1):
             p = page.parent[i]
-            kind = edge_kind(page, p)
+            kind = kinds[p]
             message = []
             for state in (0, 1):
                 e = self.edges[kind, bool(state)]
@@ -335,7 +399,7 @@ class Model:
             belief[p][1] += message[1]
         for i in range(1, n):
             p = page.parent[i]
-            kind = edge_kind(page, p)
+            kind = kinds[p]
             rest = (belief[p][0] - up[i][0], belief[p][1] - up[i][1])
             top = max(rest)
             e0, e1 = self.edges[kind, False], self.edges[kind, True]
@@ -397,6 +461,8 @@ def held_out_f1(pages: DataFrame, model: Model, max_pages: int = MAX_PAGES, seed
                 if truth is not None:
                     content = shared.value.marginals(page, hide_mark=True)
                     for i, text in page.text.items():
+                        if truth[i] is None:
+                            continue
                         sums[0] += len(text) * (truth[i] and content[i] > 0.5)
                         sums[1] += len(text) * truth[i]
                         sums[2] += len(text) * (content[i] > 0.5)
