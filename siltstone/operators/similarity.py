@@ -109,32 +109,49 @@ def _brought_together(vectors: DataFrame, least: float, schema: str, of) -> Data
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
-    """Pairs (label, a, b, cosine), a < b, of vectors (id, label, vec) of one label with a cosine of at least ``least``.
+def classes(vectors: DataFrame, place: list[str]) -> DataFrame:
+    """Equal vectors of a label (and place) as one row under their least id."""
+    return vectors.where("label is not null and vec is not null").groupBy("label", "vec", *place).agg(F.min("id").alias("id"))
+
 
-    Where the vectors have a place (file, start, end), a unit and one inside it are no pair. Null labels, vectors that
-    are null, zero or hold nulls have no pairs; rows that share an id are no pair of each other. All vectors have one length.
+def similar_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs (label, a, b, cosine, copy), a < b, of vectors (id, label, vec) of one label with a cosine of at least
+    ``least``.
+
+    Equal vectors are a class under their least id: pairs are those between classes (copy is false), and each further
+    member is a pair with its class (copy is true), so a thousand copies are a thousand rows and not their square. Where
+    the vectors have a place (file, start, end), a unit and one inside it are no pair, and equal vectors at one place are
+    one unit. Null labels, vectors that are null, zero or hold nulls have no pairs; rows that share an id are no pair of
+    each other. All vectors have one length.
     """
     place = [c for c in PLACE if c in vectors.columns]
+    place = place if len(place) == 3 else []
     kind, label = vectors.schema["id"].dataType.simpleString(), vectors.schema["label"].dataType.simpleString()
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame, at, of, cosine, _) -> pd.DataFrame:
         x, y = a.iloc[at].reset_index(drop=True), b.iloc[of].reset_index(drop=True)
-        out = pd.DataFrame({"label": x["label"], "a": x["id"], "b": y["id"], "cosine": np.round(cosine, 6)})
+        out = pd.DataFrame({"label": x["label"], "a": x["id"], "b": y["id"], "cosine": np.round(cosine, 6), "copy": False})
         keep = out["a"] != out["b"]
-        if len(place) == 3:
+        if place:
             inside = lambda u, v: (u["start"] <= v["start"]) & (v["end"] <= u["end"])
             keep &= ~((x["file"] == y["file"]) & (inside(x, y) | inside(y, x)))
         turned = out["a"] > out["b"]
         out.loc[turned, ["a", "b"]] = out.loc[turned, ["b", "a"]].to_numpy()
         return out[keep]
 
-    schema = f"label {label}, a {kind}, b {kind}, cosine double"
-    found = _brought_together(vectors.select("id", "label", "vec", *place), least, schema, pairs)
-    return vectors.sparkSession.createDataFrame([], schema) if found is None else found
+    schema = f"label {label}, a {kind}, b {kind}, cosine double, copy boolean"
+    own = cut(classes(vectors, place))
+    found = _brought_together(own, least, schema, pairs)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if place:
+        return found
+    rows = vectors.where(F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull())).select("label", "vec", F.col("id").alias("b"))
+    copies = rows.join(own.withColumnRenamed("id", "a"), ["label", "vec"]).where("a < b")
+    return found.unionByName(copies.select("label", "a", "b", F.lit(1.0).alias("cosine"), F.lit(True).alias("copy")))
 
 
 def multiplied(vectors: DataFrame, least: float = 0.9) -> int:
     """How many pairs the same search multiplies out, for a look at what the bounds save."""
-    found = _brought_together(vectors.select("id", "label", "vec"), least, "n long", lambda a, b, at, of, cosine, n: pd.DataFrame({"n": [n]}))
+    found = _brought_together(cut(classes(vectors, [])), least, "n long", lambda a, b, at, of, cosine, n: pd.DataFrame({"n": [n]}))
     return 0 if found is None else found.agg(F.sum("n")).first()[0] or 0

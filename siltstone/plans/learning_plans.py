@@ -35,11 +35,16 @@ def m4(t):
     return t.embeddings.groupBy("label").agg(ln.k_for(F.count("*")).alias("k"))
 
 
-@query("j18_similar_pairs", f"WITH s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({DOT} / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE NOT (a.vec_id % 4 = b.vec_id % 4 AND (a.vec_id % 9 <= b.vec_id % 9 AND b.vec_id % 9 + b.vec_id % 5 <= a.vec_id % 9 + a.vec_id % 5 OR b.vec_id % 9 <= a.vec_id % 9 AND a.vec_id % 9 + a.vec_id % 5 <= b.vec_id % 9 + b.vec_id % 5))) SELECT label, a, b FROM s WHERE cosine >= 0.9")
+@query("j18_similar_pairs", f"WITH c AS (SELECT label, min(vec_id) AS vec_id, embedding FROM embeddings WHERE label IS NOT NULL GROUP BY label, embedding), s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({DOT} / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM c a JOIN c b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, a, b, false AS copy FROM s WHERE cosine >= 0.9 UNION ALL SELECT e.label, c.vec_id, e.vec_id, true FROM embeddings e JOIN c ON e.label = c.label AND e.embedding = c.embedding AND e.vec_id > c.vec_id")
 def j18(t):
-    """Units of four files with ranges of lines, of which some lie inside others."""
-    k = F.col("id")
-    return similar_pairs(vectors(t).withColumn("file", k % 4).withColumn("start", k % 9).withColumn("end", k % 9 + k % 5)).select("label", "a", "b")
+    """Pairs between classes of equal vectors, and the members of each class."""
+    return similar_pairs(vectors(t)).select("label", "a", "b", "copy")
+
+
+@query("j18_pairs_at_least_a_third", f"WITH c AS (SELECT label, min(vec_id) AS vec_id, embedding FROM embeddings WHERE label IS NOT NULL GROUP BY label, embedding) SELECT label, a, b FROM (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({DOT} / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM c a JOIN c b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE cosine >= 0.3333")
+def j18_low(t):
+    """The pairs between classes at a limit that the given vectors reach."""
+    return similar_pairs(vectors(t), 0.3333).where("not copy").select("label", "a", "b")
 
 
 CENTRE = "d AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, dim, avg(x) AS x FROM d GROUP BY ALL), dist AS (SELECT vec_id, d.label, sqrt(sum((d.x - c.x) * (d.x - c.x))) AS distance FROM d JOIN c ON d.label = c.label AND d.dim = c.dim GROUP BY ALL)"

@@ -212,11 +212,19 @@ def test_similar_pairs_lose_none(spark, monkeypatch, tile):
     centres = rng.standard_normal((20, 16))
     rows = [(i, int(i % 3), (centres[rng.integers(20)] * rng.uniform(0.5, 2) + rng.standard_normal(16) * rng.choice([0.1, 0.3])).tolist()) for i in range(600)]
     rows += [(600, 0, [0.0] * 16), (601, None, rows[0][2]), (602, 0, None), (603, 0, rows[0][2])]
+    rows += [(700 + i, 1, rows[1][2]) for i in range(50)]
     df = spark.createDataFrame(rows, "id int, label int, vec array<double>")
-    usable = [(i, y, np.array(v) / np.linalg.norm(v)) for i, y, v in rows if y is not None and v is not None and any(v)]
+    first = {}
+    for i, y, v in rows:
+        if y is not None and v is not None and any(v):
+            first.setdefault((y, tuple(v)), []).append(i)
+    usable = [(min(ids), y, np.array(v) / np.linalg.norm(v)) for (y, v), ids in first.items()]
+    copies = {(y, min(ids), i) for (y, _), ids in first.items() for i in ids if i != min(ids)}
     want = {(y, a, b): round(float(u @ v), 6) for (a, y, u), (b, z, v) in itertools.combinations(usable, 2) if y == z and round(float(u @ v), 6) >= 0.9}
-    got = {(r.label, r.a, r.b): r.cosine for r in similarity.similar_pairs(df).collect()}
+    found = similarity.similar_pairs(df).collect()
+    got = {(r.label, r.a, r.b): r.cosine for r in found if not r.copy}
     assert got == pytest.approx(want, abs=2e-6) and len(want) > 1000
+    assert {(r.label, r.a, r.b) for r in found if r.copy} == copies and len(copies) == 51 and len(found) == len(want) + 51
     per_label = Counter(y for _, y, _ in usable)
     assert similarity.multiplied(df) < 2 * len(want) < sum(n * (n - 1) / 2 for n in per_label.values())
     nested = df.withColumn("file", F.lit(1)).withColumn("start", F.col("id")).withColumn("end", F.lit(1000))
