@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, with DataFrame expressions only.
 
-Words are cut into blocks of equal size. All blocks of the mix are dealt to sources by highest quotients
-``target / (2k + 1)``, and each source's blocks to its shards in the same way by the shards' words, so every shard
-has an integer quota that it can fill alone. Inside a shard the documents lie in a seeded order, end to end; a quota
+Words are cut into blocks of equal size, some ``DEALT`` for the whole mix. All blocks are dealt to sources by highest
+quotients ``target / (2k + 1)``; sources with less than ``BLOCKS`` of them stand there as one party, and what that party
+wins is dealt among them in the same way in blocks ``BLOCKS`` times smaller, and so on down to single words. Each source's
+blocks are dealt to its shards in the same way by the shards' words, so every shard has an integer quota that it can fill
+alone. Inside a shard the documents lie in a seeded order, end to end; a quota
 of q over n blocks takes every block ``q div n`` times and, once more, the ``q mod n`` blocks with the least seeded
-hashes of (source, shard, block). A document takes what its blocks take. A source whose target is less than
-``BLOCKS`` blocks has smaller blocks of its own, as many as that; they bear on no other source.
+hashes of (source, shard, block). A document takes what its blocks take.
 
 Work at scale: one pass over the texts gives their sizes; all else works on (id, source, size). Highest quotients
 need no list of all quotients: the seats of a party lie within a known distance of its share, so each party lists
@@ -29,8 +30,10 @@ from siltstone.llm.scratch import Scratch
 
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 SHARD_WORDS, MOST_SHARDS = 1 << 16, 1 << 20
-#: Blocks of a shard, about, and of a source at least.
-BLOCKS = 256
+#: Blocks of the mix, about; blocks of a source at least, where it is not one of a party; sources ranked in one place.
+DEALT, BLOCKS, RANKED = 1 << 20, 256, 50_000
+#: Halvings of the range of quotients at most; a double has no more bits.
+HALVINGS = 200
 #: Rows of the source table that are broadcast at most.
 BROADCAST_ROWS = 100_000
 #: Rounds of sharing an excess; each binds a further cap, most of them many.
@@ -92,22 +95,67 @@ def apportion(parties: DataFrame, seats: Column, votes: str, within: list[str],
     return ranked.groupBy(*keys).agg((F.min("_low") + F.sum(won.cast("long"))).alias("quota"))
 
 
+def dealt(parties: DataFrame, seats: int, votes: str, order: list[Column]) -> DataFrame:
+    """Adds ``quota``: ``seats`` dealt to all rows by Sainte-Laguë; the same as ``apportion`` without groups.
+
+    A party's seats are the number of its quotients above some level. The level is closed in from both sides by sums over
+    the table until the parties whose seats still differ between the two are few; those alone are ranked.
+    """
+    n, total = parties.agg(F.count_if(F.col(votes) > 0), F.sum(votes)).first()
+    if n <= RANKED or seats <= 0:
+        return apportion(parties, F.lit(seats).cast("long"), votes, [], order)
+    won = lambda level: F.when(F.col(votes) > 0, F.floor(F.col(votes) / F.lit(2 * level) + 0.5)).otherwise(F.lit(0)).cast("long")
+    low, high = total / (2 * seats + 2 * n + 2), 2 * total  # of quotients: at the low one too many are dealt, at the high one none
+    for _ in range(HALVINGS):
+        middle = (low * high) ** 0.5 if high > 4 * low else (low + high) / 2
+        if not low < middle < high:
+            break
+        got, near_low, near_high = parties.agg(F.sum(won(middle)), F.count_if(won(low) != won(middle)), F.count_if(won(middle) != won(high))).first()
+        low, high, near = (middle, high, near_high) if got >= seats else (low, middle, near_low)
+        if near <= RANKED:
+            break
+    sure = parties.withColumn("_sure", won(high))
+    left = seats - (sure.agg(F.sum("_sure")).first()[0] or 0)
+    open_ = sure.withColumn("_most", won(low)).where("_most > _sure").withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)))
+    ranked = open_.withColumn("_rank", F.row_number().over(W.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), *order, "_k"))).where(F.col("_rank") <= left)
+    more = ranked.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_more"))
+    return sure.join(more, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("quota", F.col("_sure") + F.coalesce("_more", F.lit(0))).drop("_sure", "_source", "_more")
+
+
+def source_quotas(targets: DataFrame, total: float, scratch: Scratch) -> DataFrame:
+    """Adds block (its words) and quota (in blocks) to sources (source, source_size, target).
+
+    All sources are in one deal: those with too few blocks for a near quota are one party of it, and share what it wins in
+    a deal of their own with smaller blocks. Sources without words have no blocks.
+    """
+    words, given = max(1, int(total // DEALT)), int(round(total))
+    order = [F.col("pool").cast("int"), F.col("source").asc_nulls_last()]
+    kind = targets.schema["source"].dataType
+    left, out, level = targets.withColumn("pool", F.lit(False)), None, 0
+    while True:
+        seats = int(round(given / words))
+        alone = left.where((F.col("target") >= words * BLOCKS) | F.lit(words == 1))
+        small = left.where((F.col("target") < words * BLOCKS) & F.lit(words > 1))
+        pool = small.agg(F.lit(None).cast(kind).alias("source"), F.sum("source_size").alias("source_size"), F.sum("target").alias("target"), F.lit(True).alias("pool")).where("target > 0")
+        found = scratch.keep(dealt(alone.unionByName(pool), seats, "target", order).withColumn("block", F.lit(words).cast("long")), f"deal-{level}")
+        out = found.where("not pool") if out is None else out.unionByName(found.where("not pool"))
+        won = found.where("pool").agg(F.sum("quota")).first()[0]
+        if words == 1:
+            return out.drop("pool")
+        if won is None:  # nothing is pooled but sources without words
+            return out.unionByName(small.withColumn("quota", F.lit(0).cast("long")).withColumn("block", F.lit(words).cast("long"))).drop("pool")
+        given, words, left, level = won * words, max(1, words // BLOCKS), small, level + 1
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES, seed: int = 2024) -> DataFrame:
     """doc_id, source, size, source_size, target, shard, taken."""
     scratch = Scratch(docs.sparkSession)
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sizes = scratch.keep(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw.alias("draw")), "sizes")
     targets, facts = scratch.measured(source_targets(sizes, scratch, weights, share, most_times), "shares", total=F.sum("target"))
-    shard_words = max(SHARD_WORDS, int((facts["total"] or 0) // MOST_SHARDS))
-    words = max(1, shard_words // BLOCKS)
-    own = F.greatest(F.lit(1), F.floor(F.col("target") / BLOCKS)).cast("long")
-    block = F.when(F.col("target") >= words * BLOCKS, F.lit(words).cast("long")).otherwise(own)
-    is_large = F.col("target") >= words * BLOCKS
-    targets, facts = scratch.measured(targets.withColumn("block", block), "targets", large=F.sum(F.when(is_large, F.col("target"))))
-    seats = F.lit(round((facts["large"] or 0) / words)).cast("long")
-    large = apportion(targets.where(is_large), seats, "target", [], [F.col("source").asc_nulls_last()])
-    small = targets.where(~is_large).withColumn("quota", F.round(F.col("target") / F.col("block")).cast("long"))
-    sources = large.unionByName(small).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long")).withColumnRenamed("quota", "source_quota")
+    total = facts["total"] or 0
+    shard_words = max(SHARD_WORDS, int(total // MOST_SHARDS))
+    sources = source_quotas(targets, total, scratch).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long")).withColumnRenamed("quota", "source_quota")
     sources, facts = scratch.measured(sources, "sources")
 
     side = sources.withColumnRenamed("source", "name")

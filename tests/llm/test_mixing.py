@@ -71,6 +71,54 @@ def test_highest_quotients(spark, seed):
     assert got == {p: want[p] for p, _ in votes}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_deal_by_halving_is_the_same(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    votes = [(f"s{i}", float(rng.choice([0, 1, 5, 1000, 1000, rng.randint(1, 10**6)]))) for i in range(60)] + [(None, 7.0)]
+    df = spark.createDataFrame(votes, "source string, v double")
+    order = [F.col("source").asc_nulls_last()]
+    for seats in (1, 40, 777, 10**7):
+        want = {r.source: r.quota for r in mixing.apportion(df, F.lit(seats).cast("long"), "v", [], order).collect()}
+        monkeypatch.setattr(mixing, "RANKED", 3)
+        assert {r.source: r.quota for r in mixing.dealt(df, seats, "v", order).collect()} == want and sum(want.values()) == seats
+        monkeypatch.undo()
+
+
+def test_all_sources_are_in_one_deal(spark):
+    """At the default sizes, on the given tables: quotas of all sources and shards come from highest quotients."""
+    seen = []
+    for sf in ("sf0.001", "sf0.01"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+        total = sum(r.target for r in got)
+        votes, quota = {r.source: r.target for r in got}, Counter()
+        heap = [(-v, s or "", s, 0) for s, v in votes.items() if v > 0]
+        heapq.heapify(heap)
+        assert total < mixing.DEALT  # a block is a word
+        for _ in range(round(total)):
+            _, name, s, k = heapq.heappop(heap)
+            quota[s] += 1
+            heapq.heappush(heap, (-votes[s] / (2 * k + 3), name, s, k + 1))
+        assert {r.source: r.taken for r in got} == {s: quota[s] for s in votes}
+        seen.append(len(got))
+    assert min(seen) > 3
+
+
+@pytest.mark.parametrize("dealt", [2000, 8000])
+def test_small_sources_share_what_their_party_wins(spark, dealt, monkeypatch):
+    monkeypatch.setattr(mixing, "DEALT", dealt)
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([1, 5, 40]), "en", rng.choice(["big"] * 30 + [f"s{k}" for k in range(12)] + [None]), 0, None, None) for i in range(900)] + [(900, "", "en", "none", 0, None, None)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r["size"]
+    assert len(got) == 901 and all(abs(taken[s] - t) <= max(3, 0.05 * t) for s, t in target.items()), (taken, target)
+
+
 def test_native_and_empty(spark):
     df = spark.createDataFrame(documents(), DOCS)
     assert "Python" not in mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
