@@ -5,7 +5,7 @@ for the next stage, so a lost executor costs a part of one stage. All stages but
 documents. Rows are told apart by a key of their own, not by doc_id, which may be null or shared.
 
 Defined cases, of all stages: documents with null or empty texts are clean, no near duplicates (of those with one id, one
-stays), not contaminated and have nothing to redact; they reach the mix with size 0. Null and shared ids are safe, as
+stays, as rows of one id without words are copies of one document), not contaminated and have nothing to redact; they reach the mix with size 0. Null and shared ids are safe, as
 rows have their own keys. A very long text is read whole by every stage. Repeated rows are near duplicates of each
 other, so one stays; of ties the least doc_id, then the first row. An empty table of documents gives an empty mix, empty
 labels keep all documents, an empty benchmark keeps all. Further columns of documents, whatever their names, pass
@@ -100,9 +100,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        mark = len(Scratch.opened)
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
-        Scratch.clear_since(mark)
+        with Scratch.owned():  # a stage's own tables go once its result is written
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
         if i:
             scratch.drop(f"stage-{i - 1}")
     return docs
