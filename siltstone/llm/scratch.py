@@ -8,7 +8,9 @@ machines see, and the operator says so instead of taking a local one.
 from __future__ import annotations
 
 import uuid
-from typing import ClassVar
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,26 +23,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What the owner around the running code has to clear, if there is one.
+_held: ContextVar[list[Scratch] | None] = ContextVar("held", default=None)
+
+
 class Scratch:
     """Writes tables under one folder and removes those that are no longer needed.
 
-    What an operator's result still reads stays; who has written the result can clear all that was opened since a mark.
+    What an operator's result still reads stays. Who writes that result opens ``owned`` around it and clears what was
+    opened inside; an owner is seen by its own thread only, so runs beside each other never clear each other's tables.
     """
 
-    opened: ClassVar[list[Scratch]] = []
-
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
         self.names: list[str] = []
-        Scratch.opened.append(self)
-
-    @classmethod
-    def clear_since(cls, mark: int) -> None:
-        """Removes the tables of all that was opened after the first ``mark`` ones."""
-        for scratch in cls.opened[mark:]:
-            scratch.drop_all_but()
-        del cls.opened[mark:]
+        if (held := _held.get()) is not None:
+            held.append(self)
+
+    @staticmethod
+    @contextmanager
+    def owned() -> Iterator[None]:
+        """All that is opened inside is cleared at the end, also after an error."""
+        held: list[Scratch] = []
+        token = _held.set(held)
+        try:
+            yield
+        finally:
+            _held.reset(token)
+            for scratch in held:
+                scratch.drop_all_but()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"

@@ -94,3 +94,34 @@ def test_null_and_shared_ids(spark, tmp_path):
     got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert got.columns == [x.split()[0] for x in SCHEMA.split(", ")]
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("None", f), ("3", a), ("4", b), ("None", "")])
+
+
+def test_owners_in_threads_clear_only_their_own(spark):
+    """Two runs at once: each clears what it opened, and nothing that the other still reads."""
+    import threading
+
+    from siltstone.llm.scratch import Scratch
+
+    opened, ready, results = {}, threading.Barrier(2), {}
+
+    def work(name: str) -> None:
+        with Scratch.owned():
+            opened[name] = Scratch(spark)
+            kept = opened[name].keep(spark.range(10), "t")
+            ready.wait(60)
+            if name == "b":
+                done.wait(60)  # until the other has cleared
+            results[name] = kept.count()
+        done.set()
+
+    done = threading.Event()
+    threads = [threading.Thread(target=work, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert results == {"a": 10, "b": 10} and not opened["a"].names and not opened["b"].names
+    outside = Scratch(spark)
+    outside.keep(spark.range(1), "t")
+    assert outside.names == ["t"]
+
