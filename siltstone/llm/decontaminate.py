@@ -9,7 +9,9 @@ as hit, and each text takes the window's items once. Matches that follow each ot
 longest verbatim match of the text and the item. Nothing is shuffled: the texts stay where they are read.
 
 The benchmark is a stated query set. It goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, and one pass over
-the texts searches all of them.
+the texts searches as many of them as hold ``PASS_WORDS`` words together (some 200 bytes a word in each task). A larger
+benchmark takes more passes over texts with a key of their own; each leaves only the texts that it found something in,
+with the places that were hit, and their union is the result.
 
 Defined cases: null and empty texts have no words and are never contaminated; a very long text is a shard of its own;
 null or wordless items match nothing; null item ids are left out of the ids but their words count as hit; repeated rows
@@ -19,17 +21,21 @@ each get a result; an empty table gives no rows. Columns of the inputs other tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.scratch import Scratch
 from siltstone.llm.words import NOT_ALNUM, Words, chunks, combine
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS, PASS_WORDS = 2_000_000, 4_000_000
 
+PLACE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+FOUND = "_row long, items array<long>, matches array<struct<item_id:long,doc_start:long,item_start:long,n_words:long>>, hits array<struct<start:long,end:long>>"
 RESULT = "doc_id long, n_words long, n_hit long, items array<long>, matches array<struct<item_id:long,doc_start:long,item_start:long,n_words:long>>"
 SPAN = pa.struct([("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])
 
@@ -122,8 +128,9 @@ def spread(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def shard_hits(raws: list[bytes], blocks: list[Queries]) -> Iterator[tuple[int, int, list, list]]:
-    """Per text of the shard: words, hit words, item ids found, longest matches (item id, doc_start, item_start, words)."""
+def shard_hits(raws: list[bytes], blocks: list[Queries]) -> Iterator[tuple[int, int, list, list, list]]:
+    """Per text of the shard: words, hit words, item ids found, longest matches (item id, doc_start, item_start, words),
+    and the ranges of words that are hit."""
     words = Words(raws, NOT_ALNUM)
     edge = np.zeros(len(words.start) + 1, np.int64)
     found: list[list[tuple]] = [[] for _ in raws]
@@ -154,10 +161,13 @@ def shard_hits(raws: list[bytes], blocks: list[Queries]) -> Iterator[tuple[int,
         runs = joined(text[own], q.item[held], place[own], q.start[held], q.length[window[own]])
         for t, i, p, s, n in longest(*extended(ids, words.first, q, *runs)):
             found[t].append((q.item_ids[i], p, s, n))
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+    is_hit = np.cumsum(edge[:-1]) > 0
+    covered = np.concatenate([[0], np.cumsum(is_hit)])
     for t in range(len(raws)):
-        hit = int(covered[words.first[t + 1]] - covered[words.first[t]])
-        yield int(words.n[t]), hit, sorted({r[0] for r in found[t] if r[0] is not None}), found[t]
+        a, b = words.first[t], words.first[t + 1]
+        hit = int(covered[b] - covered[a])
+        ends = np.flatnonzero(np.diff(np.concatenate([[False], is_hit[a:b], [False]]))) if hit else np.zeros(0, np.int64)
+        yield int(words.n[t]), hit, sorted({r[0] for r in found[t] if r[0] is not None}), found[t], list(zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True))
 
 
 def joined(text: np.ndarray, item: np.ndarray, place: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -208,10 +218,32 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
     yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def passes(benchmark: DataFrame, block_words: int, pass_words: int) -> Iterator[list[list]]:
+    """The blocks of items, as many at a time as one pass may hold."""
+    held, size = [], 0
+    for block in item_blocks(benchmark, block_words):
+        words = sum(len(t or "") // 2 + 1 for _, t in block)
+        if held and size + words > pass_words:
+            yield held
+            held, size = [], 0
+        held.append(block)
+        size += words
+    yield held
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, pass_words: int | None = None) -> DataFrame:
     """Per document: words, words inside any occurrence of a benchmark window, items found, and the longest verbatim
     match with each of them."""
-    shared = [docs.sparkSession.sparkContext.broadcast(Queries(block, window)) for block in item_blocks(benchmark, block_words)]
+    rounds = passes(benchmark, block_words, PASS_WORDS if pass_words is None else pass_words)
+    blocks, more = next(rounds), next(rounds, None)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if more is None:
+        return _one_pass(docs, blocks, window)
+    return _many_passes(docs, chain([blocks, more], rounds), window)
+
+
+def _one_pass(docs: DataFrame, blocks: list[list], window: int) -> DataFrame:
+    shared = [docs.sparkSession.sparkContext.broadcast(Queries(block, window)) for block in blocks]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [b.value for b in shared]
@@ -219,13 +251,60 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for first, raws in chunks(texts):
                 rows = list(shard_hits(raws, blocks))
-                spans = [[{"item_id": i, "doc_start": p, "item_start": s, "n_words": n} for i, p, s, n in r[3]] for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(raws)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array(spans, pa.list_(SPAN))],
+                    [ids.slice(first, len(raws)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), _spans(rows)],
                     names=["doc_id", "n_words", "n_hit", "items", "matches"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, RESULT)
+    return docs.mapInArrow(search, RESULT)
+
+
+def _spans(rows: list[tuple]) -> pa.Array:
+    return pa.array([[{"item_id": i, "doc_start": p, "item_start": s, "n_words": n} for i, p, s, n in r[3]] for r in rows], pa.list_(SPAN))
+
+
+def _many_passes(docs: DataFrame, rounds: Iterator[list[list]], window: int) -> DataFrame:
+    """The same over one pass after another: what each found is written, and its broadcasts are gone before the next."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    keyed = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = None
+    for i, blocks in enumerate(rounds):
+        shared = [spark.sparkContext.broadcast(Queries(block, window)) for block in blocks]
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks = [b.value for b in shared]
+            for batch in batches:
+                for first, raws in chunks(batch.column(1).to_pylist()):
+                    rows = list(shard_hits(raws, blocks))
+                    some = [k for k, r in enumerate(rows) if r[1]]
+                    rows = [rows[k] for k in some]
+                    hits = pa.array([[{"start": a, "end": b} for a, b in r[4]] for r in rows], pa.list_(PLACE))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raws)).take(pa.array(some, pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), _spans(rows), hits], names=["_row", "items", "matches", "hits"])
+
+        one = scratch.keep(keyed.select("_row", "text").mapInArrow(search, FOUND), f"pass-{i}")
+        found = one if found is None else found.unionByName(one)
+        for b in shared:
+            b.destroy()
+    # A document's own finds are gathered: no more than its words for each pass.
+    all_of = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = found.groupBy("_row").agg(all_of("items"), all_of("matches"), F.array_sort(all_of("hits")).alias("hits"))
+    # Ranges in order: a word counts from where the last range ended, if that is later.
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    union = F.aggregate("hits", start, lambda acc, h: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), h["end"] - F.greatest(acc["end"], h["start"]))).alias("n"), F.greatest(acc["end"], h["end"]).alias("end")))
+    found = scratch.keep(found.select("_row", "items", "matches", union["n"].alias("n_hit")), "found")
+    sizes = keyed.select("_row", "doc_id", "text").mapInArrow(_word_counts, "_row long, doc_id long, n_words long")
+    out = sizes.join(found, "_row", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    kind = found.schema["matches"].dataType.simpleString()
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), empty("items", "array<long>"), empty("matches", kind))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, raws in chunks(batch.column(2).to_pylist()):
+            n = Words(raws, NOT_ALNUM).n
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raws)), batch.column(1).slice(first, len(raws)), pa.array(n, pa.int64())], names=["_row", "doc_id", "n_words"])
 
 
 def contaminated() -> F.Column:

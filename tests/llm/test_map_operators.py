@@ -206,3 +206,18 @@ def test_empty_tables(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     assert decontaminate.find_contamination(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_large_benchmark_takes_several_passes(spark, seed):
+    """The same result, by passes of a few items each: hit words are counted once however many passes hit them."""
+    rng = random.Random(seed)
+    items = [(i, " ".join(f"v{rng.randint(0, 60)}" for _ in range(rng.choice([1, 5, 20, 40])))) for i in range(30)] + [(None, "v1 v2 v3 v4"), (31, None)]
+    docs = [(i, " ".join(f"v{rng.randint(0, 60)}" for _ in range(10)) + " " + " tail ".join(t for _, t in rng.sample(items[:30], 3))) for i in range(40)] + [(7, None), (None, ""), (None, items[3][1])] + [(8, items[0][1] + " " + items[1][1])] * 2
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.find_contamination(df, bench)
+    parts = decontaminate.find_contamination(df, bench, block_words=30, pass_words=90)
+    assert Counter(map(tuple, decontaminate.digest(parts).collect())) == Counter(map(tuple, decontaminate.digest(whole).collect()))
+    key = lambda r: (r.doc_id, r.n_words, r.n_hit, tuple(sorted(map(tuple, r.matches), key=str)))
+    assert Counter(map(key, parts.collect())) == Counter(map(key, whole.collect()))
+    assert parts.columns == whole.columns and parts.where("n_hit > 0").count() > 30
