@@ -2,12 +2,15 @@
 
 A rule pack that is at hand as data is compiled into the query: each pattern is a literal, so it is compiled once for a
 task, and a line gives the rows of the rules that match it, without a join. A rule table of any size is joined instead:
-it is broadcast up to ``MOST_RULES`` rows, and a larger one is joined as Spark sees fit, with every rule. A rule can
-report too many lines only of a file with that many lines, so only such files are shuffled to limit them.
+it is broadcast up to ``MOST_RULES`` rows, and a larger one is joined as Spark sees fit, with every rule. Where every match
+of a pattern holds some fixed text, a line is looked through for that first. Matches, not lines, are shuffled to limit
+what a rule reports of a file.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,13 +47,50 @@ def unsafe_regex(regex: Column) -> Column:
     return (F.length(regex) > 300) | regex.rlike(r"\([^()]*[+*][^()]*\)[+*]") | regex.rlike(r"\([^()]*\{[0-9]+,[0-9]*\}[^()]*\)[+*]")
 
 
+def required_literal(regex: str) -> str:
+    """The longest text that every match of a pattern holds, as far as its outermost sequence tells; '' if none is sure.
+
+    A line without it can't match, and looking for a fixed text is many times cheaper than trying the pattern at every
+    place of the line.
+    """
+    try:
+        parsed = re._parser.parse(regex)
+    except (re.error, RecursionError, OverflowError):
+        return ""
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    best = run = ""
+
+    def walk(items) -> None:
+        nonlocal best, run
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(value)
+            elif name == "IN" and len(value) == 1 and str(value[0][0]) == "LITERAL":
+                run += chr(value[0][1])
+            elif name == "SUBPATTERN" and not value[1] & re.IGNORECASE:
+                walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                run = ""  # how often it comes isn't sure, that it comes is
+                walk(value[2])
+                best, run = max(best, run, key=len), ""
+            elif name != "AT":
+                run = ""
+            best = max(best, run, key=len)
+
+    walk(parsed)
+    return best
+
+
 def _compiled(rows: DataFrame, rules) -> DataFrame:
     """Each line with its matches by the rules of a pack; one literal pattern each."""
     text, lang = F.col("txt"), F.col("lang")
 
     def hit(i: int, rule) -> Column:
         _, regex, unless, *_, languages, _ = rule
-        holds = text.rlike(regex)
+        literal = required_literal(regex)
+        holds = text.contains(literal) & text.rlike(regex) if literal else text.rlike(regex)
         if unless is not None:
             holds = holds & ~text.rlike(unless)
         if "any" not in languages:
@@ -81,11 +121,10 @@ def findings(files: DataFrame, rules) -> DataFrame:
     if not isinstance(rules, DataFrame) and len(rules) > MOST_COMPILED:
         rules = rule_table(files.sparkSession, rules)
     match = _joined if isinstance(rules, DataFrame) else _compiled
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1))
-    of = lambda some: match(lines(some).where(F.length("txt") <= LONGEST_LINE), rules)
+    # Files are read and split once. Only matches are shuffled, and of a file and rule no task sends more than the limit.
+    hits = match(lines(files).where(F.length("txt") <= LONGEST_LINE), rules)
     nth = F.row_number().over(W.partitionBy("path", "rule_id").orderBy("ln"))
-    many = of(files.where(n_lines > MOST_MATCHES)).withColumn("_nth", nth).where(F.col("_nth") <= MOST_MATCHES).drop("_nth")
-    out = of(files.where(n_lines <= MOST_MATCHES)).unionByName(many).withColumn("snippet", F.trim("txt"))
+    out = hits.withColumn("_nth", nth).where(F.col("_nth") <= MOST_MATCHES).drop("_nth").withColumn("snippet", F.trim("txt"))
     return out.withColumn("fp", fingerprint(F.col("rule_id"), F.col("path"), normal_snippet(F.col("txt"))))
 
 
