@@ -94,6 +94,26 @@ def global_place(rows: DataFrame, key: str, descending: bool = False, buckets: i
     return inside.join(F.broadcast(before), "_p").withColumn("place", (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")
 
 
+def place_in_group(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """Adds ``place`` (from 1) of every row in the order of its group, and ``group_size``, however large a group is.
+
+    Rows are sorted in ranges of group and order together; what is summed over all is one count for each range and each
+    group. Null groups are a group.
+    """
+    from siltstone.operators.graph import cut
+
+    keys = [F.col(by).asc_nulls_first(), *order]
+    kept = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_r", F.monotonically_increasing_id()))
+    part = F.shiftright("_r", 33)
+    counts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = kept.join(F.broadcast(before), part == F.col("_part")).withColumn("_at", F.col("_before") + F.col("_r").bitwiseAND((1 << 33) - 1))
+    groups = numbered.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_first"), F.count("*").alias("group_size"))
+    out = numbered.join(groups, F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn("place", F.col("_at") - F.col("_first") + 1).select(*rows.columns, "place", "group_size")
+
+
 def innermost(points: DataFrame, units: DataFrame, point_id: str, keep: list[str], first: bool = False) -> DataFrame:
     """The enclosing unit (path, start, end) of each point (path, ln): the latest start, or the first one."""
     u = units.select(F.col("path").alias("_p"), "start", "end", *keep)

@@ -75,10 +75,13 @@ def contained_groups(blocks: DataFrame) -> DataFrame:
 
 
 def read_budget(candidates: DataFrame, cost: str, budget: int, most: int, by: list[str]) -> DataFrame:
-    """Cheapest first while the running cost stays within the budget and the number within ``most``."""
+    """Cheapest first while the running cost stays within the budget and the number within ``most``.
+
+    No more than the ``most`` cheapest of a group can stay, and every task keeps only those before anything is shuffled.
+    """
     w = W.partitionBy(*by).orderBy(cost, "unit")
-    d = candidates.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
-    return d.where((F.col("running") <= budget) & (F.col("place") <= most))
+    few = candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return few.withColumn("running", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("running") <= budget)
 
 
 def identifier_set(text: Column) -> Column:

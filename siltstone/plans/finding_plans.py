@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.severity import severity_rank
 from siltstone.operators import matching as m
+from siltstone.operators.joins import place_in_group
 from siltstone.plans.fixtures import FILE, FINDING, LINE, RANK, RULE, files, found
 from siltstone.plans.registry import query
 
@@ -157,8 +158,8 @@ def l3(t):
 
 @query("l4_worst_first", f"WITH {FINDING} SELECT fid, {RANK} AS rank, row_number() OVER (PARTITION BY source ORDER BY {RANK} DESC, path, ln, rule_id)::BIGINT AS place FROM finding")
 def l4(t):
-    w = W.partitionBy("source").orderBy(severity_rank(F.col("severity")).desc(), "path", "ln", "rule_id")
-    return found(t).select("fid", severity_rank(F.col("severity")).alias("rank"), F.row_number().over(w).cast("long").alias("place"))
+    rows = found(t).select("fid", "source", "path", "ln", "rule_id", severity_rank(F.col("severity")).alias("rank"))
+    return place_in_group(rows, "source", [F.desc("rank"), F.asc("path"), F.asc("ln"), F.asc("rule_id")]).select("fid", "rank", F.col("place").cast("long").alias("place"))
 
 
 @query(

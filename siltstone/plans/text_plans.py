@@ -55,6 +55,14 @@ def p5(t):
     return masked.select("path", F.length("m.code").alias("code"), F.length("m.comments").alias("comments"), F.length("m.strings").alias("strings"), F.length("text").alias("n"), F.length(F.trim(tx.in_scope(F.lit("strings"), F.col("text"), F.col("m")))).alias("in_strings"))
 
 
+@query("p5_p6_comments_and_code", f"WITH {FILE}, c AS (SELECT path, text, array_to_string(regexp_extract_all(text, '#[^\\n]*'), '') AS comments FROM file) SELECT path, length(regexp_replace(comments, '[ \\r\\n]', '', 'g'))::BIGINT AS comments, length(regexp_replace(text, '[ \\r\\n]', '', 'g'))::BIGINT - length(regexp_replace(comments, '[ \\r\\n]', '', 'g'))::BIGINT AS code FROM c")
+def p5_conf(t):
+    """What lies in comments and what in code, of files whose comments begin with ``#`` and that have no strings."""
+    masked = files(t).withColumn("m", tx.lexical_masks(F.col("text"), F.lit("conf")))
+    full = lambda scope: F.length(F.regexp_replace(tx.in_scope(F.lit(scope), F.col("text"), F.col("m")), r"[ \r\n]", "")).cast("long").alias(scope)
+    return masked.select("path", full("comments"), full("code"))
+
+
 @query("p12_imported_fingerprints", f"WITH {FINDING} SELECT fid, substring(sha1(concat_ws('|', 'tool', rule_id, path, ln::VARCHAR)), 1, 24) AS fp FROM finding")
 def p12(t):
     return found(t).select("fid", tx.imported_fingerprint(F.lit("tool"), F.col("rule_id"), F.col("path"), F.col("ln")).alias("fp"))
@@ -294,9 +302,8 @@ def w6(t):
 
 @query("w8_systematic_sample", f"WITH {FILE}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS c FROM file) SELECT path FROM n WHERE (k - 1) % greatest(1, ceil(c / 10)::BIGINT) = 0")
 def w8(t):
-    w = W.partitionBy("source")
-    n = files(t).select("path", "source", "doc_id").withColumn("k", F.row_number().over(w.orderBy("doc_id"))).withColumn("c", F.count("*").over(w))
-    return n.where((F.col("k") - 1) % F.greatest(F.lit(1), F.ceil(F.col("c") / 10)) == 0).select("path")
+    n = j.place_in_group(files(t).select("path", "source", "doc_id"), "source", [F.asc("doc_id")])
+    return n.where((F.col("place") - 1) % F.greatest(F.lit(1), F.ceil(F.col("group_size") / 10)) == 0).select("path")
 
 
 @query("j17_rule_analogues", "WITH tok AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark), s AS (SELECT a.item_id, b.item_id AS other, count(*) AS hits FROM tok a JOIN tok b ON a.w = b.w AND a.item_id <> b.item_id AND length(a.w) >= 6 GROUP BY ALL) SELECT item_id, other, hits::BIGINT AS hits FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, other) AS k FROM s) WHERE k = 1")
