@@ -81,7 +81,9 @@ def m6(t):
 
 @query("m10_anomalies")
 def m10(t):
-    return ln.anomalies(vectors(t)).select("id", F.round("distance", 6).alias("distance"), F.round("z", 6).alias("z"))
+    """How far every unit is from the established patterns, and which are anomalies (z of 2 and more)."""
+    every = ln.anomalies(vectors(t), z_min=float("-inf"))
+    return every.select("id", F.round("distance", 6).alias("distance"), F.round("z", 6).alias("z"), (F.col("z") >= 2).alias("anomaly"))
 
 
 def families(t):
