@@ -47,3 +47,22 @@ def test_long_path_of_coverage_is_whole(spark, tmp_path):
     path = "d/" * 60_000 + "a.py"
     (tmp_path / "x.info").write_text(f"SF:{path}\nDA:1,1\nend_of_record\n")
     assert [(r.path, r.ln, r.hit) for r in reports.read_lcov(spark, str(tmp_path / "x.info")).collect()] == [(path, 1, True)]
+
+
+def test_places_in_large_and_null_groups(spark):
+    """Places are those of one sort, whatever the ranges: a hot group, a null group, ties, an empty table."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from siltstone.operators.joins import place_in_group
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randint(0, 50), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, k int, i int").repartition(7)
+    got = {r.i: (r.place, r.group_size) for r in place_in_group(df, "g", [F.desc("k"), F.asc("i")]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        want |= {r[2]: (n + 1, len(own)) for n, r in enumerate(own)}
+    assert got == want and place_in_group(df.limit(0), "g", [F.asc("k")]).count() == 0
