@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.words import NOT_ALNUM, Words, chunks, combine
+from siltstone.llm.words import NOT_ALNUM, Words, chunks, combine, give_back
 
 WINDOW = 13
 BLOCK_WORDS, PASS_WORDS = 2_000_000, 4_000_000
@@ -248,13 +248,14 @@ def _one_pass(docs: DataFrame, blocks: list[list], window: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [b.value for b in shared]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for first, raws in chunks(texts):
                 rows = list(shard_hits(raws, blocks))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(raws)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), _spans(rows)],
                     names=["doc_id", "n_words", "n_hit", "items", "matches"],
                 )
+        give_back()
 
     return docs.mapInArrow(search, RESULT)
 
@@ -275,7 +276,7 @@ def _many_passes(docs: DataFrame, rounds: Iterator[list[list]], window: int) ->
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             blocks = [b.value for b in shared]
             for batch in batches:
-                for first, raws in chunks(batch.column(1).to_pylist()):
+                for first, raws in chunks(batch.column(1)):
                     rows = list(shard_hits(raws, blocks))
                     some = [k for k, r in enumerate(rows) if r[1]]
                     rows = [rows[k] for k in some]
@@ -302,7 +303,7 @@ def _many_passes(docs: DataFrame, rounds: Iterator[list[list]], window: int) ->
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, raws in chunks(batch.column(2).to_pylist()):
+        for first, raws in chunks(batch.column(2)):
             n = Words(raws, NOT_ALNUM).n
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raws)), batch.column(1).slice(first, len(raws)), pa.array(n, pa.int64())], names=["_row", "doc_id", "n_words"])
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.words import chunks, mix, shingle_sets
+from siltstone.llm.words import chunks, give_back, mix, shingle_sets
 
 #: Bits of a signature: twice the set's size at least, as a power of two; the wider of two is folded to the other.
 LEAST_BITS = 1024
@@ -66,7 +66,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.uint32)
         for batch in batches:
-            for _, raws in chunks(batch.column(0).to_pylist()):
+            for _, raws in chunks(batch.column(0)):
                 sets = shingle_sets(raws, k)
                 if sets:
                     np.add.at(seen, (np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
@@ -75,6 +75,8 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
         for a in range(0, len(some), 64):
             part = some[a : a + 64]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([table[i].astype(np.uint16 if table[i].max() < 1 << 16 else np.uint32).tobytes() for i in part], pa.binary())], names=["slice", "counts"])
+        del seen, table
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -132,7 +134,7 @@ def prepare(docs: DataFrame, k: int, percent: int) -> DataFrame:
         codes = shared.value
         met: set[int] = set()
         for batch in batches:
-            for first, raws in chunks(batch.column(1).to_pylist()):
+            for first, raws in chunks(batch.column(1)):
                 classes, sizes, signatures, prefixes, parts, lasts = [], [], [], [], [], []
                 for s in shingle_sets(raws, k):
                     c = class_of(s) if len(s) else None
@@ -153,6 +155,8 @@ def prepare(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     ],
                     names=["doc_id", "class", "n", "signature", "prefix", "parts", "last"],
                 )
+        met.clear()
+        give_back()
 
     return docs.mapInArrow(run, SETS)
 
@@ -160,9 +164,10 @@ def prepare(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def shingle_arrays(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raws in chunks(batch.column(0).to_pylist()):
+            for _, raws in chunks(batch.column(0)):
                 sets = [s for s in shingle_sets(raws, k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "shingles"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "class long, shingles array<long>")
 
@@ -238,6 +243,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
                     common = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(100 * common >= percent * (len(p) + len(q) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     links = scratch.keep(joined.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.words import give_back
+
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 6_000, 24_000, 20_000
 #: Positives that a classifier is trained on, about; there are as many classifiers as the sample allows.
 PER_FOLD = 1_500
@@ -202,6 +204,8 @@ def scorer(spark, model: tuple[dict[bytes, float], float]):
                         hit.update(f)
                 out[i] = bias + sum(weights[f] for f in sorted(hit)) if hit else bias
             yield pd.Series(sigmoid(out))
+        known.clear()
+        give_back()
 
     return score
 

@@ -6,11 +6,18 @@ Texts are UTF-8, so a class of ASCII separators can be told byte by byte. Buffer
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK = 500_000
+#: Rows of a column that are Python strings at a time.
+ROWS = 256
+#: What gives freed memory back, where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Any odd multiplier has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -46,10 +53,18 @@ def mix(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts as bytes); nulls are empty."""
+def give_back() -> None:
+    """Hands memory that a task has freed back to the machine, as its Python worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def chunks(texts: list[str | None] | pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts as bytes); nulls are empty. A column is read some rows at a time."""
     first, held, size = 0, [], 0
-    for i, text in enumerate(texts):
+    rows = texts if isinstance(texts, list) else chain.from_iterable(texts.slice(a, ROWS).to_pylist() for a in range(0, len(texts), ROWS))
+    for i, text in enumerate(rows):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if held and size + len(raw) > limit:
             yield first, held
