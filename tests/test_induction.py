@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from siltstone.operators import evolution as ev
 from siltstone.operators import induction as ind
 from siltstone.operators import learning as ln
 from siltstone.operators import mining, similarity
+from siltstone.plans import all_plans
 from siltstone.plans.induction_plans import RULES, SPECS
 from tests.test_learning import plain_label_model
 
@@ -231,6 +233,53 @@ def test_similar_pairs_lose_none(spark, monkeypatch, tile):
     assert similarity.similar_pairs(nested).count() == 0 and similarity.similar_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile, at_once", [(1024, 65_536), (30, 7)])
+def test_similar_units_are_all_their_pairs(spark, monkeypatch, tmp_path, tile, at_once):
+    """Copies and near copies, of which some lie inside others or at one place, pair by pair and as the SQL has them."""
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "AT_ONCE", at_once)
+    rng = np.random.default_rng(12)
+    copy, near = rng.standard_normal(16), rng.standard_normal(16)
+    vectors = [copy if i % 3 == 0 else near + 0.05 * rng.standard_normal(16) if i % 3 == 1 else rng.standard_normal(16) for i in range(400)]
+    rows = [(i, [float(x) for x in v.astype(np.float32)], None if i % 50 == 7 else i % 2) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    units = [(i, y, np.array(v) / np.linalg.norm(v), (i % 4, i % 9, i % 9 + i % 5)) for i, v, y in rows if y is not None]
+    inside = lambda p, q: p[0] == q[0] and q[1] <= p[1] and p[2] <= q[2]
+    want = {(y, a, b) for (a, y, u, p), (b, z, v, q) in itertools.combinations(units, 2) if y == z and round(float(u @ v), 6) >= 0.9 and not inside(p, q) and not inside(q, p)}
+    got = [(r.label, r.a, r.b) for r in all_plans()[0]["j18_similar_pairs"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) > 6_000
+    assert sum(a % 3 == b % 3 == 0 for _, a, b in got) > 3_000 and (0, 0, 180) not in want and (0, 0, 186) in want
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.execute(all_plans()[1]["j18_similar_pairs"]).fetchall()) == sorted(got)
+
+
+def test_units_at_one_place_have_pairs_with_others(spark):
+    rows = [(i, 0, [1.0, 2.0], "f", 5, 9) for i in range(3)] + [(3, 0, [1.0, 2.0], "g", 5, 9), (4, 0, [1.0, 2.1], "f", 6, 8)]
+    df = spark.createDataFrame(rows, "id int, label int, vec array<double>, file string, start int, end int")
+    assert sorted((r.a, r.b, r.copy) for r in similarity.similar_pairs(df).collect()) == [(0, 3, False), (1, 3, False), (2, 3, False), (3, 4, False)]
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+@pytest.mark.parametrize("places", [True, False])
+def test_odd_vectors_take_no_pair_from_others(spark, odd, places):
+    rows = [(i, 0, [1.0, 0.01 * i]) for i in range(5)] + [(5 + i, 0, [odd, 1.0]) for i in range(5)] + [(None, 0, [1.0, 0.5]), (None, 0, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "id int, label int, vec array<double>")
+    if places:
+        df = df.withColumn("file", F.col("id")).withColumn("start", F.lit(1)).withColumn("end", F.lit(2))
+    assert sorted((r.a, r.b) for r in similarity.similar_pairs(df).collect()) == list(itertools.combinations(range(5), 2))
+
+
+def test_sides_of_a_tile_come_in_any_order():
+    """Fetched blocks of a shuffle arrive in any order, so place 3 of one side may be place 7 of the other."""
+    rng = np.random.default_rng(4)
+    tile = pd.DataFrame({"id": range(40), "vec": list(rng.standard_normal(8) + 0.1 * rng.standard_normal((40, 8)))})
+    turned = tile.sample(frac=1, random_state=5).reset_index(drop=True)
+    at, of, _, _ = similarity.verified(tile, turned, True, np.eye(8)[:, :3], 0.5)
+    assert sorted(zip(tile["id"][at], turned["id"][of])) == list(itertools.combinations(range(40), 2))
+
+
 def test_little_is_multiplied_out_of_random_vectors(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, 0, rng.standard_normal(64).tolist()) for i in range(800)], "id int, label int, vec array<double>")
