@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import codegraph as cg
 
@@ -125,3 +126,27 @@ def test_empty(spark):
     nodes, edges = cg.build(*(spark.createDataFrame([], s) for s in ("path string", DEF, SITE, IMPORT)))
     assert nodes.count() == edges.count() == 0
     assert cg.enrich(spark.createDataFrame([(1, "f", 1)], "fid int, file string, line int"), nodes, edges).first().callers == []
+
+
+@pytest.fixture
+def long_functions(spark):
+    """A few functions of 150,000 lines each, whose table is a few kB; at most 40 MB may be broadcast."""
+    files = [f"r{i % 3}/f{i}" for i in range(4)]
+    defs = [(f, f"n{i}", 1, 150_000, i == 0) for i, f in enumerate(files)]
+    sites = [(f, line, f"n{(i + 1) % 4}") for i, f in enumerate(files) for line in (1, 75_000, 150_000)]
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    yield spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame(defs, DEF), spark.createDataFrame(sites, SITE), spark.createDataFrame([], IMPORT)
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def found_in(case_, spark):
+    nodes, edges = cg.build(*case_)
+    return cg.enrich(case_[2].select(F.concat("file", F.lit(":"), "line").alias("fid"), "file", "line"), nodes, edges), nodes
+
+
+def test_drawn_hotspots_send_no_lines_through_the_driver(spark, long_functions):
+    hot, _ = cg.drawing(*found_in(long_functions, spark))
+    assert [(r.name, r.file, r.fan_in, r.fan_out, r.hops) for r in hot.collect()] == [(f"n{i}", f"r{i % 3}/f{i}", 3, 3, i) for i in range(4)]
