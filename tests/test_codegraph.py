@@ -150,3 +150,10 @@ def found_in(case_, spark):
 def test_drawn_hotspots_send_no_lines_through_the_driver(spark, long_functions):
     hot, _ = cg.drawing(*found_in(long_functions, spark))
     assert [(r.name, r.file, r.fan_in, r.fan_out, r.hops) for r in hot.collect()] == [(f"n{i}", f"r{i % 3}/f{i}", 3, 3, i) for i in range(4)]
+
+
+def test_evidence_sends_no_lines_through_the_driver(spark, long_functions):
+    rows, _ = found_in(long_functions, spark)
+    ids = [f"r{i % 3}/f{i}#n{i}@1" for i in range(4)]
+    got = {r.fid: (r.function, r.hops, r.callers, r.callees) for r in rows.collect()}
+    assert got == {f"r{i % 3}/f{i}:{line}": (ids[i], i, [ids[i - 1]], [ids[(i + 1) % 4]]) for i in range(4) for line in (1, 75_000, 150_000)}
