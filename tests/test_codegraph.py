@@ -157,3 +157,8 @@ def test_evidence_sends_no_lines_through_the_driver(spark, long_functions):
     ids = [f"r{i % 3}/f{i}#n{i}@1" for i in range(4)]
     got = {r.fid: (r.function, r.hops, r.callers, r.callees) for r in rows.collect()}
     assert got == {f"r{i % 3}/f{i}:{line}": (ids[i], i, [ids[i - 1]], [ids[(i + 1) % 4]]) for i in range(4) for line in (1, 75_000, 150_000)}
+
+
+def test_drawn_links_send_no_lines_through_the_driver(spark, long_functions):
+    _, links = cg.drawing(*found_in(long_functions, spark))
+    assert [tuple(r) for r in links.collect()] == [(f"r{i % 3}/f{i}#n{i}@1", f"r{(i + 1) % 4 % 3}/f{(i + 1) % 4}#n{(i + 1) % 4}@1") for i in (0, 3, 1, 2)]
