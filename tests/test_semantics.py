@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,15 @@ def test_agent_paths(spark):
 def test_detector_lint(spark):
     weight = lambda p: one(spark, matching.detector_lint(F.lit(p)))
     assert weight("(eval|exec)") > weight(r"\b(eval|exec)\b") and weight("a.*") > weight("^password[ ]?=$")
+
+
+def test_flows_keep_one_frontier_and_each_pair_once(spark):
+    """A line of seven places: what stays in the shared folder doesn't hold the pairs of all rounds again in each."""
+    n = lambda *x: spark.createDataFrame([(i,) for i in x], "node long")
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(i + 1, i) for i in range(6)], "src long, dst long")
+    top = Path(graph.shared_dir(spark).removeprefix("file:"))
+    before = set(top.rglob("*.parquet"))
+    got = graph.flows(n(0), n(2, 6), n(), e)
+    kept = [spark.read.parquet(str(p)) for p in set(top.rglob("*.parquet")) - before]
+    assert sum(t.count() for t in kept if {"source", "at"} <= set(t.columns)) <= 6 + 1 + 1  # pairs before the last round, its frontier, the sink on the way
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 2, [0, 1, 2]), (0, 6, [0, 1, 2, 3, 4, 5, 6])]
